@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, mixing, packing, quality_rules, token_counts
+from . import chat_format, mixing, near_dedup, packing, quality_rules, token_counts
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, folder, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.best_fit(_table(spark, folder, "documents"))
 
@@ -41,7 +45,7 @@ def op9_preference_format(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_best_fit_packing, op4_line_frequency, op5_systematic_mix, op8_token_counts, op9_preference_format)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op4_line_frequency, op5_systematic_mix, op8_token_counts, op9_preference_format)
 }
 SQL: dict[str, str] = {
     "op4_line_frequency": quality_rules.QUERY_SQL,
