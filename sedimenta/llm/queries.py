@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_format, mixing, near_dedup, packing, quality_rules, token_counts
+from . import chat_format, lm_scoring, mixing, near_dedup, packing, quality_rules, token_counts
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,6 +36,10 @@ def op5_systematic_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.systematic_mix(_table(spark, folder, "documents"))
 
 
+def op6_stupid_backoff(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scoring.stupid_backoff(_table(spark, folder, "documents")).withColumn("log_score", F.round("log_score", 3))
+
+
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, folder, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -45,10 +50,11 @@ def op9_preference_format(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op4_line_frequency, op5_systematic_mix, op8_token_counts, op9_preference_format)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op4_line_frequency, op5_systematic_mix, op6_stupid_backoff, op8_token_counts, op9_preference_format)
 }
 SQL: dict[str, str] = {
     "op4_line_frequency": quality_rules.QUERY_SQL,
     "op5_systematic_mix": mixing.QUERY_SQL,
+    "op6_stupid_backoff": lm_scoring.QUERY_SQL,
     "op9_preference_format": chat_format.QUERY_SQL,
 }
