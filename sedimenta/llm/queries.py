@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, lm_scoring, mixing, near_dedup, packing, quality_rules, token_counts
+from . import chat_format, lm_scoring, mixing, near_dedup, packing, pii, quality_rules, token_counts
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -49,8 +49,12 @@ def op9_preference_format(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumns({c: chat_format.mask_text(out[c]) for c in ("chosen_mask", "rejected_mask")})
 
 
+def op10_contextual_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op4_line_frequency, op5_systematic_mix, op6_stupid_backoff, op8_token_counts, op9_preference_format)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op4_line_frequency, op5_systematic_mix, op6_stupid_backoff, op8_token_counts, op9_preference_format, op10_contextual_pii)
 }
 SQL: dict[str, str] = {
     "op4_line_frequency": quality_rules.QUERY_SQL,
