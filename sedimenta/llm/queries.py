@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, lm_scoring, mixing, near_dedup, packing, pii, quality_rules, token_counts
+from . import chat_format, lm_scoring, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, token_counts
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.best_fit(_table(spark, folder, "documents"))
 
 
+def op3_cotraining_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_classifier.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op4_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.line_frequency(_table(spark, folder, "documents")).drop("removed_lines")
 
@@ -54,7 +58,7 @@ def op10_contextual_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op4_line_frequency, op5_systematic_mix, op6_stupid_backoff, op8_token_counts, op9_preference_format, op10_contextual_pii)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_cotraining_quality, op4_line_frequency, op5_systematic_mix, op6_stupid_backoff, op8_token_counts, op9_preference_format, op10_contextual_pii)
 }
 SQL: dict[str, str] = {
     "op4_line_frequency": quality_rules.QUERY_SQL,
