@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, row_key, words
+from .common import WORD, words, written
 
 SYMBOL = "[#*$%&|<>]"
 #: Rows that a frequent line of a host is repeated over, so that its documents meet it in as many tasks.
@@ -13,13 +13,14 @@ SALTS = 16
 
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of the whole text; null counts as empty.
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of the whole text, and lines; null counts as empty.
 
-    Repeats are found by sorting a text's 3-word windows, not by comparing them with each other.
+    lines holds (h, n) of each line with a word: the hash of its normal form (lower case, words one space apart) and its
+    number of words. Repeats are found by sorting a text's 3-word windows, not by comparing them with each other.
     """
     value = F.coalesce(F.col(text), F.lit(""))
     docs = docs.withColumn("_lines", F.filter(F.split(value, "\n"), lambda x: x.rlike(WORD)))
-    docs = docs.withColumn("_words", F.flatten(F.transform("_lines", words)))
+    docs = docs.withColumn("_each", F.transform("_lines", words)).withColumn("_words", F.flatten("_each"))
     n = F.size("_words")
     window = lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2))
     docs = docs.withColumn("_w3", F.when(n > 2, F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), window)).otherwise(F.array().cast("array<bigint>")))
@@ -29,35 +30,23 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     docs = docs.withColumn("_at", F.when(F.col("_sorted").isNotNull(), F.sort_array(F.transform(F.filter("_sorted", again), lambda x: x.i))))
     covers = F.transform("_at", lambda p, j: F.least(F.lit(3), F.coalesce(F.get("_at", j + 1) - p, F.lit(3))))
     return docs.select(
-        *[c for c in docs.columns if c not in ("_lines", "_words", "_w3", "_sorted", "_at")],
+        *[c for c in docs.columns if c not in ("_lines", "_each", "_words", "_w3", "_sorted", "_at")],
         n.cast("long").alias("n_words"),
         F.char_length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.regexp_count(value, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(F.aggregate(covers, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.transform("_each", lambda w: F.struct(F.xxhash64(F.lower(F.array_join(w, " "))).alias("h"), F.size(w).alias("n"))).alias("lines"),
     )
 
 
-def normal_line(line: Column) -> Column:
-    """A line as it is compared with others: lower case, words one space apart."""
-    return F.lower(F.array_join(words(line), " "))
-
-
-def frequent_lines(docs: DataFrame, limit: int = 20) -> DataFrame:
-    """(host, line): 64-bit hashes of the normalised lines that more than `limit` documents of a host have.
+def frequent_lines(rows: DataFrame, limit: int = 20) -> DataFrame:
+    """(host, line): hashes of the lines that more than `limit` of rows(host, lines) of a host have.
 
     A text's own repeats are taken out before anything is shuffled, and counts are summed map-side.
     """
-    each = docs.select(_host(), F.explode(F.array_distinct(F.transform(_lines(), lambda x: F.xxhash64(normal_line(x))))).alias("line"))
-    return each.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > limit)
-
-
-def _host() -> Column:
-    return F.coalesce(F.col("source"), F.lit("\0null")).alias("host")
-
-
-def _lines() -> Column:
-    return F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(WORD))
+    each = rows.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x.h))).alias("line"))
+    return each.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > limit).drop("n_docs")
 
 
 def line_frequency(docs: DataFrame, limit: int = 20, depleted: float = 0.5) -> DataFrame:
@@ -66,27 +55,27 @@ def line_frequency(docs: DataFrame, limit: int = 20, depleted: float = 0.5) -> D
     A line is removed if its normalised form stands in more than `limit` documents of the document's host (its
     source). A document is depleted, and rejected, if less than `depleted` of its words are left. removed_lines holds
     the places of the removed ones among the lines that have words; cleaned() applies it. Lines of a frequent hash are
-    found by a join whose frequent side is repeated over SALTS keys, so a line of a third of all documents is dealt out.
+    found by a join whose frequent side is repeated over SALTS keys, so a line of a third of all documents is dealt out. Texts are
+    read once; what is compared is written.
 
     Each row counts as a document, equal rows too, and they get equal results. Null text is an empty text, a null
     source a host of its own; a null doc_id is allowed. A text without words fails. An empty table gives no rows.
     Other columns are ignored, whatever their names.
     """
-    rows = docs.select("doc_id", "source", "text")
-    key = row_key(F.col("doc_id"), F.col("source"), F.col("text"))
+    rows = docs.select("doc_id", F.coalesce("source", F.lit("\0null")).alias("host"), F.monotonically_increasing_id().alias("rid"), "text")
+    rows = written(with_statistics(rows).drop("text"))
     frequent = frequent_lines(rows, limit).select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    each = rows.select(*key, _host(), F.posexplode(F.transform(_lines(), lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.size(words(x)).alias("n")))))
-    each = each.select("_k1", "_k2", "host", F.col("col.h").alias("line"), F.pmod(F.hash("_k1", "pos"), F.lit(SALTS)).alias("salt"), F.struct("pos", F.col("col.n").alias("n")).alias("at"))
-    gone = each.join(frequent, ["host", "line", "salt"], "left_semi").groupBy("_k1", "_k2").agg(F.collect_set("at").alias("_gone"))
-    out = with_statistics(rows.select("doc_id", "text", *key)).drop("text").join(gone, ["_k1", "_k2"], "left")
-    gone_at = F.coalesce("_gone", F.array().cast("array<struct<pos:int,n:int>>"))
-    left = F.col("n_words") - F.aggregate(gone_at, F.lit(0).cast("long"), lambda a, x: a + x.n)
+    each = rows.select("rid", "host", F.posexplode("lines")).select("rid", "host", "pos", F.col("col.h").alias("line"), F.col("col.n").alias("n"))
+    each = each.withColumn("salt", F.pmod(F.hash("rid", "pos"), F.lit(SALTS)))
+    gone = each.join(frequent, ["host", "line", "salt"], "left_semi").groupBy("rid").agg(F.collect_list("pos").alias("_at"), F.sum("n").alias("_gone"))
+    out = rows.drop("lines").join(gone, "rid", "left")
+    removed = F.sort_array(F.coalesce("_at", F.array().cast("array<int>")))
+    left = F.col("n_words") - F.coalesce("_gone", F.lit(0))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        F.size(gone_at).cast("long").alias("n_removed_lines"), left.alias("n_left_words"), failed.alias("base_failed"),
-        (~failed & (left >= depleted * F.col("n_words"))).alias("kept"),
-        F.sort_array(F.transform(gone_at, lambda x: x.pos)).alias("removed_lines"),
+        F.size(removed).cast("long").alias("n_removed_lines"), left.cast("long").alias("n_left_words"), failed.alias("base_failed"),
+        (~failed & (left >= depleted * F.col("n_words"))).alias("kept"), removed.alias("removed_lines"),
     )
 
 
