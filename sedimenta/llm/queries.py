@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, lm_scoring, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, token_counts
+from . import chat_format, embedding_dedup, lm_scoring, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, token_counts
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op6_stupid_backoff(spark: SparkSession, folder: str) -> DataFrame:
     return lm_scoring.stupid_backoff(_table(spark, folder, "documents")).withColumn("log_score", F.round("log_score", 3))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_embeddings(_table(spark, folder, "embeddings"))
+
+
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, folder, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -58,7 +62,7 @@ def op10_contextual_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_cotraining_quality, op4_line_frequency, op5_systematic_mix, op6_stupid_backoff, op8_token_counts, op9_preference_format, op10_contextual_pii)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_cotraining_quality, op4_line_frequency, op5_systematic_mix, op6_stupid_backoff, op7_embedding_near_dedup, op8_token_counts, op9_preference_format, op10_contextual_pii)
 }
 SQL: dict[str, str] = {
     "op4_line_frequency": quality_rules.QUERY_SQL,
