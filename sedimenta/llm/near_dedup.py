@@ -161,21 +161,22 @@ def bands(samples: np.ndarray, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def signatures(docs: DataFrame, levels: Broadcast, idf: np.ndarray, n_bands: int, n_rows: int) -> DataFrame:
-    """(doc_id, fp, bands): fp is the text's MD5; bands are null for a text without words."""
+def signatures(rows: DataFrame, levels: Broadcast, idf: np.ndarray, n_bands: int, n_rows: int) -> DataFrame:
+    """rows(..., text) with bands in place of text; bands are null for a text without words."""
+    kept = [f for f in rows.schema if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made: list = []
-            for _, _, data, off in slices(*buffers(batch.column(2))):
+            for _, _, data, off in slices(*buffers(batch.column("text"))):
                 hashes, weights, ends = weighted(data, off, levels.value, idf)
                 begin = 0
                 for end in ends.tolist():
                     made.append(bands(icws(hashes[begin:end], weights[begin:end], n_bands * n_rows), n_rows) if end > begin else None)
                     begin = end
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.int64()))], names=["doc_id", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array(made, pa.list_(pa.int64()))], names=[*[f.name for f in kept], "bands"])
 
-    return docs.select("doc_id", "fp", "text").mapInArrow(run, "doc_id long, fp binary, bands array<bigint>")
+    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", bands array<bigint>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, levels: Broadcast, idf: np.ndarray) -> DataFrame:
@@ -264,6 +265,28 @@ def links(members: DataFrame, texts: DataFrame, levels: Broadcast, idf: np.ndarr
     return seen.where(F.col("similarity") >= threshold)
 
 
+def _classes(docs: DataFrame, threshold: float, n_bands: int, n_rows: int, strength: float, whole_rows: bool) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, rid, bands, row) of each row, and (fp, root, class_id, class_size) of each text with words; both written or cheap to read again."""
+    spark: SparkSession = docs.sparkSession
+    whole = [F.struct(*docs.columns).alias("row")] if whole_rows else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("fp"), F.monotonically_increasing_id().alias("rid"), *whole, "text")
+    counts, n_texts = document_frequencies(rows)
+    levels, idf = spark.sparkContext.broadcast(idf_levels(counts, n_texts)), level_weights(strength)
+    signed = written(signatures(rows, levels, idf, n_bands, n_rows))
+    nodes = written(signed.where("bands IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.count("*").alias("n")))
+    each = nodes.select("fp", F.explode("bands").alias("bucket"))
+    shared = each.groupBy("bucket").count().where("count > 1").select("bucket")
+    members = written(each.join(shared, "bucket"))
+    wanted = members.select("fp").distinct().join(nodes.select("fp", "doc_id"), "fp").select("fp", F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"))
+    texts = rows.select("fp", F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), "text").join(wanted, ["_id", "fp"], "left_semi")
+    texts = written(texts.select("fp", "text").dropDuplicates(["fp"]))
+    near = links(members, texts, levels, idf, threshold)
+    roots = components(near, "fp", "pivot").withColumnRenamed("id", "fp")
+    placed = written(nodes.select("fp", "doc_id", "n").join(roots, "fp", "left").select("fp", "doc_id", "n", F.coalesce("root", "fp").alias("root")))
+    classes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").cast("long").alias("class_size"))
+    return signed, placed.select("fp", "root").join(classes, "root")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, n_bands: int = 16, n_rows: int = 4, strength: float = 0.25) -> DataFrame:
     """(doc_id, class_id, class_size, kept) for each row of docs(doc_id, text).
 
@@ -280,24 +303,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n_bands: int = 16,
     unless all of the class are null: then class_id is null, and kept is true. Equal rows are in one class, and kept
     together. An empty table gives no rows. Whole texts are used. Other columns are ignored, whatever their names.
     """
-    spark: SparkSession = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("fp"), "text")
-    counts, n_texts = document_frequencies(rows)
-    levels, idf = spark.sparkContext.broadcast(idf_levels(counts, n_texts)), level_weights(strength)
-    signed = written(signatures(rows, levels, idf, n_bands, n_rows))
-    nodes = signed.where("bands IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.count("*").alias("n"))
-    nodes = written(nodes)
-    each = nodes.select("fp", F.explode("bands").alias("bucket"))
-    shared = each.groupBy("bucket").count().where("count > 1").select("bucket")
-    members = written(each.join(shared, "bucket"))
-    wanted = members.select("fp").distinct().join(nodes.select("fp", "doc_id"), "fp").select("fp", F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"))
-    texts = rows.select("fp", F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), "text").join(wanted, ["_id", "fp"], "left_semi")
-    texts = written(texts.select("fp", "text").dropDuplicates(["fp"]))
-    near = links(members, texts, levels, idf, threshold)
-    roots = components(near, "fp", "pivot").withColumnRenamed("id", "fp")
-    placed = written(nodes.select("fp", "doc_id", "n").join(roots, "fp", "left").select("fp", "doc_id", "n", F.coalesce("root", "fp").alias("root")))
-    classes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").cast("long").alias("class_size"))
-    named = placed.select("fp", "root").join(classes, "root").select("fp", "class_id", "class_size")
+    signed, named = _classes(docs, threshold, n_bands, n_rows, strength, False)
     out = signed.select("doc_id", "fp", F.col("bands").isNull().alias("_none")).join(named, "fp", "left")
     class_id = F.when(F.col("_none"), F.col("doc_id")).otherwise(F.col("class_id"))
     return out.select("doc_id", class_id.alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), F.col("doc_id").eqNullSafe(class_id).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, threshold: float = 0.8, n_bands: int = 16, n_rows: int = 4, strength: float = 0.25) -> DataFrame:
+    """The rows of docs, one for each class of near_duplicates(): that of the least doc_id (null last). Texts without words all stay."""
+    signed, named = _classes(docs, threshold, n_bands, n_rows, strength, True)
+    placed = signed.select("rid", "doc_id", "fp", "bands").where("bands IS NOT NULL").select("rid", "doc_id", "fp").join(named.select("fp", "root"), "fp")
+    best = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best")).select(F.col("best.rid").alias("rid"))
+    alone = signed.where("bands IS NULL").select("rid")
+    return signed.select("rid", "row").join(best.union(alone), "rid", "left_semi").select("row.*")

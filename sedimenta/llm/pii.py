@@ -278,3 +278,21 @@ def redacted(text: str, spans: str) -> str:
             out += [text[at : int(start)], f"<{kind.upper()}>"]
         at = max(at, int(end))
     return "".join(out) + text[at:]
+
+
+def without(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs with redacted() texts; n_chars, if there, is the new length. Null texts stay null."""
+    found = find(docs, whole_rows=True, **options)
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [redacted(t.as_py(), s.as_py()) if t.is_valid else None for t, s in zip(batch.column("text"), batch.column("spans"), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column("row")], names=["text", "row"])
+
+    clean = found.where("spans = ''").select("row.*")
+    dirty = found.where("spans <> ''").select(F.col("row.text").alias("text"), "spans", "row")
+    row = next(f.dataType.simpleString() for f in found.schema if f.name == "row")
+    dirty = dirty.mapInArrow(run, f"text string, row {row}")
+    new = {"text": F.col("text"), "n_chars": F.char_length("text")}
+    return clean.union(dirty.select(*[new[c].cast(kinds[c]).alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns]))
