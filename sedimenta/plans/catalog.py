@@ -1,10 +1,4 @@
-"""The named queries over the tables of a folder, each with SQL for the same rows."""
+"""All named queries."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from . import kv_queries  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
