@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def trailing_number(name: Column) -> Column:
     """The whole number that a file name ends with."""
-    return F.regexp_extract(name, r"(\d+)$", 1).cast("long")
+    return F.nullif(F.regexp_extract(name, r"(\d+)$", 1), F.lit("")).cast("long")
 
 
 def name_parts(name: Column) -> dict[str, Column]:

@@ -24,8 +24,10 @@ def latest(log: DataFrame, key: Sequence[str], seq: Sequence[str], deleted: Colu
 
 def downsampled(points: DataFrame, by: Sequence[str], ts: str, every: str, late: str, aggregates: Sequence[Column]) -> DataFrame:
     """Aggregates of each group and window; points that are later than `late` are dropped, and finished windows leave the state."""
-    out = points.withWatermark(ts, late).groupBy(*by, F.window(ts, every).alias("_w")).agg(*aggregates)
-    return out.select(*by, F.col("_w.start").alias("bucket"), *[c for c in out.columns if c not in (*by, "_w")])
+    kind = points.schema[ts].dataType.simpleString()  # event time needs a zone; the session's is taken off again
+    timed = points.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    out = timed.groupBy(*by, F.window(ts, every).alias("_w")).agg(*aggregates)
+    return out.select(*by, F.col("_w.start").cast(kind).alias("bucket"), *[c for c in out.columns if c not in (*by, "_w")])
 
 
 def dead_tasks(beats: DataFrame, task: str, ts: str, status: str, seconds: int) -> DataFrame:
