@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +70,23 @@ def row_key(*cols: Column) -> list[Column]:
     return [F.xxhash64(*filled).alias("_k1"), F.hash(*reversed(filled)).alias("_k2")]
 
 
+def groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """Tables of the runs of rows with equal `by`."""
+    now: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True))
+        cuts = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]] + [len(keys)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if now and last != keys[a]:
+                yield pa.Table.from_batches(now)
+                now = []
+            last = keys[a]
+            now.append(batch.slice(a, b - a))
+    if now:
+        yield pa.Table.from_batches(now)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(id, root): for each end of an edge the least id that it is connected with.
 

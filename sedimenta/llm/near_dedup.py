@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, dropped, written
+from .common import components, groups, written
 from .textvec import buffers, mix, shingles, slices, word_hashes
 
 WIDTH = 5
@@ -21,7 +21,8 @@ CELL_BITS, BLOCK_BITS = 22, 16
 LEVELS = 16
 #: ICWS draws r, c and beta for a shingle from tables by the low ROW_BITS bits of its hash.
 ROW_BITS = 16
-MEMBERS = 512
+#: Texts and bytes that one task compares with each other at a time.
+MEMBERS, BYTES = 512, 8 << 20
 
 
 def documents_shingles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,90 +180,99 @@ def signatures(rows: DataFrame, levels: Broadcast, idf: np.ndarray, n_bands: int
     return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", bands array<bigint>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, levels: Broadcast, idf: np.ndarray) -> DataFrame:
-    """(fp, pivot, similarity) for each of pairs(fp, pivot), by their texts.
+def _connected(part: pa.Table, buckets: list[list], levels: np.ndarray, idf: np.ndarray, threshold: float) -> tuple[list[tuple[int, int]], list[int]]:
+    """(links, roots) of some texts: verified links that connect what share a bucket, and a member of each component, by row.
 
-    The texts that are compared with a pivot go to blocks of about MEMBERS, each with the pivot's text, so that a pivot
-    of very many is dealt over many tasks. A task reads its blocks as a stream and holds one pivot at a time.
+    Pairs that are connected already aren't compared, so copies cost a comparison each.
     """
-    sizes = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
-    dealt = pairs.join(sizes, "pivot").select("fp", "pivot", F.pmod(F.hash("fp"), F.col("blocks")).alias("block"), F.lit(1).alias("role"))
-    heads = sizes.select(F.col("pivot").alias("fp"), "pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"))
-    rows = dealt.union(heads).join(texts, "fp").select("pivot", "block", "role", "fp", "text")
+    sets = []
+    for _, _, data, off in slices(*buffers(part.column("text"))):
+        hashes, weights, ends = weighted(data, off, levels, idf)
+        sets += [(hashes[x:y], weights[x:y]) for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+    up = list(range(len(sets)))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    where: dict = {}
+    for i, own in enumerate(buckets):
+        for bucket in own:
+            where.setdefault(bucket, []).append(i)
+    links, seen = [], set()
+    for members in where.values():
+        for at, i in enumerate(members):
+            for j in members[:at]:
+                if (j, i) not in seen and root(i) != root(j):
+                    seen.add((j, i))
+                    if weighted_jaccard(*sets[i], *sets[j]) >= threshold:
+                        up[root(i)] = root(j)
+                        links.append((i, j))
+    return links, [i for i in range(len(sets)) if up[i] == i]
+
+
+def _few(levels: Broadcast, idf: np.ndarray, threshold: float):
+    """Links of whole candidate components (root, fp, buckets, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot, head = None, (np.zeros(0, np.uint64), np.zeros(0))
-        for batch in batches:
-            names, roles, fps = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            out = []
-            for first, _, data, off in slices(*buffers(batch.column(4))):
-                hashes, weights, ends = weighted(data, off, levels.value, idf)
-                begin = 0
-                for i, end in enumerate(ends.tolist(), first):
-                    own = hashes[begin:end], weights[begin:end]
-                    begin = end
-                    if roles[i] == 0:
-                        pivot, head = names[i], own
-                    elif names[i] == pivot:
-                        out.append((fps[i], pivot, weighted_jaccard(*head, *own)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.binary(), pa.binary(), pa.float64()))], names=["fp", "pivot", "similarity"])
+        for part in groups(batches, ["root"]):
+            links, _ = _connected(part, part.column("buckets").to_pylist(), levels.value, idf, threshold)
+            fps = part.column("fp").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([fps[x[k]] for x in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    return run
 
-    dealt_out = rows.repartition("pivot", "block").sortWithinPartitions("pivot", "block", "role")
-    return dealt_out.mapInArrow(run, "fp binary, pivot binary, similarity double")
+
+def _blocks(levels: Broadcast, idf: np.ndarray, threshold: float):
+    """For blocks of buckets (bucket, block, fp, text): links, and with null b a member of each component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in groups(batches, ["bucket", "block"]):
+            links, roots = _connected(part, [[0]] * len(part), levels.value, idf, threshold)
+            fps, bucket = part.column("fp").to_pylist(), part.column("bucket")[0].as_py()
+            a = [fps[i] for i, _ in links] + [fps[i] for i in roots]
+            b = [fps[j] for _, j in links] + [None] * len(roots)
+            yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(a), pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["bucket", "a", "b"])
+
+    return run
 
 
 def links(members: DataFrame, texts: DataFrame, levels: Broadcast, idf: np.ndarray, threshold: float) -> DataFrame:
-    """(fp, pivot, similarity) of verified links that connect what members(bucket, fp) puts together.
+    """(a, b) of verified links that connect what members(bucket, fp) puts together.
 
-    Each bucket's texts are compared with one of them, the pivot; those that are near it are done with, the others
-    meet another pivot in the next round, until all are done with or alone. Pivots are the least by a hash of text and
-    round, so buckets that hold the same copies share them, and each pair is verified once. A round compares each text
-    once for each bucket: the work grows with the buckets' sizes, not with their squares. At last, texts that still
-    share a bucket but no component meet further pivots, until a round finds no link.
+    Texts that hang together by shared buckets are candidates. A candidate component of at most MEMBERS texts and BYTES
+    goes to one task, each text once, which compares every pair that shares a bucket unless it is connected already.
+    The buckets of larger ones are dealt in blocks of that size; a block finds its components in the same way and sends
+    on one text of each, and those of a bucket meet in new blocks, until a bucket is a single block or a round finds no
+    link. So no group, however large, meets in one task, and copies don't make pairs.
     """
-    spark = members.sparkSession
-    done: list[DataFrame] = []
-    seen: DataFrame | None = None
-    left, turn = members, 0
-
-    def compare(pairs: DataFrame) -> DataFrame:
-        nonlocal seen
-        new = pairs.select("fp", "pivot").distinct()
-        new = new.join(seen.select("fp", "pivot"), ["fp", "pivot"], "left_anti") if seen is not None else new
-        got = written(verified(new, texts, levels, idf))
-        done.append(got)
-        seen = got if seen is None else seen.unionByName(got)
-        return got
-
-    def pivots(of: DataFrame, turn: int) -> DataFrame:
-        best = F.min_by("fp", F.xxhash64("fp", F.lit(turn)))
-        return of.groupBy("bucket").agg(best.alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
-
-    while True:
-        pairs = written(left.join(pivots(left, turn), "bucket").where("fp <> pivot").select("bucket", "fp", "pivot"))
-        if left is not members:
-            dropped(spark, left.written_path)
-        if pairs.isEmpty():
+    heads = members.groupBy("bucket").agg(F.min("fp").alias("head"))
+    pairs = members.join(heads, "bucket").where("fp <> head").select("fp", "head").distinct()
+    roots = written(components(pairs, "fp", "head").withColumnRenamed("id", "fp"))
+    sized = texts.select("fp", F.octet_length("text").cast("long").alias("size"))
+    sums = roots.join(sized, "fp").groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    sums = written(sums.select("root", ((F.col("n") <= MEMBERS) & (F.col("bytes") <= BYTES)).alias("few")))
+    own = members.join(roots.join(sums.where("few"), "root").select("fp", "root"), "fp").groupBy("root", "fp").agg(F.collect_list("bucket").alias("buckets"))
+    rows = own.join(texts, "fp").select("root", "fp", "buckets", "text").repartition("root").sortWithinPartitions("root")
+    found = written(rows.mapInArrow(_few(levels, idf, threshold), "a binary, b binary"))
+    now = written(members.join(roots.join(sums.where("NOT few"), "root").select("fp"), "fp").select("bucket", "fp"))
+    turn = 0
+    while not now.isEmpty():
+        each = now.join(sized, "fp")
+        blocks = each.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("size") / BYTES)).cast("int").alias("blocks"))
+        dealt = now.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("fp", F.lit(turn)), F.col("blocks")).cast("int"))
+        rows = dealt.join(texts, "fp").select("bucket", "block", "fp", "text").repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+        out = written(rows.mapInArrow(_blocks(levels, idf, threshold), "bucket long, a binary, b binary"))
+        new = out.where("b IS NOT NULL").select("a", "b")
+        found = found.union(new)
+        if turn and new.isEmpty():
             break
-        compare(pairs)
-        near = seen.where(F.col("similarity") >= threshold).select("fp", "pivot")
-        left = written(pairs.join(near, ["fp", "pivot"], "left_anti").select("bucket", "fp"))
-        dropped(spark, pairs.written_path)
+        left = out.where("b IS NULL").join(blocks.where("blocks > 1").select("bucket"), "bucket").select("bucket", F.col("a").alias("fp"))
+        now = written(left)
         turn += 1
-    while done:
-        near = seen.where(F.col("similarity") >= threshold)
-        roots = components(near, "fp", "pivot").withColumnRenamed("id", "fp")
-        known = members.join(roots, "fp", "left").select("bucket", "fp", F.coalesce("root", "fp").alias("root"))
-        mixed = known.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
-        known = written(known.join(mixed, "bucket"))
-        turn += 1
-        head = known.groupBy("bucket").agg(F.min_by(F.struct("fp", "root"), F.xxhash64("fp", F.lit(turn))).alias("h"))
-        pairs = known.join(head, "bucket").where("root <> h.root").select("fp", F.col("h.fp").alias("pivot"))
-        if compare(pairs).where(F.col("similarity") >= threshold).isEmpty():
-            break
-    if not done:
-        return spark.createDataFrame([], "fp binary, pivot binary, similarity double")
-    return seen.where(F.col("similarity") >= threshold)
+    return found
 
 
 def _classes(docs: DataFrame, threshold: float, n_bands: int, n_rows: int, strength: float, whole_rows: bool) -> tuple[DataFrame, DataFrame]:
@@ -281,20 +291,21 @@ def _classes(docs: DataFrame, threshold: float, n_bands: int, n_rows: int, stren
     texts = rows.select("fp", F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), "text").join(wanted, ["_id", "fp"], "left_semi")
     texts = written(texts.select("fp", "text").dropDuplicates(["fp"]))
     near = links(members, texts, levels, idf, threshold)
-    roots = components(near, "fp", "pivot").withColumnRenamed("id", "fp")
+    roots = components(near).withColumnRenamed("id", "fp")
     placed = written(nodes.select("fp", "doc_id", "n").join(roots, "fp", "left").select("fp", "doc_id", "n", F.coalesce("root", "fp").alias("root")))
     classes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").cast("long").alias("class_size"))
     return signed, placed.select("fp", "root").join(classes, "root")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, n_bands: int = 16, n_rows: int = 4, strength: float = 0.25) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, n_bands: int = 16, n_rows: int = 4, strength: float = 0.1) -> DataFrame:
     """(doc_id, class_id, class_size, kept) for each row of docs(doc_id, text).
 
     A class holds texts connected by links; a link joins texts whose sets of 5-word shingles, weighted by
     (1 + ln tf) * idf, have a weighted Jaccard similarity of `threshold` or more. Document frequencies come from all
     texts; the idf lies between 1 and 1 + strength, so that a large group of near copies, whose shingles are frequent
     because of the copies, isn't torn apart. Pairs to compare share one of n_bands bands of n_rows ICWS samples each
-    (at similarity 0.8 a pair shares none with probability 0.0003) and are verified by their weights. Equal texts are
+    (at similarity 0.8 a pair shares none with probability 0.0003) and are
+    verified by their weights. Equal texts are
     one text from the start, so copies cost a row each and no comparison. class_id is the least doc_id of a class; kept
     marks that document.
 
@@ -309,7 +320,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n_bands: int = 16,
     return out.select("doc_id", class_id.alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), F.col("doc_id").eqNullSafe(class_id).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, threshold: float = 0.8, n_bands: int = 16, n_rows: int = 4, strength: float = 0.25) -> DataFrame:
+def one_of_each(docs: DataFrame, threshold: float = 0.8, n_bands: int = 16, n_rows: int = 4, strength: float = 0.1) -> DataFrame:
     """The rows of docs, one for each class of near_duplicates(): that of the least doc_id (null last). Texts without words all stay."""
     signed, named = _classes(docs, threshold, n_bands, n_rows, strength, True)
     placed = signed.select("rid", "doc_id", "fp", "bands").where("bands IS NOT NULL").select("rid", "doc_id", "fp").join(named.select("fp", "root"), "fp")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_words, written
+from .common import groups, n_words, written
 
 SCHEMA = "doc_id long, piece long, n_pieces long, start long, size long, bin_id long, bin_capacity long, bin_fill long, bin_offset long"
 
@@ -73,7 +73,7 @@ def best_fit(
     capacities = tuple(capacities)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, "shard"):
+        for group in groups(batches, ["shard"]):
             yield from packed(group)
 
     def packed(t: pa.Table) -> list[pa.RecordBatch]:
@@ -96,20 +96,3 @@ def best_fit(
 
     dealt = items.repartition("shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(run, SCHEMA)
-
-
-def _groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
-    """Tables of the runs of equal `by`."""
-    now: list[pa.RecordBatch] = []
-    for batch in batches:
-        keys = batch.column(by).to_numpy()
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if a == b:
-                continue
-            if now and now[0].column(by)[0].as_py() != keys[a]:
-                yield pa.Table.from_batches(now)
-                now = []
-            now.append(batch.slice(a, b - a))
-    if now:
-        yield pa.Table.from_batches(now)
