@@ -37,6 +37,31 @@ class Graph:
             if len(members):
                 self.layers.append((members, np.full((n, LINKS * (1 if k else 2)), -1, np.int32)))
                 self._fill(members)
+        if n:
+            self._mend()
+
+    def _mend(self, rounds: int = 6) -> None:
+        """Lead to the vectors that a search for themselves doesn't find: a link, in a column kept for it, from the nearest found.
+
+        A group of near copies links within itself, and can be cut off as a whole; a link to one of it in each round is enough.
+        """
+        spare = np.full((len(self.v), 4), -1, np.int32)
+        members, links = self.layers[-1]
+        self.layers[-1] = members, np.concatenate([links, spare], 1)
+        links = self.layers[-1][1]
+        left = np.arange(len(self.v))
+        for _ in range(rounds):
+            ids, sims = self._search(self.v[left], BUILD_BEAM, self._entries(self.v[left]))
+            lost = ~((ids == left[:, None]).any(1) | (sims.max(1) >= 1 - 1e-6))
+            left = left[lost]
+            if not len(left):
+                break
+            near = np.take_along_axis(ids[lost], sims[lost].argmax(1)[:, None], 1)[:, 0]
+            nodes, first = np.unique(near, return_index=True)
+            for node, x in zip(nodes.tolist(), left[first].tolist(), strict=True):
+                for a, b in ((node, x), (x, node)):
+                    free = np.flatnonzero(links[a, -4:] < 0)
+                    links[a, (free[0] if len(free) else b % 4) - 4] = b
 
     def _fill(self, members: np.ndarray) -> None:
         links = self.layers[-1][1]
@@ -217,6 +242,8 @@ def _linked(threshold: float, beam: int, goal: float, audit: int):
             return x
 
         def asked(ids: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+            if not len(state["ids"]):
+                return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.nulls(len(ids), pa.int64()), pa.array(np.zeros(len(ids), np.int64))], names=["a", "b", "n"])
             if "graph" not in state:
                 state["ids"], state["v"], state["n"] = (np.concatenate(state[k]) for k in ("ids", "v", "n"))
                 flat, state["length"] = unit(state["v"])
