@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,26 +18,36 @@ from .textvec import buffers, mix, slices, word_hashes
 ORDERS = (1, 2, 3)
 #: Bytes of text whose n-grams are counted before they are sent, and n-grams that one task counts at a time.
 CHUNK_BYTES, BUCKET_ITEMS = 8 << 20, 4 << 20
+#: Words are told apart by 48 bits, n-grams by 52.
+_SHIFT, _WORD_MASK = np.uint64(16), np.uint64((1 << 48) - 1)
 _MULT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """An array of unsigned integers by planes of bytes, compressed; empty planes cost next to nothing."""
+    """An array of unsigned integers by planes of bytes, each compressed by itself or, if that doesn't pay, as it is."""
     wide = np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)
     planes = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    return bytes([planes]) + zstandard.compress(np.ascontiguousarray(wide[:, :planes].T).tobytes(), 1)
+    parts = []
+    for i in range(planes):
+        raw = wide[:, i].tobytes()
+        small = zstandard.compress(raw, 1)
+        parts.append(small if len(small) < len(raw) else raw)
+    return struct.pack(f"<BI{planes}I", planes, len(x), *map(len, parts)) + b"".join(parts)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    planes = data[0]
-    raw = np.frombuffer(zstandard.decompress(data[1:]), np.uint8).reshape(planes, -1)
-    wide = np.zeros((raw.shape[1], 8), np.uint8)
-    wide[:, :planes] = raw.T
+    planes, n = struct.unpack_from("<BI", data)
+    sizes = struct.unpack_from(f"<{planes}I", data, 5)
+    wide, at = np.zeros((n, 8), np.uint8), 5 + 4 * planes
+    for i, size in enumerate(sizes):
+        part = data[at : at + size]
+        wide[:, i] = np.frombuffer(part if size == n else zstandard.decompress(part), np.uint8)
+        at += size
     return wide.view("<u8").ravel()
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, doc_ids, counts, vocabulary, sequence): the words of some documents as places in their sorted vocabulary."""
+    """(chunk, doc_ids, counts, vocabulary, sequence): the words of some documents as places in their vocabulary."""
     part, n = TaskContext.get().partitionId(), 0
     ids: list = []
     hashes: list[np.ndarray] = []
@@ -45,8 +56,12 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> pa.RecordBatch:
         nonlocal n, held
-        vocabulary, sequence = np.unique(np.concatenate(hashes), return_inverse=True)
-        out = [part << 32 | n, ids[:], np.concatenate(counts).tolist(), _packed(np.diff(vocabulary, prepend=np.uint64(0))), _packed(sequence)]
+        vocabulary, sequence, many = np.unique(np.concatenate(hashes) >> _SHIFT, return_inverse=True, return_counts=True)
+        order = np.argsort(-many, kind="stable")  # frequent words first, so that most numbers are small
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        steps = np.diff(vocabulary[order], prepend=np.uint64(0)) & _WORD_MASK
+        out = [part << 32 | n, ids[:], np.concatenate(counts).tolist(), _packed(steps), _packed(rank[sequence])]
         n, held = n + 1, 0
         for x in (ids, hashes, counts):
             x.clear()
@@ -68,38 +83,43 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Grams:
-    """The distinct n-grams of a chunk in order of hash, for each order, and where they stand."""
+    """A chunk's words, and its distinct n-grams of an order, ascending."""
 
     def __init__(self, counts: list[int], vocabulary: bytes, sequence: bytes):
-        words = np.cumsum(_unpacked(vocabulary), dtype=np.uint64)[_unpacked(sequence).astype(np.int64)]
+        known = np.cumsum(_unpacked(vocabulary), dtype=np.uint64) & _WORD_MASK
+        self.words = known[_unpacked(sequence).astype(np.int64)]
         self.counts = np.array(counts, np.int64)
-        self.place = np.arange(len(words)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)  # of a word in its document
-        self.distinct, self.inverse = {}, {}
-        for n in ORDERS:
-            grams = np.full(len(words), n, np.uint64)
-            for j in range(n):
-                grams[n - 1 :] += words[j : len(words) - n + 1 + j] * _MULT[j]
-            self.distinct[n], self.inverse[n] = np.unique(mix(grams[self.place >= n - 1]), return_inverse=True)
-        self.ends = {n: self.place >= n - 1 for n in ORDERS}
+        self.place = np.arange(len(self.words)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)  # of a word in its document
+
+    def of(self, n: int) -> np.ndarray:
+        """The hash, of 52 bits, of the n-gram that each word ends, of those that have one; a word's own, of 48, comes first in its 52."""
+        if n == 1:
+            return self.words << np.uint64(4)
+        grams = np.full(len(self.words), n, np.uint64)
+        for j in range(n):
+            grams[n - 1 :] += self.words[j : len(self.words) - n + 1 + j] * _MULT[j]
+        return mix(grams[self.place >= n - 1]) >> np.uint64(12)
 
 
 def _sent(bits: int):
     """For each bucket of hashes and order: the chunk's distinct n-grams there and their counts in it."""
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, counts, vocabulary, sequence in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                grams = _Grams(counts, vocabulary, sequence)
-                out = []
+            for i in range(batch.num_rows):
+                chunk, *parts = (batch.column(c)[i].as_py() for c in range(4))
+                grams = _Grams(*parts)
                 for n in ORDERS:
-                    own, many = grams.distinct[n], np.bincount(grams.inverse[n], minlength=len(grams.distinct[n]))
-                    bucket = (own >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(own), np.int64)
+                    own, many = np.unique(grams.of(n), return_counts=True)
+                    bucket = (own >> np.uint64(52 - bits)).astype(np.int64)
+                    own >>= np.uint64(4 if n == 1 else 0)
                     cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
+                    out = []
                     for b in np.flatnonzero(np.diff(cuts)):
                         x, y = cuts[b], cuts[b + 1]
-                        out.append((int(b), chunk, n, _packed(np.diff(own[x:y] >> np.uint64(8), prepend=own[x : x + 1] >> np.uint64(8))), int(own[x] >> np.uint64(8)), _packed(many[x:y])))
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["bucket", "chunk", "n", "grams", "first", "many"])
+                        out.append((int(b), chunk, n, _packed(np.diff(own[x:y], prepend=own[x : x + 1])), int(own[x]), _packed(many[x:y])))
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["bucket", "chunk", "n", "grams", "first", "many"])
 
     return run
 
@@ -147,7 +167,8 @@ def _scored(total_words: int, backoff: float):
         for n in ORDERS:
             c[n] = np.zeros(len(g.place))
             if totals[n]:
-                c[n][g.ends[n]] = np.concatenate([_unpacked(t) for _, t in sorted(totals[n])]).astype(np.float64)[g.inverse[n]]
+                _, inverse = np.unique(g.of(n), return_inverse=True)
+                c[n][g.place >= n - 1] = np.concatenate([_unpacked(t) for _, t in sorted(totals.pop(n))]).astype(np.float64)[inverse]
         before = {n: np.concatenate([[0.0], c[n][:-1]]) for n in (1, 2)} if len(g.place) else {1: c[1], 2: c[2]}
         has3, has2 = c[3] > 0, c[2] > 0
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -156,7 +177,7 @@ def _scored(total_words: int, backoff: float):
             one = np.log(c[1]) - np.log(total_words) + log_b * np.minimum(g.place, 2)
         each = np.where(has3, three, np.where(has2, two, one))
         doc = np.repeat(np.arange(len(counts)), g.counts)
-        tally = lambda w: np.bincount(doc, w, len(counts))
+        tally = lambda w: np.bincount(doc, w, len(counts)).astype(np.float64)
         out = [g.counts, tally(has3).astype(np.int64), tally(has2 & ~has3).astype(np.int64), tally(each)]
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, out)], names=["doc_id", "n_words", "n_order3", "n_order2", "log_score"])
 
@@ -189,7 +210,8 @@ def stupid_backoff(docs: DataFrame, least: int = 2, backoff: float = 0.4) -> Dat
     Documents are written as chunks of word numbers. Each chunk's distinct n-grams of the three orders go, with their
     counts, to the bucket of their hash, where they are counted; each bucket answers each chunk, and the answers are
     joined to the chunks and summed by document. An n-gram reaches a bucket once for each chunk, so frequent ones
-    don't gather. N-grams are told apart by 56 bits of hash.
+    don't gather. Words are told apart by
+    48 bits of hash, n-grams by 52.
 
     Null text has no words and score 0, as an empty one; a null doc_id is kept; equal rows count and are scored each;
     an empty table gives no rows. Whole texts are used. Other columns are ignored, whatever their names.
