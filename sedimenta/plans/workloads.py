@@ -101,3 +101,17 @@ def series(
 def verified(points: DataFrame) -> DataFrame:
     """points with a status: whether the value is what was generated for its tags and time."""
     return points.withColumn("status", F.when(series_check(F.col("tags"), F.col("ts")) == F.col("value"), OK).otherwise("UNEXPECTED_STATE"))
+
+
+def occupancy_records(disk_bytes: int, occupancy: float, fields: int = 10, field_length: int = 100, memory_ratio: int = 1) -> int:
+    """How many records fill a share of a disk."""
+    return int(disk_bytes * occupancy / (fields * field_length * memory_ratio))
+
+
+def templated(text: str, records: int, operations_: int) -> str:
+    """A workload's settings with its numbers of records and operations replaced."""
+    out = []
+    for line in text.splitlines():
+        name = line.split("=", 1)[0].strip()
+        out.append({"recordcount": f"recordcount={records}", "operationcount": f"operationcount={operations_}"}.get(name, line))
+    return "\n".join(out)
