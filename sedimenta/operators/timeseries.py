@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The reserved names of time, grouping and downsampling among a query's parts.
+TIME, GROUP, DOWNSAMPLE = "YCSBTS", "YCSBGB", "YCSBDS"
 FUNCTIONS = {"SUM": F.sum, "AVERAGE": F.avg, "COUNT": F.count, "MAX": F.max, "MIN": F.min}
 OK, BAD_REQUEST, NOT_IMPLEMENTED = "OK", "BAD_REQUEST", "NOT_IMPLEMENTED"
 
@@ -26,8 +28,8 @@ class TimeQuery:
     every: int = 0
 
 
-def parse(parts: list[str], ts: str = "YCSBTS", group: str = "YCSBGB", downsample: str = "YCSBDS", pair: str = "=", range_: str = ",") -> TimeQuery:
-    """A query from its parts: `ts=a,b` or `ts=a`, `tag=value`, a bare tag to group by, `YCSBGB=FUNC`, `YCSBDS=FUNC60` or `FUNC=60`."""
+def parse(parts: list[str], ts: str = TIME, group: str = GROUP, downsample: str = DOWNSAMPLE, pair: str = "=", range_: str = ",") -> TimeQuery:
+    """A query from its parts: `TIME=a,b` or `TIME=a`, `tag=value`, a bare tag to group by, `GROUP=FUNC`, `DOWNSAMPLE=FUNC60` or `FUNC=60`."""
     q = TimeQuery()
     for part in parts:
         name, sep, value = part.partition(pair)
@@ -101,8 +103,8 @@ def downsample(points: DataFrame, by: list[str], ts: str, every: str, function:
     return out.select(*by, F.col("_w.start").alias(name), value)
 
 
-def parse_delete(text: str, ts: str = "YCSBTS", delimiter: str = ":", pair: str = "=") -> tuple[str, TimeQuery]:
-    """(metric, query) from `key:tag=value:tag:YCSBTS=a,b`; a bare tag stands for any value."""
+def parse_delete(text: str, ts: str = TIME, delimiter: str = ":", pair: str = "=") -> tuple[str, TimeQuery]:
+    """(metric, query) from `key:tag=value:tag:TIME=a,b`; a bare tag stands for any value."""
     metric, *parts = text.split(delimiter)
     q = parse(parts, ts=ts, pair=pair)
     q.group = []
