@@ -15,8 +15,8 @@ SCRAMBLED_ITEMS, SCRAMBLED_ZETA, THETA = 10_000_000_000, 26.46902820178302, 0.99
 
 
 def unit(seed: Column) -> Column:
-    """A number in [0, 1) from a hash: reruns and retries of a task agree, as those of rand() needn't."""
-    return F.shiftrightunsigned(F.xxhash64(seed), 11) / F.lit(float(1 << 53))
+    """A number in [0, 1) from 52 bits of a hash: reruns and retries of a task agree, as those of rand() needn't."""
+    return F.conv(F.substring(F.md5(seed.cast("string")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def counter(spark: SparkSession, n: int, start: int = 0) -> DataFrame:

@@ -106,9 +106,19 @@ def bytes_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("c_custkey", back.alias("back"), Z.bytes_to_double(Z.double_to_bytes("c_acctbal")).alias("value"))
 
 
-@query()
+JAVA = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)), lambda a, c: (a * 31 + c) % 4294967296)"
+
+
+def _field_sql(steps: int = 16) -> str:
+    inner = f"SELECT c_custkey, 'user' || c_custkey || ':field0' AS s FROM customer"
+    for _ in range(steps):
+        inner = f"SELECT c_custkey, CASE WHEN length(s) < 100 THEN s || ':' || (CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) ELSE s END AS s FROM (SELECT c_custkey, s, {JAVA.format('s')} AS h FROM ({inner}))"
+    return f"SELECT c_custkey, left(s, 100) AS value FROM ({inner})"
+
+
+@query(_field_sql())
 def gen_field_values(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "customer").select("c_custkey", Z.key_name(F.col("c_custkey")).alias("key"))
+    rows = table(spark, d, "customer").select("c_custkey", Z.key_name(F.col("c_custkey"), ordered=True).alias("key"))
     return rows.select("c_custkey", Z.field_value("key", F.lit("field0"), F.lit(100)).alias("value"))
 
 
@@ -146,8 +156,35 @@ def _workload(name: str):
     return run
 
 
+def _unit_sql(i: int) -> str:
+    return f"(CAST('0x' || substr(md5('1:{i}:' || op_id), 1, 13) AS BIGINT) / 4503599627370496.0)"
+
+
+def _zipf_sql() -> str:
+    """The scrambled item of an operation among as many as there are customers."""
+    z, eta = G.SCRAMBLED_ZETA, (1 - (2.0 / G.SCRAMBLED_ITEMS) ** 0.01) / (1 - G.zeta(2) / G.SCRAMBLED_ZETA)
+    u = _unit_sql(1)
+    rank = f"CAST(CASE WHEN {u} * {z!r} < 1 THEN 0 WHEN {u} * {z!r} < {1 + 0.5**0.99!r} THEN 1 ELSE floor({float(G.SCRAMBLED_ITEMS)!r} * pow({eta!r} * {u} - {eta!r} + 1, {1 / (1 - 0.99)!r})) END AS BIGINT)"
+    return f"(SELECT op_id, {rank} AS rank FROM (SELECT range AS op_id FROM range(2000)))"
+
+
+def _workload_sql(name: str) -> str:
+    mix, _ = W.MIXES[name]
+    op, upto = "CASE", 0.0
+    for k, w in mix.items():
+        upto += w
+        op += f" WHEN {_unit_sql(0)} < {upto / sum(mix.values())!r} THEN '{k}'"
+    op += f" ELSE '{list(mix)[-1]}' END"
+    if "SCAN" not in mix:
+        return f"SELECT {op} AS op, 'OK' AS status, count(*) AS n, count(*) AS n_rows FROM (SELECT range AS op_id FROM range(2000)) GROUP BY 1"
+    length = f"CAST(1 + floor({_unit_sql(3)} * 100) AS BIGINT)"
+    return f"""WITH z AS (SELECT op_id, {_fnv_sql('rank')} AS h FROM {_zipf_sql()}), c AS (SELECT count(*) AS n FROM customer),
+o AS (SELECT {op} AS op, {length} AS length, CAST((CASE WHEN h >= 9223372036854775808::UHUGEINT THEN 18446744073709551616::UHUGEINT - h ELSE h END) % c.n::UHUGEINT AS BIGINT) AS k, c.n AS total FROM z, c)
+SELECT op, 'OK' AS status, count(*) AS n, CAST(sum(CASE WHEN op = 'SCAN' THEN least(length, total - k) ELSE 1 END) AS BIGINT) AS n_rows FROM o GROUP BY 1"""
+
+
 for _name in W.MIXES:
-    query()(_workload(_name))
+    query(_workload_sql(_name))(_workload(_name))
 
 LIVE = "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1 AND event_type <> 'error'"
 
