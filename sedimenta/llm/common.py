@@ -94,9 +94,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     node, so no component, however large, meets in one task. Each round is written to the shared folder.
     """
     spark = edges.sparkSession
-    now = written(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    )
+    now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     last = None
     for _ in range(rounds):
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -104,12 +102,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
             break
         last = state
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Written, so that the join has a plain exchange on either side and a hub's edges can be split.
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large)
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         before, now = now, written(small.where("u <> v").distinct())
-        dropped(spark, before.written_path)
+        for done in (before, low, large, least):
+            dropped(spark, done.written_path)
+    else:
+        raise RuntimeError(f"components aren't found in {rounds} rounds")
     roots = now.select(F.col("u").alias("id"), F.col("v").alias("root"))
     return roots.union(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
