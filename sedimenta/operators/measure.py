@@ -49,7 +49,7 @@ def latency_series(rows: DataFrame, by: Sequence[str], ts_ms: str, latency: str,
     """Mean latency of each step since the group's first measurement: (by..., step, n, mean)."""
     first = rows.groupBy(*by).agg(F.min(ts_ms).alias("_first"))
     step = (F.floor((F.col(ts_ms) - F.col("_first")) / step_ms) * step_ms).cast("long")
-    return rows.join(F.broadcast(first), list(by)).groupBy(*by, step.alias("step")).agg(F.count("*").alias("n"), F.avg(latency).alias("mean"))
+    return rows.join(first, list(by)).groupBy(*by, step.alias("step")).agg(F.count("*").alias("n"), F.avg(latency).alias("mean"))
 
 
 def log_bounds() -> list[float]:
@@ -80,7 +80,7 @@ def log_histogram(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 def log_percentiles(rows: DataFrame, by: Sequence[str], value: str, percentiles: Sequence[float]) -> DataFrame:
     """(by..., p, value): linear within the bucket that the percentile falls in, within the group's least and greatest value."""
     ends = rows.groupBy(*by).agg(F.min(value).cast("double").alias("_least"), F.max(value).cast("double").alias("_most"), F.count("*").alias("_all"))
-    h = log_histogram(rows, by, value).join(F.broadcast(ends), list(by)).withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in percentiles])))
+    h = log_histogram(rows, by, value).join(ends, list(by)).withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in percentiles])))
     want = F.col("_all") * (F.col("p") / 100.0)
     hit = h.withColumn("_want", want).where((F.col("upto") >= F.col("_want")) & (F.col("upto") - F.col("n") < F.col("_want")))
     at = F.col("low") + (F.col("high") - F.col("low")) * ((F.col("_want") - (F.col("upto") - F.col("n"))) / F.col("n"))

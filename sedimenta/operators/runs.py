@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,13 +20,18 @@ def roll(log: DataFrame, order: Sequence[str], size: Column, limit: int, within:
     return log.withColumn("segment", F.floor(F.coalesce(F.sum(size).over(before), F.lit(0)) / limit).cast("long"))
 
 
-def rolled_sizes(log: DataFrame, seq: str, size: Column, limit: int, cell: int) -> DataFrame:
-    """roll() of one log: running sums within cells of `cell` positions, and a sum over one row for each cell."""
+def rolled_sizes(log: DataFrame, seq: str, size: Column, limit: int, cell: int | None = None) -> DataFrame:
+    """roll() of one log: running sums within cells of `cell` positions, and over one row for each cell.
+
+    By default a cell is as long as there are cells, so that neither window has more than the root of the log's length.
+    """
+    if cell is None:
+        cell = math.isqrt((log.agg(F.max(seq)).first()[0] or 0) + 1) + 1
     log = log.withColumn("_size", size).withColumn("_cell", F.floor(F.col(seq) / cell))
     cells = log.groupBy("_cell").agg(F.sum("_size").alias("_n"))
     cells = cells.select("_cell", F.coalesce(F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     before = F.coalesce(F.sum("_size").over(Window.partitionBy("_cell").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = log.withColumn("_before", before).join(F.broadcast(cells), "_cell")
+    out = log.withColumn("_before", before).join(cells, "_cell")
     return out.withColumn("segment", F.floor((F.col("_start") + F.col("_before")) / limit).cast("long")).drop("_size", "_cell", "_before", "_start")
 
 

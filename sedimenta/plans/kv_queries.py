@@ -157,7 +157,7 @@ def log_tail(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH s AS (SELECT event_id, coalesce(sum(strlen(props) + 24) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM events)
 SELECT CAST(before // 4096 AS BIGINT) AS segment, count(*) AS n, min(event_id) AS first FROM s GROUP BY 1""")
 def tail_roll(spark: SparkSession, d: str) -> DataFrame:
-    rows = R.rolled_sizes(table(spark, d, "events"), "event_id", F.octet_length("props") + 24, 4096, 4096)
+    rows = R.rolled_sizes(table(spark, d, "events"), "event_id", F.octet_length("props") + 24, 4096)
     return rows.groupBy("segment").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
 
 

@@ -57,7 +57,7 @@ def dead_tasks(beats: DataFrame, task: str, ts: str, status: str, seconds: int)
 
 def follow(stream: DataFrame, probes: DataFrame, key: str) -> DataFrame:
     """Records of the probes' keys as they appear: a read that waits for its key."""
-    return stream.join(F.broadcast(probes.select(key).distinct()), key, "left_semi")
+    return stream.join(probes.select(key).distinct(), key, "left_semi")
 
 
 def run_once(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
