@@ -41,13 +41,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
     )
 
 
-def systematic_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 7, whole_rows: bool = False) -> DataFrame:
+def systematic_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 7, draws: int = 32, whole_rows: bool = False) -> DataFrame:
     """For each row of docs(doc_id, source, text): doc_id, size, source_size, target, copies, taken; with whole_rows also the row.
 
     A document is expected target / source_size times, at most `most`. The documents of a source stand in order of
     size class, hash and doc_id; their expected copies are summed from a random offset, and a document is emitted once
-    for each integer that the sum crosses on it. Sums are exact integers. They are taken in two steps (over classes of
-    a source, then within a class), so a hot source is spread over many tasks.
+    for each integer that the sum crosses on it. The offset is the one of `draws` random ones that takes nearest to the
+    target, which matters where few documents hold most words; it depends on seed and source alone otherwise. Sums are
+    exact integers. They are taken in two steps (over classes of a source, then within a class), so a hot source is
+    spread over many tasks.
 
     Null text has size 0; a null source is a source of its own, a null doc_id a document like any other. Equal rows
     are each a document; which of them gets an odd copy doesn't show. A source without words is taken 0 times and has
@@ -60,19 +62,25 @@ def systematic_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
     rows = rows.withColumn("_hash", F.conv(F.substring(key, 1, 8), 16, 10).cast("long"))
     rows = rows.withColumn("_salt", (F.col("_hash") % SALTS).cast("int")).withColumn("_source", F.coalesce("source", F.lit("\0null")))
     rows = written(rows)
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("null")))), 1, 6), 16, 10).cast("long")
     wanted = targets(rows.select("source", "size"), weights, most).select(
         F.coalesce("source", F.lit("\0null")).alias("_source"), "source_size", "target",
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * UNIT)).otherwise(0).cast("long").alias("_rate"),
-        offset.alias("_offset"),
     )
+    wanted = written(wanted)
     cells = rows.groupBy("_source", "_class", "_salt").agg(F.count("*").alias("_n"))
     upto = Window.partitionBy("_source").orderBy("_class", "_salt").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0))).join(wanted, "_source")
+    cells = written(cells.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0))).join(wanted, "_source").drop("_n"))
     within = Window.partitionBy("_source", "_class", "_salt").orderBy("_hash", F.col("doc_id").asc_nulls_first(), "_k1", "_k2")
-    placed = rows.withColumn("_i", F.row_number().over(within)).join(cells.drop("_n"), ["_source", "_class", "_salt"])
-    crossed = f"(_offset + (_before + _i) * _rate) div {UNIT} - (_offset + (_before + _i - 1) * _rate) div {UNIT}"
-    placed = placed.withColumn("copies", F.expr(crossed).cast("long"))
+    cell = ["_source", "_class", "_salt"]
+    crossed = lambda o: F.expr(f"({o} + (_before + _i) * _rate) div {UNIT} - ({o} + (_before + _i - 1) * _rate) div {UNIT}")
+    salt = F.when(F.col("_source") == "\0null", "null").otherwise(F.col("_source"))
+    offset = lambda k: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{k}:"), salt)), 1, 6), 16, 10).cast("long")
+    placed = rows.withColumn("_i", F.row_number().over(within))
+    tried = placed.join(cells.withColumns({f"_o{k}": offset(k) for k in range(draws)}), cell)
+    sums = tried.groupBy("_source").agg(*[F.sum(crossed(f"_o{k}") * F.col("size")).alias(f"_t{k}") for k in range(draws)])
+    far = F.array(*[F.struct(F.abs(F.col(f"_t{k}") - F.col("target")).alias("far"), F.lit(k).alias("k"), offset(k).alias("offset")) for k in range(draws)])
+    chosen = sums.join(wanted, "_source").select("_source", F.array_min(far).offset.alias("_offset"))
+    placed = placed.join(written(cells.join(chosen, "_source")), cell).withColumn("copies", crossed("_offset").cast("long"))
     return placed.select(
         "doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["row"] if whole_rows else [])
     )
@@ -96,13 +104,16 @@ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum
       FROM r WINDOW b AS (ORDER BY cap / w::DOUBLE, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, source_size, w, cap, max(CASE WHEN lev * w <= cap THEN lev END) OVER () AS lvl FROM l),
 g AS (SELECT source, source_size, CASE WHEN lvl IS NULL OR lvl * w >= cap THEN CAST(cap AS DOUBLE) ELSE lvl * w END AS target FROM t),
-x AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size * {UNIT}) AS BIGINT) ELSE 0 END AS rate,
-             CAST('0x' || substr(md5('7:' || coalesce(source, 'null')), 1, 6) AS BIGINT) AS off FROM g),
-o AS (SELECT d.doc_id, d.size, x.source_size, x.target, x.rate, x.off,
+x AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size * {UNIT}) AS BIGINT) ELSE 0 END AS rate FROM g),
+o AS (SELECT d.doc_id, d.size, x.source, x.source_size, x.target, x.rate,
              row_number() OVER (PARTITION BY d.source ORDER BY CASE WHEN d.size > 0 THEN CAST(floor(log2(d.size) * 8) AS INT) ELSE -1 END,
                                 h % {SALTS}, h, d.doc_id NULLS FIRST) AS i
-      FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source)
+      FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source),
+k AS (SELECT source, target, range AS k, CAST('0x' || substr(md5('7:' || range || ':' || coalesce(source, 'null')), 1, 6) AS BIGINT) AS off FROM x, range(32)),
+f AS (SELECT o.source, k, off, abs(sum(size * ((off + i * rate) // {UNIT} - (off + (i - 1) * rate) // {UNIT})) - any_value(o.target)) AS far
+      FROM o JOIN k ON o.source IS NOT DISTINCT FROM k.source GROUP BY 1, 2, 3),
+b AS (SELECT source, off FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY far, k) AS rn FROM f) WHERE rn = 1)
 SELECT doc_id, size, source_size, target, CAST((off + i * rate) // {UNIT} - (off + (i - 1) * rate) // {UNIT} AS BIGINT) AS copies,
        CAST(size * ((off + i * rate) // {UNIT} - (off + (i - 1) * rate) // {UNIT}) AS BIGINT) AS taken
-FROM o
+FROM o JOIN b ON o.source IS NOT DISTINCT FROM b.source
 """
