@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that separates words, and the words between.
@@ -93,25 +93,30 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     Alternating large-star and small-star steps: a hub's edges are aggregated map-side and joined to one row per
     node, so no component, however large, meets in one task. Each round is written to the shared folder.
     """
+
+    def put(df: DataFrame) -> tuple[DataFrame, tuple]:
+        """df, written, and what tells it from another set of edges."""
+        seen = Observation()
+        out = written(df.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")))
+        return out, (seen.get["n"], seen.get["sum"])
+
     spark = edges.sparkSession
-    now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    last = None
+    now, state = put(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     for _ in range(rounds):
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state[0] == 0 or state == last:
+        if not state[0]:
             break
-        last = state
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Written, so that the join has a plain exchange on either side and a hub's edges can be split.
         low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large)
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(least, "u")
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        before, now = now, written(small.where("u <> v").distinct())
-        for done in (before, low, large, least):
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        before, last = now, state
+        now, state = put(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        for done in (before, low):
             dropped(spark, done.written_path)
+        if state == last:
+            break
     else:
         raise RuntimeError(f"components aren't found in {rounds} rounds")
     roots = now.select(F.col("u").alias("id"), F.col("v").alias("root"))

@@ -180,8 +180,8 @@ def signatures(rows: DataFrame, levels: Broadcast, idf: np.ndarray, n_bands: int
     return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", bands array<bigint>")
 
 
-def _connected(part: pa.Table, buckets: list[list], levels: np.ndarray, idf: np.ndarray, threshold: float) -> tuple[list[tuple[int, int]], list[int]]:
-    """(links, roots) of some texts: verified links that connect what share a bucket, and a member of each component, by row.
+def _connected(part: pa.Table, buckets: list[list], levels: np.ndarray, idf: np.ndarray, threshold: float) -> list[bytes]:
+    """For each of some texts the least fp of its component, connected by verified links of texts that share a bucket.
 
     Pairs that are connected already aren't compared, so copies cost a comparison each.
     """
@@ -201,7 +201,7 @@ def _connected(part: pa.Table, buckets: list[list], levels: np.ndarray, idf: np.
     for i, own in enumerate(buckets):
         for bucket in own:
             where.setdefault(bucket, []).append(i)
-    links, seen = [], set()
+    seen = set()
     for members in where.values():
         for at, i in enumerate(members):
             for j in members[:at]:
@@ -209,47 +209,47 @@ def _connected(part: pa.Table, buckets: list[list], levels: np.ndarray, idf: np.
                     seen.add((j, i))
                     if weighted_jaccard(*sets[i], *sets[j]) >= threshold:
                         up[root(i)] = root(j)
-                        links.append((i, j))
-    return links, [i for i in range(len(sets)) if up[i] == i]
+    fps, least = part.column("fp").to_pylist(), {}
+    for i, fp in enumerate(fps):
+        least[root(i)] = min(least.get(root(i), fp), fp)
+    return [least[root(i)] for i in range(len(fps))]
 
 
 def _few(levels: Broadcast, idf: np.ndarray, threshold: float):
-    """Links of whole candidate components (root, fp, buckets, text)."""
+    """(a, b) for whole candidate components (root, fp, buckets, text): each fp that isn't the least of its component, and that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in groups(batches, ["root"]):
-            links, _ = _connected(part, part.column("buckets").to_pylist(), levels.value, idf, threshold)
-            fps = part.column("fp").to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([fps[x[k]] for x in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
+            heads = _connected(part, part.column("buckets").to_pylist(), levels.value, idf, threshold)
+            pairs = [(a, b) for a, b in zip(part.column("fp").to_pylist(), heads, strict=True) if a != b]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
 def _blocks(levels: Broadcast, idf: np.ndarray, threshold: float):
-    """For blocks of buckets (bucket, block, fp, text): links, and with null b a member of each component."""
+    """(bucket, a, b) for blocks of buckets (bucket, block, fp, text): each fp and the least of its component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in groups(batches, ["bucket", "block"]):
-            links, roots = _connected(part, [[0]] * len(part), levels.value, idf, threshold)
-            fps, bucket = part.column("fp").to_pylist(), part.column("bucket")[0].as_py()
-            a = [fps[i] for i, _ in links] + [fps[i] for i in roots]
-            b = [fps[j] for _, j in links] + [None] * len(roots)
-            yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(a), pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["bucket", "a", "b"])
+            heads = _connected(part, [[0]] * len(part), levels.value, idf, threshold)
+            yield pa.RecordBatch.from_arrays([part.column("bucket").combine_chunks(), part.column("fp").combine_chunks(), pa.array(heads, pa.binary())], names=["bucket", "a", "b"])
 
     return run
 
 
 def links(members: DataFrame, texts: DataFrame, levels: Broadcast, idf: np.ndarray, threshold: float) -> DataFrame:
-    """(a, b) of verified links that connect what members(bucket, fp) puts together.
+    """(a, b): pairs of texts whose components are those of the verified links among what members(bucket, fp) puts together.
 
     Texts that hang together by shared buckets are candidates. A candidate component of at most MEMBERS texts and BYTES
     goes to one task, each text once, which compares every pair that shares a bucket unless it is connected already.
     The buckets of larger ones are dealt in blocks of that size; a block finds its components in the same way and sends
     on one text of each, and those of a bucket meet in new blocks, until a bucket is a single block or a round finds no
-    link. So no group, however large, meets in one task, and copies don't make pairs.
+    link. So no group, however large, meets in one task, and copies don't make pairs. What one row for each key is
+    joined to is written before, so that the rows of a hot key can be split over tasks.
     """
-    heads = members.groupBy("bucket").agg(F.min("fp").alias("head"))
-    pairs = members.join(heads, "bucket").where("fp <> head").select("fp", "head").distinct()
+    heads = written(members.groupBy("bucket").agg(F.min("fp").alias("head")))
+    pairs = members.join(heads, "bucket").where("fp <> head").select("fp", "head")
     roots = written(components(pairs, "fp", "head").withColumnRenamed("id", "fp"))
     sized = texts.select("fp", F.octet_length("text").cast("long").alias("size"))
     sums = roots.join(sized, "fp").groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
@@ -262,15 +262,15 @@ def links(members: DataFrame, texts: DataFrame, levels: Broadcast, idf: np.ndarr
     while not now.isEmpty():
         each = now.join(sized, "fp")
         blocks = each.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("size") / BYTES)).cast("int").alias("blocks"))
+        blocks = written(blocks)
         dealt = now.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("fp", F.lit(turn)), F.col("blocks")).cast("int"))
         rows = dealt.join(texts, "fp").select("bucket", "block", "fp", "text").repartition("bucket", "block").sortWithinPartitions("bucket", "block")
         out = written(rows.mapInArrow(_blocks(levels, idf, threshold), "bucket long, a binary, b binary"))
-        new = out.where("b IS NOT NULL").select("a", "b")
+        new = out.where("a <> b").select("a", "b")
         found = found.union(new)
         if turn and new.isEmpty():
             break
-        left = out.where("b IS NULL").join(blocks.where("blocks > 1").select("bucket"), "bucket").select("bucket", F.col("a").alias("fp"))
-        now = written(left)
+        now = written(out.where("a = b").join(blocks.where("blocks > 1").select("bucket"), "bucket").select("bucket", F.col("a").alias("fp")))
         turn += 1
     return found
 
@@ -285,7 +285,7 @@ def _classes(docs: DataFrame, threshold: float, n_bands: int, n_rows: int, stren
     signed = written(signatures(rows, levels, idf, n_bands, n_rows))
     nodes = written(signed.where("bands IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.count("*").alias("n")))
     each = nodes.select("fp", F.explode("bands").alias("bucket"))
-    shared = each.groupBy("bucket").count().where("count > 1").select("bucket")
+    shared = written(each.groupBy("bucket").count().where("count > 1").select("bucket"))
     members = written(each.join(shared, "bucket"))
     wanted = members.select("fp").distinct().join(nodes.select("fp", "doc_id"), "fp").select("fp", F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"))
     texts = rows.select("fp", F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), "text").join(wanted, ["_id", "fp"], "left_semi")
