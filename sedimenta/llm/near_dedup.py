@@ -263,7 +263,7 @@ def links(members: DataFrame, texts: DataFrame, levels: Broadcast, idf: np.ndarr
         each = now.join(sized, "fp")
         blocks = each.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("size") / BYTES)).cast("int").alias("blocks"))
         blocks = written(blocks)
-        dealt = now.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("fp", F.lit(turn)), F.col("blocks")).cast("int"))
+        dealt = now.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("fp", "bucket", F.lit(turn)), F.col("blocks")).cast("int"))
         rows = dealt.join(texts, "fp").select("bucket", "block", "fp", "text").repartition("bucket", "block").sortWithinPartitions("bucket", "block")
         out = written(rows.mapInArrow(_blocks(levels, idf, threshold), "bucket long, a binary, b binary"))
         new = out.where("a <> b").select("a", "b")
