@@ -99,6 +99,6 @@ def write_run(records: DataFrame, path: str, key: str, files: int = 1, bloom: bo
     writer.parquet(path)
 
 
-def output_files(size_bytes: int, last_level: bool, file_limit: int) -> int:
-    """Files of a merge's output: one, but in the last level as many as the limit asks for."""
-    return max(1, -(-size_bytes // file_limit)) if last_level else 1
+def output_files(size_bytes: int, file_limit: int) -> int:
+    """Files of a merge's output: as many as the limit asks for, with ranges of keys that don't overlap."""
+    return max(1, -(-size_bytes // file_limit))

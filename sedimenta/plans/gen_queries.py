@@ -200,7 +200,7 @@ def _folder(spark: SparkSession) -> str:
 
 
 def _once(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
-    return live.run_once(df, f"stream_{uuid.uuid4().hex}", mode, _folder(spark))
+    return live.run_once(df, _folder(spark), mode)
 
 
 @query(LIVE)

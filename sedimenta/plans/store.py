@@ -102,8 +102,7 @@ class Store:
         return S.scan(self.state(), "key", start, n)
 
     def _write(self, rows: DataFrame, level: int, size: int) -> list[dict]:
-        last = level == self.config.max_level
-        files = R.output_files(size, last, self.config.file_size[level - 1])
+        files = R.output_files(size, self.config.file_size[level - 1])
         path = f"{self.path}/sstable{level}/{uuid.uuid4().hex}"
         R.write_run(rows.select("key", "value", "type", "seq"), path, "key", files)
         written = self.spark.read.parquet(path).select("key", "_metadata.file_path", "_metadata.file_size")
@@ -120,7 +119,8 @@ class Store:
         if len(segments) > c.log_files:  # the newest is the tail
             taken = segments[:2]
             rows = self.log.records().where(F.col("segment").isin(taken)).drop("segment")
-            new = self._write(N.last_records(rows, ["key"], ["seq"]), 1, 0)
+            size = self.log.sizes().where(F.col("segment").isin(taken)).agg(F.sum("size_bytes")).first()[0]
+            new = self._write(N.last_records(rows, ["key"], ["seq"]), 1, size)
             self._commit(m | {"compacted": m["compacted"] + taken, "runs": m["runs"] + new})
             return True
         for level in range(1, c.max_level + 1):

@@ -60,11 +60,20 @@ def follow(stream: DataFrame, probes: DataFrame, key: str) -> DataFrame:
     return stream.join(probes.select(key).distinct(), key, "left_semi")
 
 
-def run_once(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """What a stream gives over all there is now, as a table in memory of that name. For tests and small results."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(df: DataFrame, folder: str, mode: str) -> DataFrame:
+    """What a stream gives over all there is now, as a table under a shared folder.
+
+    In complete mode a batch replaces the table, otherwise each batch is a part of it; a batch that is run again after a
+    failure replaces its own part.
+    """
+    folder = folder.rstrip("/")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out" if mode == "complete" else f"{folder}/out/batch={number}")
+
+    q = df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out")
 
 
 def persist(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, every: str = "100 milliseconds"):

@@ -12,7 +12,7 @@ def test_a_stream_of_files_ends_where_a_batch_does(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         del i
     gone = F.col("type") == 0
-    out = live.run_once(live.latest(live.read_log(spark, str(tmp_path / "in"), schema, 1), ["key"], ["seq"], gone), "live_test", "complete", str(tmp_path / "c"))
+    out = live.run_once(live.latest(live.read_log(spark, str(tmp_path / "in"), schema, 1), ["key"], ["seq"], gone), str(tmp_path / "c"), "complete")
     batch = snapshot(spark.read.schema(schema).parquet(str(tmp_path / "in")), ["key"], ["seq"], gone)
     assert sorted(out.collect()) == sorted(batch.collect()) == [("a", 2, "2", 1)]
 
@@ -40,5 +40,5 @@ def test_entry_log_in_batch_and_followed(spark, tmp_path):
     rows = spark.read.format("entrylog").option("path", log.path).option("start", 60).option("end", 70).load()
     assert [r.seq for r in rows.orderBy("seq").collect()] == list(range(60, 70))
     stream = spark.readStream.format("entrylog").option("path", log.path).load()
-    out = live.run_once(live.latest(stream, ["key"], ["seq"], F.col("type") == 0), "entries", "complete", str(tmp_path / "c"))
+    out = live.run_once(live.latest(stream, ["key"], ["seq"], F.col("type") == 0), str(tmp_path / "c"), "complete")
     assert out.count() == 150
