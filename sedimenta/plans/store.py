@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +48,10 @@ class Store:
     they began with. For one writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, path: str, config: Config | None = None):
+    def __init__(self, spark: SparkSession, path: str, config: Config | None = None, listener: Callable[[str, dict], None] | None = None):
+        """listener is told of "new_tail", "compaction_started", "compaction_completed" and "view_updated"."""
         self.spark, self.path, self.config = spark, path.rstrip("/"), config or Config()
+        self.tell = listener or (lambda event, what: None)
         self.log = L.RecordLog(spark, f"{self.path}/log")
 
     def manifest(self) -> dict:
@@ -64,12 +67,13 @@ class Store:
         m = m | {"version": m["version"] + 1}
         if not L.put_text(self.spark, f"{self.path}/manifest/{m['version']}.json", json.dumps(m)):
             raise RuntimeError("another writer has committed this version")
+        self.tell("view_updated", {"version": m["version"]})
 
     def put(self, rows: DataFrame) -> None:
-        self.log.put(rows)
+        self.tell("new_tail", {"segment": self.log.put(rows)})
 
     def remove(self, keys: DataFrame) -> None:
-        self.log.delete(keys)
+        self.tell("new_tail", {"segment": self.log.delete(keys)})
 
     def layers(self, key: str | None = None) -> list[DataFrame]:
         """Newest first: the segments that no run holds, then the runs of each level; `key` skips runs by their range."""
@@ -118,16 +122,19 @@ class Store:
         segments = [s for s in self.log._segments() if s not in m["compacted"]]
         if len(segments) > c.log_files:  # the newest is the tail
             taken = segments[:2]
+            self.tell("compaction_started", {"level": 0, "inputs": taken})
             rows = self.log.records().where(F.col("segment").isin(taken)).drop("segment")
             size = self.log.sizes().where(F.col("segment").isin(taken)).agg(F.sum("size_bytes")).first()[0]
             new = self._write(N.last_records(rows, ["key"], ["seq"]), 1, size)
             self._commit(m | {"compacted": m["compacted"] + taken, "runs": m["runs"] + new})
+            self.tell("compaction_completed", {"level": 1, "outputs": [r["path"] for r in new]})
             return True
         for level in range(1, c.max_level + 1):
             own = [r for r in m["runs"] if r["level"] == level]
             last = level == c.max_level
             if len(own) > c.last_files if last else len(own) > 1 and sum(r["bytes"] for r in own) > c.level_size[level - 1]:
                 taken = own[:2]
+                self.tell("compaction_started", {"level": level, "inputs": [r["path"] for r in taken]})
                 rows = self.spark.read.parquet(*[r["path"] for r in taken])
                 new = self._write(N.last_records(rows, ["key"], ["seq"]), level if last else level + 1, sum(r["bytes"] for r in taken))
                 runs = list(m["runs"])
@@ -135,6 +142,7 @@ class Store:
                 runs = [r for r in runs if r not in taken]
                 runs[place if last else len(runs) : place if last else len(runs)] = new
                 self._commit(m | {"runs": runs})
+                self.tell("compaction_completed", {"level": new[0]["level"] if new else level, "outputs": [r["path"] for r in new]})
                 return True
         return False
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.snapshot import last_records
@@ -79,3 +80,23 @@ def run_once(df: DataFrame, folder: str, mode: str) -> DataFrame:
 def persist(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, every: str = "100 milliseconds"):
     """Each batch of changed rows to `write(batch, number)`; a batch that is written again after a failure has the same number."""
     return df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+class Listener(StreamingQueryListener):
+    """Tells of a stream's start, batches and end: spark.streams.addListener(Listener(print))."""
+
+    def __init__(self, tell: Callable[[str, dict], None]):
+        self.tell = tell
+
+    def onQueryStarted(self, event) -> None:
+        self.tell("started", {"id": str(event.id), "name": event.name})
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.tell("progress", {"id": str(p.id), "batch": p.batchId, "rows": p.numInputRows, "rows_per_sec": p.processedRowsPerSecond})
+
+    def onQueryIdle(self, event) -> None:
+        self.tell("idle", {"id": str(event.id)})
+
+    def onQueryTerminated(self, event) -> None:
+        self.tell("ended", {"id": str(event.id), "error": event.exception})

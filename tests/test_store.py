@@ -8,7 +8,8 @@ def frame(spark, rows):
 
 
 def test_store_keeps_its_state_through_compaction_and_vacuum(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "s"), Config(level_size=[1, 1 << 30], log_files=1))
+    told = []
+    store = Store(spark, str(tmp_path / "s"), Config(level_size=[1, 1 << 30], log_files=1), lambda event, what: told.append(event))
     want = {}
     for lo, hi in ((0, 50), (30, 80), (10, 40), (60, 100)):
         store.put(frame(spark, [(f"key{i:03}", f"v{lo}") for i in range(lo, hi)]))
@@ -20,7 +21,7 @@ def test_store_keeps_its_state_through_compaction_and_vacuum(spark, tmp_path):
     while store.compact():
         n += 1
         assert {r.key: r.value for r in store.state().collect()} == want
-    assert n >= 3
+    assert n >= 3 and told.count("new_tail") == 5 and told.count("compaction_started") == told.count("compaction_completed") == told.count("view_updated") == n
     store.vacuum()
     again = Store(spark, str(tmp_path / "s"))
     assert {r.key: r.value for r in again.state().collect()} == want
