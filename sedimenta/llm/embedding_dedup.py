@@ -326,3 +326,14 @@ def near_embeddings(
     good = rows.where(usable).join(named, "embedding").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
     rest = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.union(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+QUERY_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id AS id, vec_id AS root FROM v UNION SELECT r.id, l.b FROM r JOIN l ON r.root = l.a)
+SELECT vec_id, coalesce((SELECT count(*) FROM l WHERE a = vec_id), 0)::BIGINT AS n_links, (SELECT min(root) FROM r WHERE id = vec_id) AS component_id,
+       vec_id = (SELECT min(root) FROM r WHERE id = vec_id) AS kept
+FROM v
+"""

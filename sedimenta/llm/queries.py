@@ -68,5 +68,6 @@ SQL: dict[str, str] = {
     "op4_line_frequency": quality_rules.QUERY_SQL,
     "op5_systematic_mix": mixing.QUERY_SQL,
     "op6_stupid_backoff": lm_scoring.QUERY_SQL,
+    "op7_embedding_near_dedup": embedding_dedup.QUERY_SQL,
     "op9_preference_format": chat_format.QUERY_SQL,
 }
