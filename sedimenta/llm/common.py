@@ -96,9 +96,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
 
     def put(df: DataFrame) -> tuple[DataFrame, tuple]:
         """df, written, and what tells it from another set of edges."""
-        seen = Observation()
-        out = written(df.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")))
-        return out, (seen.get["n"], seen.get["sum"])
+        seen, sums = Observation(), (F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+        out = written(df.observe(seen, *sums))
+        got = seen.get or out.agg(*sums).first().asDict()  # a plan that is found to be empty may not report
+        return out, (got["n"], got["sum"])
 
     spark = edges.sparkSession
     now, state = put(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
