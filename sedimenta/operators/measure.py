@@ -52,26 +52,32 @@ def latency_series(rows: DataFrame, by: Sequence[str], ts_ms: str, latency: str,
     return rows.join(first, list(by)).groupBy(*by, step.alias("step")).agg(F.count("*").alias("n"), F.avg(latency).alias("mean"))
 
 
-def log_bounds() -> list[float]:
-    """The 154 upper bounds of the logarithmic histogram, from their rule: the steps of one decade, over and over.
+#: The steps of a decade of the logarithmic histogram, and its decades above ten.
+STEPS, DECADES = (10, 12, 14, 16, 18, 20, 25, 30, 35, 40, 45, 50, 60, 70, 80, 90), 9
 
-    The first decade counts by ones; the last bound is for everything above.
-    """
-    decade = [10, 12, 14, 16, 18, 20, 25, 30, 35, 40, 45, 50, 60, 70, 80, 90]
-    tens = [[d * 10**e for d in decade] for e in range(9)]
-    return [float(x) for x in [*range(1, 10), *chain.from_iterable(tens)]][:153] + [1e200]
+
+def log_bounds() -> list[float]:
+    """The 154 upper bounds of the logarithmic histogram: ones up to nine, the steps of each decade, and one for all above."""
+    return [float(x) for x in chain(range(1, 10), *([s * 10**e for s in STEPS] for e in range(DECADES)))] + [1e200]
 
 
 def log_bucket(value: Column) -> Column:
-    """The place of the first bound above a value."""
-    bounds = F.array(*[F.lit(b) for b in log_bounds()[:-1]])
-    return F.size(F.filter(bounds, lambda b: b <= value))
+    """How many bounds a value reaches: the place of the first above it. Comparisons only, so it stays in generated code."""
+    scale = F.lit(10.0 ** (DECADES - 1))
+    place = F.lit(len(STEPS) * (DECADES - 1))
+    for e in reversed(range(DECADES - 1)):
+        below = value < 10.0 ** (e + 2)
+        scale, place = F.when(below, 10.0**e).otherwise(scale), F.when(below, len(STEPS) * e).otherwise(place)
+    steps = sum(((value >= scale * s).cast("int") for s in STEPS), F.lit(0))
+    return F.when(value < 10, F.greatest(F.floor(value), F.lit(0))).otherwise(9 + place + steps).cast("int")
 
 
 def log_histogram(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """(by..., bucket, n, low, high, upto): counts in logarithmic buckets; mergeable by adding n."""
     bounds = F.array(*[F.lit(b) for b in log_bounds()])
-    counts = rows.groupBy(*by, log_bucket(F.col(value).cast("double")).alias("bucket")).agg(F.count("*").alias("n"))
+    # Equal values are counted first, so a value's bucket is worked out once.
+    counts = rows.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    counts = counts.groupBy(*by, log_bucket(F.col("_v")).alias("bucket")).agg(F.sum("_n").alias("n"))
     upto = F.sum("n").over(Window.partitionBy(*by).orderBy("bucket"))
     low = F.when(F.col("bucket") == 0, F.lit(0.0)).otherwise(F.get(bounds, F.col("bucket") - 1))
     return counts.select(*by, "bucket", "n", low.alias("low"), F.get(bounds, F.col("bucket")).alias("high"), upto.alias("upto"))

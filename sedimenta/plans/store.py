@@ -124,7 +124,7 @@ class Store:
             taken = segments[:2]
             self.tell("compaction_started", {"level": 0, "inputs": taken})
             rows = self.log.records().where(F.col("segment").isin(taken)).drop("segment")
-            size = self.log.sizes().where(F.col("segment").isin(taken)).agg(F.sum("size_bytes")).first()[0]
+            size = self.log.sizes().where(F.col("segment").isin(taken)).agg(F.sum("size_bytes")).first()[0] or 0  # segments without records have no files to count
             new = self._write(N.last_records(rows, ["key"], ["seq"]), 1, size)
             self._commit(m | {"compacted": m["compacted"] + taken, "runs": m["runs"] + new})
             self.tell("compaction_completed", {"level": 1, "outputs": [r["path"] for r in new]})

@@ -3,7 +3,7 @@ import struct
 from pyspark.sql import functions as F
 from sedimenta.functions import generators as G
 from sedimenta.functions import scalar as Z
-from sedimenta.operators.measure import log_bounds
+from sedimenta.operators.measure import log_bounds, log_bucket
 
 
 def test_hashes_of_edges(spark):
@@ -57,3 +57,10 @@ def test_zipfian_shares_follow_the_law(spark):
 def test_histogram_bounds_by_rule():
     b = log_bounds()
     assert len(b) == 154 and b[:12] == [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14] and b[-2:] == [9e9, 1e200] and b == sorted(b)
+
+
+def test_buckets_are_the_first_bound_above(spark):
+    bounds = log_bounds()
+    values = [-1.0, 0.0, 0.5, 1e12, 8.9e9] + bounds[:-1] + [b - 1e-6 * b for b in bounds[:-1]] + [b * 1.01 for b in bounds[:-1]]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", log_bucket(F.col("v")).alias("b")).collect()
+    assert all(r.b == sum(b <= r.v for b in bounds[:-1]) for r in got)
