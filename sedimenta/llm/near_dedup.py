@@ -238,6 +238,90 @@ def _blocks(levels: Broadcast, idf: np.ndarray, threshold: float):
     return run
 
 
+def _across(levels: Broadcast, idf: np.ndarray, threshold: float):
+    """(a, b) for pairs of blocks (pair, bucket, side, fp, root, own, text): verified links of texts of different roots.
+
+    side is 0 or 1, or 2 where a block meets itself. A pair of texts is compared in the least bucket of both `own` alone.
+    Sums of lesser weights are taken for one text and all others at once; what comes near the threshold is compared as elsewhere.
+    """
+
+    def found(part: pa.Table) -> Iterator[tuple[bytes, bytes]]:
+        sets = []
+        for _, _, data, off in slices(*buffers(part.column("text"))):
+            hashes, weights, ends = weighted(data, off, levels.value, idf)
+            sets += [(hashes[x:y], weights[x:y]) for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+        fps, roots, sides = (part.column(c).to_pylist() for c in ("fp", "root", "side"))
+        own, bucket = [set(x) for x in part.column("own").to_pylist()], part.column("bucket")[0].as_py()
+        up: dict = {}
+
+        def root(x: bytes) -> bytes:
+            while x in up:
+                x = up[x]
+            return x
+
+        left, right = ([i for i, s in enumerate(sides) if s in (k, 2)] for k in (0, 1))
+        if len(left) > len(right):
+            left, right = right, left
+        known, codes = np.unique(np.concatenate([sets[j][0] for j in right]), return_inverse=True)
+        others = np.concatenate([sets[j][1] for j in right])
+        sizes = np.array([len(sets[j][0]) for j in right])
+        starts, sums = np.cumsum(sizes) - sizes, np.array([sets[j][1].sum() for j in right])
+        mine = np.zeros(len(known))
+        for i in left:
+            h, w = sets[i]
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            both = known[at] == h
+            mine[at[both]] = w[both]
+            low = np.add.reduceat(np.minimum(mine[codes], others), starts)
+            mine[at[both]] = 0
+            for k in np.flatnonzero(low >= (threshold - 1e-6) * (w.sum() + sums - low)).tolist():
+                j = right[k]
+                if i == j or sides[i] == 2 and j < i or root(roots[i]) == root(roots[j]) or min(own[i] & own[j]) != bucket:
+                    continue
+                if weighted_jaccard(*sets[i], *sets[j]) >= threshold:
+                    up[root(roots[i])] = root(roots[j])
+                    yield fps[i], fps[j]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in groups(batches, ["pair"]):
+            pairs = list(found(part))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def _rest(members: DataFrame, found: DataFrame, texts: DataFrame, sized: DataFrame, levels: Broadcast, idf: np.ndarray, threshold: float) -> DataFrame | None:
+    """(a, b): the verified links of members(bucket, fp) between texts that `found` leaves apart, or None if it leaves none.
+
+    Every pair of texts of a bucket that aren't connected meets: blocks of MEMBERS / 2 texts or BYTES / 2 meet in pairs, each in
+    a group of its own. A component that fills a block has blocks of its own, and these don't meet each other.
+    """
+    roots = written(components(found).withColumnRenamed("id", "fp"))
+    each = written(members.join(roots, "fp", "left").select("bucket", "fp", F.coalesce("root", "fp").alias("root")).join(sized, "fp"))
+    split = written(each.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket"))
+    if split.isEmpty():
+        return None
+    many = lambda: F.greatest(F.ceil(2 * F.sum("n") / MEMBERS), F.ceil(2 * F.sum("size") / BYTES)).cast("int")
+    each = written(each.join(split, "bucket"))
+    parts = each.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    filled = (2 * F.col("n") >= MEMBERS) | (2 * F.col("size") >= BYTES)
+    parts = written(parts.withColumn("owner", F.when(filled, F.col("root")).otherwise(F.lit(b""))))
+    blocks = parts.groupBy("bucket", "owner").agg(many().alias("blocks"))
+    named = written(parts.join(blocks, ["bucket", "owner"]).select("bucket", "root", "owner", "blocks"))
+    dealt = each.join(named, ["bucket", "root"]).withColumn("block", F.pmod(F.xxhash64("fp", "bucket"), F.col("blocks")).cast("int"))
+    own = each.groupBy("fp").agg(F.collect_list("bucket").alias("own"))
+    dealt = written(dealt.select("bucket", "owner", "block", "fp", "root"))
+    blocks = written(dealt.select("bucket", "owner", "block").distinct().withColumn("no", F.monotonically_increasing_id()))
+    other = blocks.select("bucket", F.col("owner").alias("owner_"), F.col("no").alias("no_"))
+    pairs = blocks.join(other, "bucket").where("no <= no_ AND (owner <> owner_ OR owner = X'')")
+    pairs = written(pairs.select("bucket", "no", "no_").withColumn("pair", F.monotonically_increasing_id()))
+    sides = pairs.select("pair", "no", F.when(F.col("no") == F.col("no_"), 2).otherwise(0).alias("side"))
+    sides = written(sides.union(pairs.where("no < no_").select("pair", "no_", F.lit(1))))
+    rows = dealt.join(blocks, ["bucket", "owner", "block"]).select("bucket", "no", "fp", "root").join(own, "fp").join(texts, "fp")
+    rows = written(rows).join(sides, "no").select("pair", "bucket", "side", "fp", "root", "own", "text")
+    return written(rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(_across(levels, idf, threshold), "a binary, b binary"))
+
+
 def links(members: DataFrame, texts: DataFrame, levels: Broadcast, idf: np.ndarray, threshold: float) -> DataFrame:
     """(a, b): pairs of texts whose components are those of the verified links among what members(bucket, fp) puts together.
 
@@ -245,7 +329,8 @@ def links(members: DataFrame, texts: DataFrame, levels: Broadcast, idf: np.ndarr
     goes to one task, each text once, which compares every pair that shares a bucket unless it is connected already.
     The buckets of larger ones are dealt in blocks of that size; a block finds its components in the same way and sends
     on one text of each, and those of a bucket meet in new blocks, until a bucket is a single block or a round finds no
-    link. So no group, however large, meets in one task, and copies don't make pairs. What one row for each key is
+    link. Then every two texts left in a bucket of several blocks that aren't connected are compared, two blocks at a time.
+    So no group, however large, meets in one task, and copies don't make pairs. What one row for each key is
     joined to is written before, so that the rows of a hot key can be split over tasks.
     """
     heads = written(members.groupBy("bucket").agg(F.min("fp").alias("head")))
@@ -269,6 +354,8 @@ def links(members: DataFrame, texts: DataFrame, levels: Broadcast, idf: np.ndarr
         new = out.where("a <> b").select("a", "b")
         found = found.union(new)
         if turn and new.isEmpty():
+            more = _rest(now.join(blocks.where("blocks > 1").select("bucket"), "bucket"), found, texts, sized, levels, idf, threshold)
+            found = found if more is None else found.union(more)
             break
         now = written(out.where("a = b").join(blocks.where("blocks > 1").select("bucket"), "bucket").select("bucket", F.col("a").alias("fp")))
         turn += 1

@@ -109,3 +109,39 @@ def test_word_hashes_tell_words_apart():
     h, counts = word_hashes(*buffers(pa.array(texts)))
     assert counts.tolist() == [2, 0, 0, 2, 2, 2, 1, 1]
     assert h[0] == h[3] == h[4] == h[6] and h[1] == h[2] == h[5] == h[7] and len(set(h.tolist())) == 4
+
+
+def planted(spark, rows, monkeypatch, **limits):
+    """Roots of links() for texts (fp, bucket, words), with limits of blocks as given."""
+    for name, value in limits.items():
+        monkeypatch.setattr(nd, name, value)
+    texts = nd.written(spark.createDataFrame([(fp, " ".join(w)) for fp, _, w in rows], "fp binary, text string"))
+    members = nd.written(spark.createDataFrame([(b, fp) for fp, b, _ in rows], "bucket long, fp binary"))
+    levels = spark.sparkContext.broadcast(np.zeros(1 << nd.CELL_BITS, np.uint8))
+    found = nd.links(members, texts, levels, np.ones(nd.LEVELS), 0.8)
+    roots = {bytes(r.id): bytes(r.root) for r in nd.components(found).collect()}
+    return {fp: roots.get(fp, fp) for fp, _, _ in rows}
+
+
+def words_of(r, n=120):
+    return [f"w{r.randrange(10**9)}" for _ in range(n)]
+
+
+def test_pairs_of_a_large_bucket_meet_across_blocks(spark, monkeypatch):
+    r, rows = random.Random(7), []
+    for i in range(12):
+        base = words_of(r)
+        rows += [(b"%04d a" % i, 1, base), (b"%04d b" % i, 1, base[:-1] + ["other"])]
+    rows += [(b"%04d x" % i, 1, words_of(r)) for i in range(200)]
+    got = planted(spark, rows, monkeypatch, MEMBERS=8)
+    assert all(got[b"%04d b" % i] == b"%04d a" % i for i in range(12))
+    assert len(set(got.values())) == 212
+
+
+def test_texts_longer_than_a_block_meet(spark, monkeypatch):
+    r, rows = random.Random(8), []
+    for i in range(12):
+        base = words_of(r)
+        rows += [(b"%04d a" % i, i, base), (b"%04d b" % i, i, base[:-1] + ["other"])]
+    got = planted(spark, rows, monkeypatch, BYTES=500)
+    assert all(got[b"%04d b" % i] == b"%04d a" % i for i in range(12))
