@@ -329,7 +329,7 @@ def links(members: DataFrame, texts: DataFrame, levels: Broadcast, idf: np.ndarr
     goes to one task, each text once, which compares every pair that shares a bucket unless it is connected already.
     The buckets of larger ones are dealt in blocks of that size; a block finds its components in the same way and sends
     on one text of each, and those of a bucket meet in new blocks, until a bucket is a single block or a round finds no
-    link. Then every two texts left in a bucket of several blocks that aren't connected are compared, two blocks at a time.
+    link. Then every two texts of a bucket of several blocks that aren't connected by now are compared, two blocks at a time.
     So no group, however large, meets in one task, and copies don't make pairs. What one row for each key is
     joined to is written before, so that the rows of a hot key can be split over tasks.
     """
@@ -353,13 +353,14 @@ def links(members: DataFrame, texts: DataFrame, levels: Broadcast, idf: np.ndarr
         out = written(rows.mapInArrow(_blocks(levels, idf, threshold), "bucket long, a binary, b binary"))
         new = out.where("a <> b").select("a", "b")
         found = found.union(new)
+        if not turn:
+            apart = written(now.join(blocks.where("blocks > 1").select("bucket"), "bucket"))
         if turn and new.isEmpty():
-            more = _rest(now.join(blocks.where("blocks > 1").select("bucket"), "bucket"), found, texts, sized, levels, idf, threshold)
-            found = found if more is None else found.union(more)
             break
         now = written(out.where("a = b").join(blocks.where("blocks > 1").select("bucket"), "bucket").select("bucket", F.col("a").alias("fp")))
         turn += 1
-    return found
+    more = _rest(apart, found, texts, sized, levels, idf, threshold) if turn and not apart.isEmpty() else None
+    return found if more is None else found.union(more)
 
 
 def _classes(docs: DataFrame, threshold: float, n_bands: int, n_rows: int, strength: float, whole_rows: bool) -> tuple[DataFrame, DataFrame]:

@@ -145,3 +145,17 @@ def test_texts_longer_than_a_block_meet(spark, monkeypatch):
         rows += [(b"%04d a" % i, i, base), (b"%04d b" % i, i, base[:-1] + ["other"])]
     got = planted(spark, rows, monkeypatch, BYTES=500)
     assert all(got[b"%04d b" % i] == b"%04d a" % i for i in range(12))
+
+
+def test_links_of_other_texts_than_the_least_are_kept(spark, monkeypatch):
+    """b is similar to a, but not to the least text of a's component."""
+    r, rows = random.Random(9), []
+    for i in range(20):
+        base = words_of(r)
+        head, last = ["h"] * 8 + base[8:], base[:-8] + ["l"] * 8
+        rows += [(b"%04d 0" % i, 1, head), (b"%04d a" % i, 1, base), (b"%04d b" % i, 1, last)]
+    rows += [(b"%04d x" % i, 1, words_of(r)) for i in range(100)]
+    got = planted(spark, rows, monkeypatch, MEMBERS=32)
+    for i in range(20):
+        assert got[b"%04d a" % i] == got[b"%04d b" % i] == b"%04d 0" % i
+    assert len(set(got.values())) == 120
