@@ -24,6 +24,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _NUMERIC = re.compile(r"[+0-9().\-/]*[0-9][+0-9().\-/]*[,;:]?")
+#: Contexts are looked for in texts by the low CELL_BITS bits of their numbers.
+CELL_BITS = 27
 _EDGE = ".,;:!?\"'()[]<>|"
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -129,39 +131,59 @@ def _context_hashes(contexts: list[str]) -> np.ndarray:
     return out
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_context_hashes(batch.column(0).to_pylist()).view(np.int64))], names=["context", "number"])
+
+
 def _number(kind: str, h: np.ndarray) -> np.ndarray:
     if kind == "2":
         return h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] if len(h) > 1 else np.zeros(1, np.uint64)
     return h ^ np.uint64(1 if kind == "1" else 2)
 
 
-def _totals(docs: DataFrame, contexts: list[str]) -> dict[str, int]:
-    """How often each context stands in the texts, whatever is beside it. One pass; a task sends a sum for each context."""
-    numbers = _context_hashes(contexts)
-    order = np.argsort(numbers)
-    ranked = numbers[order]
-    kinds = sorted({c.split(" ")[0] for c in contexts})
+def _totals(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(context, total) for asked(context): how often each stands in the texts, whatever is beside it. One pass.
+
+    A task keeps the words whose number has its bit set in a table of 2**CELL_BITS bits, a fixed size, and sends sums by
+    number; these are joined to the contexts, so numbers that share a bit alone count for nothing.
+    """
+    asked = written(asked.mapInArrow(_numbered, "context string, number long"))
+    cells = asked.select(F.col("number").bitwiseAND((1 << CELL_BITS) - 1).alias("c"))
+    cells = cells.groupBy(F.shiftright("c", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(c & 63 AS INT)))").alias("bits")).toArrow()
+    table = np.zeros(1 << (CELL_BITS - 6), np.uint64)
+    table[cells.column("word").to_numpy()] = cells.column("bits").to_numpy().view(np.uint64)
+    bits = docs.sparkSession.sparkContext.broadcast(table)
+
+    def summed(held: list[np.ndarray]) -> pa.RecordBatch:
+        x, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n.astype(np.int64))], names=["number", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(ranked), np.int64)
+        held, n = [], 0
         for batch in batches:
             for _, _, data, off in slices(*buffers(batch.column(0))):
                 h, counts = word_hashes(data, off)
-                if not len(h):
-                    continue
-                for kind in kinds:
+                for kind in "12r":
+                    if len(h) < (2 if kind == "2" else 1):
+                        continue
                     x = _number(kind, h)
-                    at = np.minimum(np.searchsorted(ranked, x), len(ranked) - 1)
-                    hit = ranked[at] == x
+                    c = x & np.uint64((1 << CELL_BITS) - 1)
+                    hit = (bits.value[c >> np.uint64(6)] >> (c & np.uint64(63)) & np.uint64(1)) > 0
                     if kind == "2":  # not across texts
                         last = np.cumsum(counts)[:-1]
                         last = last[(last > 0) & (last < len(h))] - 1
                         hit[last[last < len(hit)]] = False
-                    total += np.bincount(at[hit], minlength=len(ranked))
-        yield pa.RecordBatch.from_arrays([pa.array(order), pa.array(total)], names=["i", "n"])
+                    held.append(x[hit])
+                    n += len(held[-1])
+                if n > 1 << 20:
+                    yield summed(held)
+                    held, n = [], 0
+        if held:
+            yield summed(held)
 
-    sums = docs.select("text").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n"))
-    return {contexts[r.i]: int(r.n) for r in sums.collect()}
+    sums = docs.select("text").mapInArrow(run, "number long, n long").groupBy("number").agg(F.sum("n").alias("total"))
+    return written(asked.join(sums, "number").select("context", "total"))
 
 
 _MENTION = "array<struct<start:int,end:int,kind:int,shapes:int,instance:string,contexts:array<string>>>"
@@ -186,21 +208,19 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(keep + new, names=[n for n in batch.schema.names if n != "text"] + [f"n_{k}" for k in KINDS] + ["base_sha256", "base", "found"])
 
 
-def discovered(edges: DataFrame, docs: DataFrame, rounds: int, support: int, share: float, purity: float, accept: float) -> DataFrame | None:
+def discovered(edges: DataFrame, docs: DataFrame, rounds: int, support: int, purity: float, accept: float) -> DataFrame | None:
     """(instance, kind) that patterns found, from edges(context, instance, kind, shapes, n); None if there are none.
 
     Each round scores the graph of contexts and instances: a context stands for a kind if enough distinct known
-    instances of it stand there (`support`, and `share` of all known ones, which bounds how many contexts there are at
-    any size), nearly all known or impossible fillers are for it (`purity`), and in the texts an identifier stands
+    instances of it stand there (`support`, at any size), nearly all known or impossible fillers are for it (`purity`), and in the texts an identifier stands
     there more often than anything else. An unseen instance's score is one minus the product of its contexts' doubts;
     from `accept` on it is known in the next round.
     """
     new = None
     known = edges.where("kind >= 0").select("instance", "kind").distinct()
-    totals: dict[str, int] = {}
+    totals = None
     for _ in range(rounds):
         everything = known if new is None else known.unionByName(new)
-        sizes = {r.kind: r.n for r in everything.groupBy("kind").agg(F.count("*").alias("n")).collect()}
         state = edges.drop("kind").join(everything, "instance", "left")
         sums = []
         for k in range(len(KINDS)):
@@ -211,17 +231,20 @@ def discovered(edges: DataFrame, docs: DataFrame, rounds: int, support: int, sha
                 F.sum(F.when((F.col("kind") == k) | (F.col("kind").isNull() & fits), F.col("n")).otherwise(0)).alias(f"occ{k}"),
             ]
         each = state.groupBy("context").agg(*sums)
-        least = [max(support, -int(-share * sizes.get(k, 0) // 1)) for k in range(len(KINDS))]
-        rows = F.array(*[F.struct(F.lit(k).alias("kind"), *[F.col(f"{c}{k}").alias(c) for c in ("pos", "neg", "occ")], F.lit(least[k]).alias("least")) for k in range(len(KINDS))])
+        rows = F.array(*[F.struct(F.lit(k).alias("kind"), *[F.col(f"{c}{k}").alias(c) for c in ("pos", "neg", "occ")]) for k in range(len(KINDS))])
         good = each.select("context", F.explode(rows).alias("r")).select("context", "r.*").withColumn("conf", F.col("pos") / (F.col("pos") + F.col("neg") + 1))
-        good = good.where((F.col("pos") >= F.col("least")) & (F.col("conf") >= purity)).collect()
-        ask = sorted({r.context for r in good} - totals.keys())
-        if ask:
-            totals |= _totals(docs, ask)
-        good = [(r.context, r.kind, float(r.conf)) for r in good if r.occ * 2 > totals.get(r.context, 0)]
-        if not good:
+        good = written(good.where((F.col("pos") >= support) & (F.col("conf") >= purity)))
+        ask = good.select("context").distinct()
+        ask = written(ask if totals is None else ask.join(totals, "context", "left_anti"))
+        if not ask.isEmpty():
+            more = _totals(docs, ask)
+            totals = more if totals is None else totals.union(more)
+        if totals is None:
+            break
+        patterns = good.join(totals, "context", "left").where(F.col("occ") * 2 > F.coalesce("total", F.lit(0)))
+        patterns = written(patterns.select("context", "kind", "conf"))
+        if patterns.isEmpty():
             break
-        patterns = F.broadcast(edges.sparkSession.createDataFrame(good, "context string, kind int, conf double"))
         doubts = edges.where("kind < 0").drop("kind").join(patterns, "context").where(F.expr("(shapes & shiftleft(1, kind)) > 0"))
         scored = doubts.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("conf"))))).alias("score")).where(F.col("score") >= accept)
         best = scored.groupBy("instance").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
@@ -233,7 +256,7 @@ def discovered(edges: DataFrame, docs: DataFrame, rounds: int, support: int, sha
 
 
 def find(
-    docs: DataFrame, rounds: int = 3, support: int = 5, share: float = 1e-4, purity: float = 0.8, accept: float = 0.7, whole_rows: bool = False
+    docs: DataFrame, rounds: int = 3, support: int = 5, purity: float = 0.8, accept: float = 0.7, whole_rows: bool = False
 ) -> DataFrame:
     """For each row of docs(doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans; with whole_rows also the row.
 
@@ -254,7 +277,7 @@ def find(
     scanned = written(rows.mapInArrow(_scanned, f"{schema}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, base string, found {_MENTION}"))
     found = scanned.select("rid", F.explode("found").alias("m"))
     edges = found.select(F.explode("m.contexts").alias("context"), "m.instance", "m.kind", "m.shapes").groupBy("context", "instance", "kind", "shapes").agg(F.count("*").alias("n"))
-    new = discovered(written(edges), docs, rounds, support, share, purity, accept)
+    new = discovered(written(edges), docs, rounds, support, purity, accept)
     names = F.array(*[F.lit(k) for k in KINDS])
     base = F.transform(F.filter("found", lambda m: m.kind >= 0), lambda m: F.struct(m.start.alias("start"), m.kind.alias("kind"), m.end.alias("end")))
     out = scanned.withColumn("_base", base)

@@ -81,3 +81,11 @@ def test_odd_rows_and_redaction(spark):
     out = {r.doc_id: (r.text, r.n_chars) for r in pii.without(texts).collect()}
     assert out == {1: ("mail <EMAIL> now", 16), 2: (None, None), 3: ("<IP> é", 6)}
     assert pii.redacted("0123456789", "ip:1:4,card:3:6,phone:8:9") == "0<IP>67<PHONE>9"
+
+
+def test_a_context_of_few_seeds_counts_in_a_large_corpus(spark):
+    """80,000 other known numbers, each in a context of its own, take nothing from six."""
+    rows = [(i, f"x{i} please ring +1 (415) 555-{1000 + i} y{i}", "s", "en", 0) for i in range(6)] + [(9, "x9 please ring 555-123-4567 y9", "s", "en", 0)]
+    many = spark.range(100, 80_100).selectExpr("id AS doc_id", "concat('a', id, ' b', id, ' +1', 1000000000 + id, ' c', id) AS text", "'s' AS source", "'en' AS lang", "0L AS n_chars")
+    for docs in (table(spark, rows), table(spark, rows).unionByName(many)):
+        assert pii.find(docs).where("doc_id = 9").first().spans == "phone:15:27"
