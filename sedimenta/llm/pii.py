@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import warnings
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
@@ -214,11 +215,11 @@ def discovered(edges: DataFrame, docs: DataFrame, rounds: int, support: int, pur
     Each round scores the graph of contexts and instances: a context stands for a kind if enough distinct known
     instances of it stand there (`support`, at any size), nearly all known or impossible fillers are for it (`purity`), and in the texts an identifier stands
     there more often than anything else. An unseen instance's score is one minus the product of its contexts' doubts;
-    from `accept` on it is known in the next round.
+    from `accept` on it is known in the next round. Rounds end when one changes nothing; a warning tells if `rounds` weren't enough.
     """
     new = None
     known = edges.where("kind >= 0").select("instance", "kind").distinct()
-    totals = None
+    totals = now = None
     for _ in range(rounds):
         everything = known if new is None else known.unionByName(new)
         state = edges.drop("kind").join(everything, "instance", "left")
@@ -248,15 +249,17 @@ def discovered(edges: DataFrame, docs: DataFrame, rounds: int, support: int, pur
         doubts = edges.where("kind < 0").drop("kind").join(patterns, "context").where(F.expr("(shapes & shiftleft(1, kind)) > 0"))
         scored = doubts.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("conf"))))).alias("score")).where(F.col("score") >= accept)
         best = scored.groupBy("instance").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
-        before = new.count() if new is not None else 0
         new = written(best.join(known, "instance", "left_anti"))
-        if new.count() == before:
+        last, now = now, new.agg(F.count("*"), F.sum(F.xxhash64("instance", "kind").cast("decimal(38,0)"))).first()
+        if now == last or not now[0] and last is None:
             break
+    else:
+        warnings.warn(f"identifiers still change after {rounds} rounds", stacklevel=2)
     return new
 
 
 def find(
-    docs: DataFrame, rounds: int = 3, support: int = 5, purity: float = 0.8, accept: float = 0.7, whole_rows: bool = False
+    docs: DataFrame, rounds: int = 60, support: int = 5, purity: float = 0.8, accept: float = 0.7, whole_rows: bool = False
 ) -> DataFrame:
     """For each row of docs(doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans; with whole_rows also the row.
 

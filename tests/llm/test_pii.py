@@ -89,3 +89,11 @@ def test_a_context_of_few_seeds_counts_in_a_large_corpus(spark):
     many = spark.range(100, 80_100).selectExpr("id AS doc_id", "concat('a', id, ' b', id, ' +1', 1000000000 + id, ' c', id) AS text", "'s' AS source", "'en' AS lang", "0L AS n_chars")
     for docs in (table(spark, rows), table(spark, rows).unionByName(many)):
         assert pii.find(docs).where("doc_id = 9").first().spans == "phone:15:27"
+
+
+def test_rounds_go_on_while_they_find_something(spark):
+    """Numbers of each generation stand in a context that only the generation before vouches for."""
+    rows = [(i, f"x{i} alpha0 +1 (415) 555-{1000 + i} y{i}", "s", "en", 0) for i in range(6)]
+    for g in range(1, 7):
+        rows += [(100 * g + 10 * k + i, f"x{g}{k}{i} alpha{g - k} 555-000-{g}00{i} y{g}{k}{i}", "s", "en", 0) for i in range(6) for k in (0, 1)]
+    assert pii.find(table(spark, rows)).where("spans = ''").count() == 0
