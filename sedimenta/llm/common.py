@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -20,19 +21,30 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and all runs on one machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="sedimenta-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+#: With this on, Spark deletes the shuffle files of a query as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage is cut, and lost executors cost no recomputation."""
+    """df as a Parquet table in the shared folder: its lineage is cut, lost executors cost no recomputation, and its shuffles are deleted."""
     spark = spark or df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/sedimenta-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
@@ -45,6 +57,18 @@ def dropped(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables written inside are deleted at the end, but for those put into the list; nothing returned may read the others."""
+    kept: list[DataFrame] = []
+    first = len(_written)
+    yield kept
+    paths = {df.written_path for df in kept}
+    for _, path in [x for x in _written[first:] if x[1] not in paths]:
+        dropped(spark, path)
+    _written[first:] = [x for x in _written[first:] if x[1] in paths]
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, groups, scratch, written
 
 #: Links of a node in the upper layers and, twice that, in layer 0; the beam while building.
 LINKS, BUILD_BEAM = 12, 48
-#: Candidates that one step of a search expands, and bits of "seen" flags that a batch of searches may hold.
+#: Candidates that one step of a search expands (an eighth of a wide beam), and bits of "seen" flags that a batch of searches may hold.
 EXPAND, SEEN_BITS = 8, 1 << 25
+#: A leader stands in the graph for vectors of at least this cosine to it, and bytes of a shard in one row.
+LEADER, SLICE = 0.975, 4 << 20
 
 
 class Graph:
@@ -150,7 +153,7 @@ class Graph:
         return out[0], out[1]
 
     def _walk_batch(self, queries: np.ndarray, beam: int, at: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n, wide = len(queries), min(EXPAND, max(1, beam // 4))
+        n, wide = len(queries), max(1, min(EXPAND, beam // 4), beam // 8)
         ids, sims, open_ = np.full((n, beam), -1, np.int32), np.full((n, beam), -2, np.float32), np.zeros((n, beam), bool)
         ids[:, 0], sims[:, 0], open_[:, 0] = at, (self.v[at] * queries).sum(1), True
         seen = np.zeros((n, len(self.v)), bool)
@@ -186,23 +189,14 @@ class Graph:
         return ids, sims
 
     def near(self, queries: np.ndarray, beam: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) of what a beam finds with a product of `floor` or more; a beam that is full of them is doubled.
-
-        A beam that would have to be wider than a sixteenth of the nodes gives way to a scan of all of them.
-        """
+        """(query, node) of what a beam finds with a product of `floor` or more; a beam that is full of them is doubled."""
         found_q, found_n = [], []
         left = np.arange(len(queries))
         start = self._entries(queries)
         while len(left):
-            if beam * 16 > len(self.v):
-                for a in range(0, len(left), 256):
-                    q, node = np.nonzero(queries[left[a : a + 256]] @ self.v.T >= floor)
-                    found_q.append(left[a + q])
-                    found_n.append(node)
-                break
             ids, sims = self._search(queries[left], beam, start[left])
             hit = (sims >= floor) & (ids >= 0)
-            full = hit.sum(1) > beam // 2
+            full = (hit.sum(1) > beam // 2) & (beam < 2 * len(self.v))
             q, j = np.nonzero(hit & ~full[:, None])
             found_q.append(left[q])
             found_n.append(ids[q, j])
@@ -211,93 +205,205 @@ class Graph:
         return (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_q, found_n))
 
 
-def _audited(graph: Graph, floor: float, beam: int, goal: float, audit: int) -> int:
-    """The least doubling of `beam` that finds `goal` of what a scan finds for at most `audit` of the graph's own vectors."""
-    n = len(graph.v)
-    sample = graph.v[np.unique(np.linspace(0, n - 1, min(n, audit)).astype(int))]
-    true = sum(int((sample[a : a + 256] @ graph.v.T >= floor).sum()) for a in range(0, len(sample), 256))
-    while beam * 16 <= n:
-        q, _ = graph.near(sample, beam, floor)
-        if len(q) >= goal * true:
-            break
-        beam *= 2
-    return beam
+def _unit(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors at length 1 and their lengths; scaled first, so that no square overflows."""
+    top = np.abs(v).max(1, keepdims=True)
+    v = v / top
+    length = np.linalg.norm(v, axis=1)
+    return v / length[:, None], length * top[:, 0]
+
+
+def leaders(v: np.ndarray) -> np.ndarray:
+    """For each of some unit vectors the place of its leader, at a cosine of LEADER or more; a leader leads itself.
+
+    Vectors are dealt by the signs of random projections; of those together the first leads all near it, and so on.
+    """
+    n = len(v)
+    out = np.arange(n)
+    bits = max(0, int(np.log2(max(n, 1) / 64)))
+    planes = np.random.Generator(np.random.PCG64(5)).normal(size=(v.shape[1], bits)) if n else np.zeros((0, 0))
+    code = (v @ planes > 0) @ (1 << np.arange(bits)) if bits else np.zeros(n, np.int64)
+    order = np.argsort(code, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(code[order])) + 1) if n else []:
+        while len(part):
+            near = v[part] @ v[part[0]] >= LEADER
+            near[0] = True
+            out[part[near]] = part[0]
+            part = part[~near]
+    return out
+
+
+class Shard:
+    """Some vectors with numbers and weights: leaders in a graph, and for each leader those that it leads.
+
+    A group of near copies is one node of the graph however large it is. A question's links are looked for at leaders
+    near enough that one they lead can be at `threshold`, and each is verified in double precision.
+    """
+
+    def __init__(self, ids: np.ndarray, n: np.ndarray, raw: np.ndarray, threshold: float):
+        self.ids, self.n, self.threshold = ids, n, threshold
+        self.raw = raw.astype(np.float32) if (raw == raw.astype(np.float32)).all() else raw
+        self._units()
+        lead = leaders(self.unit)
+        order = np.argsort(lead, kind="stable")
+        self.heads, first = np.unique(lead[order], return_index=True)
+        self.members, self.first = order, np.append(first, len(order))
+        wide = np.arccos(np.clip((self.unit * self.unit[lead]).sum(1), -1, 1))
+        theta = np.arccos(threshold) + 1e-3
+        angle = np.array([wide[order[x:y]].max() for x, y in zip(self.first, self.first[1:], strict=False)]) if len(order) else np.zeros(0)
+        self.floor = np.cos(np.minimum(theta + np.where(np.diff(self.first) > 1, angle, 0), np.pi)).astype(np.float32)
+        self.graph = Graph(self.unit[self.heads])
+        self.beam = 0
+
+    def _units(self) -> None:
+        self.unit, _ = _unit(self.raw.astype(np.float64))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "unit"} | {"graph": [(m, links[m]) for m, links in self.graph.layers]}
+
+    def __setstate__(self, state: dict) -> None:
+        layers = state.pop("graph")
+        self.__dict__ |= state
+        self._units()
+        self.graph = Graph.__new__(Graph)
+        self.graph.v = np.ascontiguousarray(self.unit[self.heads], np.float32)
+        self.graph.layers = []
+        for members, links in layers:
+            whole = np.full((len(self.heads), links.shape[1]), -1, np.int32)
+            whole[members] = links
+            self.graph.layers.append((members, whole))
+
+    def asked(self, ids: np.ndarray, unit: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(how many vectors each question links with, and (question, place of a leader) of links that connect each with all its own)."""
+        count = np.zeros(len(ids))
+        if not len(self.ids) or not len(ids):
+            return count, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        q, head = self.graph.near(unit.astype(np.float32), beam, float(self.floor.min()))
+        order = np.argsort(head, kind="stable")
+        q, head = q[order], head[order]
+        many = np.diff(self.first)[head]
+        on = np.zeros(len(q), bool)
+        one = np.flatnonzero(many == 1)
+        for a in range(0, len(one), 65536):
+            x, m = q[one[a : a + 65536]], self.members[self.first[head[one[a : a + 65536]]]]
+            good = (np.einsum("ij,ij->i", unit[x], self.unit[m]) >= self.threshold) & (ids[x] != self.ids[m])
+            on[one[a : a + 65536]] = good
+            np.add.at(count, x[good], self.n[m[good]])
+        rest = np.flatnonzero(many > 1)
+        for part in np.split(rest, np.flatnonzero(np.diff(head[rest])) + 1) if len(rest) else []:
+            m = self.members[self.first[head[part[0]]] : self.first[head[part[0]] + 1]]
+            for b in range(0, len(m), 4096):
+                own = m[b : b + 4096]
+                for a in range(0, len(part), 1024):
+                    x = part[a : a + 1024]
+                    good = (unit[q[x]] @ self.unit[own].T >= self.threshold) & (ids[q[x]][:, None] != self.ids[own])
+                    on[x] |= good.any(1)
+                    count[q[x]] += good @ self.n[own]
+        return count, q[on], self.heads[head[on]]
+
+    def audited(self, beam: int, goal: float, audit: int) -> int:
+        """The least doubling of `beam` at which `audit` of the shard's own vectors find, on average, `goal` of their links; a wider one than the graph finds all there is."""
+        at = np.unique(np.linspace(0, len(self.ids) - 1, min(len(self.ids), audit)).astype(int)) if len(self.ids) else np.zeros(0, int)
+        true = np.zeros(len(at))
+        for a in range(0, len(self.ids), 8192):
+            good = (self.unit[at] @ self.unit[a : a + 8192].T >= self.threshold) & (self.ids[at][:, None] != self.ids[a : a + 8192])
+            true += good @ self.n[a : a + 8192]
+        some = true > 0
+        while beam < 2 * len(self.heads) and some.any():
+            got, _, _ = self.asked(self.ids[at], self.unit[at], beam)
+            if np.minimum(got[some] / true[some], 1).mean() >= goal:
+                break
+            beam *= 2
+        return beam
+
 
+def _built(threshold: float, beam: int, goal: float, audit: int):
+    """For the rows (dim, shard, id, n, embedding) of each shard: the shard in slices, and the links of leaders."""
 
-def _linked(threshold: float, beam: int, goal: float, audit: int):
-    """For the rows of each shard, its members first: how many vectors each asker is near to, and links that connect them."""
+    def made(key: tuple, ids: list, n: list, v: list) -> Iterator[pa.RecordBatch]:
+        shard = Shard(np.concatenate(ids), np.concatenate(n), np.concatenate(v), threshold)
+        shard.beam = shard.audited(beam, goal, audit)
+        data = pickle.dumps(shard, 5)
+        parts = [data[i : i + SLICE] for i in range(0, len(data), SLICE)]
+        for i, part in enumerate(parts):
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*key, i, part, None, None), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["dim", "shard", "slice", "data", "a", "b"])
+        lead = np.repeat(shard.heads, np.diff(shard.first))
+        on = shard.members != lead
+        a, b = shard.ids[shard.members[on]], shard.ids[lead[on]]
+        none = lambda t: pa.nulls(len(a), t)
+        yield pa.RecordBatch.from_arrays([none(pa.int32()), none(pa.int32()), none(pa.int32()), none(pa.binary()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["dim", "shard", "slice", "data", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict = {"key": None}
+        last, held = None, ([], [], [])
+        for t in groups(batches, ["dim", "shard"]):
+            key = t.column(0)[0].as_py(), t.column(1)[0].as_py()
+            if key != last and held[0]:
+                yield from made(last, *held)
+                held = ([], [], [])
+            last = key
+            held[0].append(t.column(2).to_numpy())
+            held[1].append(t.column(3).to_numpy().astype(np.float64))
+            held[2].append(np.concatenate([x.flatten().to_numpy() for x in t.column(4).chunks]).astype(np.float64).reshape(-1, key[0]))
+        if held[0]:
+            yield from made(last, *held)
+
+    return run
 
-        def unit(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            length = np.linalg.norm(v, axis=1)
-            return (v / length[:, None]).astype(np.float32), length
+
+def _linked():
+    """For (dim, shard, part, slice, data, id, embedding), a shard's slices first: how many vectors each question links with, and links that connect them."""
+    names, kinds = ["a", "b", "n"], (pa.int64(), pa.int64(), pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, slices, shard, up = None, [], None, {}
 
         def root(x: int) -> int:
-            up = state["up"]
             while (y := up.get(x, x)) != x:
                 up[x] = up.get(y, y)
                 x = y
             return x
 
-        def asked(ids: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-            if not len(state["ids"]):
-                return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.nulls(len(ids), pa.int64()), pa.array(np.zeros(len(ids), np.int64))], names=["a", "b", "n"])
-            if "graph" not in state:
-                state["ids"], state["v"], state["n"] = (np.concatenate(state[k]) for k in ("ids", "v", "n"))
-                flat, state["length"] = unit(state["v"])
-                state["graph"], state["up"] = Graph(flat), {}
-                state["beam"] = _audited(state["graph"], threshold - 1e-4, beam, goal, audit)
-            flat, length = unit(v)
-            q, node = state["graph"].near(flat, state["beam"], threshold - 1e-4)
-            cosine = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", v[q[a : a + 65536]], state["v"][node[a : a + 65536]]) for a in range(0, len(q), 65536))])
-            good = (cosine / (length[q] * state["length"][node]) >= threshold) & (ids[q] != state["ids"][node])
-            q, node = q[good], node[good]
-            n_links = np.bincount(q, state["n"][node], len(ids)).astype(np.int64)
-            a, b, many = list(ids), [None] * len(ids), list(n_links)
-            for x, y in zip(ids[q].tolist(), state["ids"][node].tolist(), strict=True):
-                rx, ry = root(x), root(y)
-                if rx != ry:
-                    state["up"][max(rx, ry)] = min(rx, ry)
-                    a.append(x)
-                    b.append(y)
-                    many.append(0)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(many, pa.int64())], names=["a", "b", "n"])
-
         for batch in batches:
-            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
-            begin = 0
-            while begin < len(keys):
-                end = begin
-                while end < len(keys) and keys[end] == keys[begin] and end - begin < 2048:
-                    end += 1
-                part, (dim, shard, role) = batch.slice(begin, end - begin), keys[begin]
-                if (dim, shard) != state["key"]:
-                    state.clear()
-                    state |= {"key": (dim, shard), "ids": [], "v": [], "n": []}
-                ids = part.column(3).to_numpy()
-                v = part.column(5).flatten().to_numpy().astype(np.float64).reshape(-1, dim)
-                if role == 0:
-                    state["ids"].append(ids)
-                    state["n"].append(part.column(4).to_numpy().astype(np.float64))
-                    state["v"].append(v)
-                else:
-                    yield asked(ids, v)
-                begin = end
+            for t in groups(iter([batch]), ["dim", "shard", "part"]):
+                now = tuple(t.column(c)[0].as_py() for c in ("dim", "shard", "part"))
+                if now != key:
+                    key, slices, shard, up = now, [], None, {}
+                is_data = t.column("data").is_valid().to_numpy()
+                slices += [x for x in t.column("data").filter(pa.array(is_data)).to_pylist()]
+                t = t.filter(pa.array(~is_data))
+                if not len(t):
+                    continue
+                if shard is None:
+                    shard, slices = pickle.loads(b"".join(slices)) if slices else None, []
+                for a in range(0, len(t), 2048):
+                    part = t.slice(a, 2048).combine_chunks()
+                    ids = part.column("id").to_numpy()
+                    v = np.concatenate([x.flatten().to_numpy() for x in part.column("embedding").chunks]).astype(np.float64).reshape(-1, key[0])
+                    if shard is None:
+                        n, q, head = np.zeros(len(ids)), [], []
+                    else:
+                        n, q, head = shard.asked(ids, _unit(v)[0], shard.beam)
+                    rows = [(x, None, int(y)) for x, y in zip(ids.tolist(), n, strict=True)]
+                    for x, y in zip(ids[q].tolist(), shard.ids[head].tolist(), strict=True) if shard else []:
+                        rx, ry = root(x), root(y)
+                        if rx != ry:
+                            up[max(rx, ry)] = min(rx, ry)
+                            rows.append((x, y, 0))
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     return run
 
 
 def near_embeddings(
-    vectors: DataFrame, threshold: float = 0.9, shard_size: int = 200_000, least_shards: int = 6, beam: int = 32, goal: float = 0.999, audit: int = 512
+    vectors: DataFrame, threshold: float = 0.9, shard_bytes: int = 64 << 20, least_shards: int = 2, questions: int = 16_384, beam: int = 32, goal: float = 0.999, audit: int = 512
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors(vec_id, embedding).
 
-    Equal embeddings are one class from the start. Classes are dealt by hash over shards of about shard_size (at least
-    least_shards), each a small-world graph in one task's memory; every class asks every shard. A shard's beam starts
-    at `beam` and is doubled until, for `audit` of its vectors, it finds `goal` of what a scan of the shard finds; the
-    beam of a single question is doubled while most of it is near enough, up to a scan, so that no dense group is cut.
+    Equal embeddings are one class from the start. Classes are dealt by hash over shards of about shard_bytes of
+    components (at least least_shards), each built in one task: a vector near others leads them, and leaders form a small-world graph. Shards are written, and
+    every class asks every shard, about `questions` in a task. A shard's beam starts
+    at `beam` and is doubled until, for `audit` of its vectors, it finds on average `goal` of the links that a scan of the shard finds; the
+    beam of a single question is doubled while most of it is near enough, so that no dense group is cut.
     What is found is verified by its cosine in double precision. n_links sums the sizes of the classes found (and a
     class's other rows); only links that connect something new within a task are sent on, and components are united.
 
@@ -309,18 +415,25 @@ def near_embeddings(
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     bad = F.col("embedding").isNull() | (F.size("embedding") == 0) | F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.coalesce(~bad & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    classes = rows.where(usable).groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"))
-    classes = written(classes.select(F.monotonically_increasing_id().alias("id"), "vec_id", "n", F.size("embedding").alias("dim"), "embedding"))
-    shards = max(least_shards, -(-classes.count() // shard_size))
-    own = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
-    members = classes.select("dim", own.alias("shard"), F.lit(0).alias("role"), "id", "n", "embedding")
-    asks = classes.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("role"), "id", "n", "embedding")
-    dealt = members.union(asks).repartitionById(shards, F.col("shard")).sortWithinPartitions("dim", "shard", "role")
-    found = written(dealt.mapInArrow(_linked(threshold, beam, goal, audit), "a long, b long, n long"))
-    roots = components(found.where("b IS NOT NULL").select("a", "b"))
-    counts = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("found"))
-    placed = classes.join(counts, F.col("id") == F.col("a"), "left").drop("a").join(roots, "id", "left")
-    placed = written(placed.select("id", "vec_id", "embedding", (F.col("n") - 1 + F.coalesce("found", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("root")))
+    with scratch(vectors.sparkSession) as kept:
+        classes = rows.where(usable).groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"))
+        classes = written(classes.select(F.monotonically_increasing_id().alias("id"), "vec_id", "n", F.size("embedding").alias("dim"), "embedding"))
+        size = classes.agg(F.count("*").alias("n"), F.coalesce(F.sum("dim"), F.lit(0)).alias("dims")).first()
+        shards, parts = max(least_shards, -(-4 * size.dims // shard_bytes)), max(1, -(-size.n // questions))
+        own = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
+        members = classes.select("dim", own.alias("shard"), "id", "n", "embedding").repartitionById(shards, F.col("shard")).sortWithinPartitions("dim", "shard")
+        built = written(members.mapInArrow(_built(threshold, beam, goal, audit), "dim int, shard int, slice int, data binary, a long, b long"))
+        each = lambda n, c: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(c)
+        blobs = built.where("slice IS NOT NULL").select("dim", "shard", each(parts, "part"), "slice", "data")
+        asks = classes.select("dim", each(shards, "shard"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).cast("int").alias("part"), F.lit(None).cast("int").alias("slice"), "id", "embedding")
+        both = blobs.unionByName(asks, allowMissingColumns=True).repartitionById(shards * parts, F.col("shard") * parts + F.col("part"))
+        both = both.sortWithinPartitions("dim", "shard", "part", F.col("slice").asc_nulls_last())
+        found = written(both.mapInArrow(_linked(), "a long, b long, n long"))
+        roots = components(found.select("a", "b").union(built.select("a", "b")).where("b IS NOT NULL"))
+        counts = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("found"))
+        placed = classes.join(counts, F.col("id") == F.col("a"), "left").drop("a").join(roots, "id", "left")
+        placed = written(placed.select("id", "vec_id", "embedding", (F.col("n") - 1 + F.coalesce("found", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("root")))
+        kept.append(placed)
     names = placed.groupBy("root").agg(F.min("vec_id").alias("component_id"))
     named = placed.select("embedding", "n_links", "root").join(names, "root").drop("root")
     good = rows.where(usable).join(named, "embedding").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
