@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,17 +13,18 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, groups, written
+from .common import components, groups, scratch, written
 from .textvec import buffers, mix, shingles, slices, word_hashes
 
 WIDTH = 5
-#: Document frequencies are counted by the top CELL_BITS bits of a shingle's hash, in blocks of 2**16 cells.
+#: Pairs of a text and a shingle are counted by the top CELL_BITS bits of the shingle's hash, in blocks of 2**16 cells.
 CELL_BITS, BLOCK_BITS = 22, 16
-LEVELS = 16
-#: ICWS draws r, c and beta for a shingle from tables by the low ROW_BITS bits of its hash.
+#: ICWS draws r and beta for a shingle from tables by the low ROW_BITS bits of its hash, c by the ROW_BITS above: two shingles share all draws by 32 equal bits alone.
 ROW_BITS = 16
 #: Texts and bytes that one task compares with each other at a time.
 MEMBERS, BYTES = 512, 8 << 20
+#: Rounds in which large buckets are dealt in blocks, before what is left apart is compared in full.
+TURNS = 3
 
 
 def documents_shingles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -38,7 +40,7 @@ def documents_shingles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, n
     return hashes[at], np.diff(np.append(at, len(hashes))), np.searchsorted(doc[at], np.arange(len(counts)), "right")
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+def _cell_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
     """(counts, texts): for each of 2**CELL_BITS classes of shingle hashes the pairs of a text and a distinct shingle of it.
 
     Each task counts its own texts in an array and sends its non-empty blocks, compressed; the blocks of a number are
@@ -90,23 +92,76 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return counts, texts
 
 
-def idf_levels(counts: np.ndarray, texts: int) -> np.ndarray:
-    """A level of 0 (rare) to LEVELS - 1 (in every text) for each class; what classes hold on average is taken off first."""
-    if texts < 2:
-        return np.zeros(len(counts), np.uint8)
-    df = np.maximum(counts.astype(np.float64) - counts.mean(), 1)
-    return np.clip(np.rint((LEVELS - 1) * np.log(df) / np.log(texts)), 0, LEVELS - 1).astype(np.uint8)
+@dataclass
+class Idf:
+    """Inverse document frequencies: 1 + strength * ln(texts / df) / ln(texts / floor), where a df below `floor` counts as it.
 
+    hashes holds the shingles of `floor` texts or more, ascending, df their exact document frequencies, cells which
+    cells of hashes they are in.
+    """
+
+    texts: int
+    floor: int
+    strength: float
+    hashes: np.ndarray
+    df: np.ndarray
+    cells: np.ndarray
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.full(len(hashes), 1 + self.strength if self.texts > self.floor else 1.0)
+        if len(self.hashes):
+            at = np.flatnonzero(self.cells[hashes >> np.uint64(64 - CELL_BITS)])
+            place = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
+            known = self.hashes[place] == hashes[at]
+            out[at[known]] = 1 + self.strength * np.log(self.texts / self.df[place[known]]) / max(np.log(self.texts / self.floor), 1e-9)
+        return out
+
+
+def idf(docs: DataFrame, strength: float, most: int = 1 << 20) -> Idf:
+    """The Idf of all texts of docs(text), with a table of at most `most` shingles whatever the size of the input.
+
+    floor is the pairs of a text and a distinct shingle of it, divided by `most` (2 at least), so no more shingles can
+    reach it. A first pass counts cells of hashes; a shingle that reaches floor lies in a cell that does. A second pass counts the shingles
+    of those cells themselves: summed in each task, then by hash.
+    """
+    counts, texts = _cell_counts(docs)
+    floor = max(2, -(-int(counts.sum()) // most))
+    cells = counts >= floor
+    none = Idf(texts, floor, strength, np.zeros(0, np.uint64), np.zeros(0, np.int64), cells)
+    if not cells.any() or texts <= floor:
+        return none
+    shared = docs.sparkSession.sparkContext.broadcast(cells)
+
+    def summed(held: list[np.ndarray]) -> pa.RecordBatch:
+        x, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
-def level_weights(strength: float) -> np.ndarray:
-    """The idf of a level: 1 + strength * ln(texts / df) / ln(texts), so between 1 and 1 + strength."""
-    return 1 + strength * (1 - np.arange(LEVELS) / (LEVELS - 1))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for _, _, data, off in slices(*buffers(batch.column(0))):
+                hashes, _, _ = documents_shingles(data, off)
+                held.append(hashes[shared.value[hashes >> np.uint64(64 - CELL_BITS)]])
+                n += len(held[-1])
+                if n > 1 << 21:
+                    yield summed(held)
+                    held, n = [], 0
+        if n:
+            yield summed(held)
+
+    got = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= floor).toArrow()
+    shared.unpersist()
+    hashes, df = got.column("h").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    order = np.argsort(hashes)
+    cells = np.zeros(len(cells), bool)
+    cells[hashes >> np.uint64(64 - CELL_BITS)] = True
+    return Idf(texts, floor, strength, hashes[order], df[order], cells)
 
 
-def weighted(data: np.ndarray, off: np.ndarray, levels: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def weighted(data: np.ndarray, off: np.ndarray, table: Idf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, weights, ends): documents_shingles() with (1 + ln tf) * idf for each."""
     hashes, tf, ends = documents_shingles(data, off)
-    return hashes, (1 + np.log(tf)) * idf[levels[hashes >> np.uint64(64 - CELL_BITS)]], ends
+    return hashes, (1 + np.log(tf)) * table.of(hashes), ends
 
 
 def weighted_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -> float:
@@ -143,9 +198,10 @@ def icws(hashes: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
     for a in range(0, len(hashes), 8192):
         h = hashes[a : a + 8192]
         row = (h & np.uint64((1 << ROW_BITS) - 1)).astype(np.int64)
+        other = (h >> np.uint64(ROW_BITS) & np.uint64((1 << ROW_BITS) - 1)).astype(np.int64)
         b = beta[row]
         t = np.floor(log_w[a : a + 8192, None] * inverse[row] + b)
-        v = log_c[row] - r[row] * (t - b + 1)
+        v = log_c[other] - r[row] * (t - b + 1)
         at = v.argmin(0)
         low = v[at, every]
         better = low < least
@@ -162,7 +218,7 @@ def bands(samples: np.ndarray, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def signatures(rows: DataFrame, levels: Broadcast, idf: np.ndarray, n_bands: int, n_rows: int) -> DataFrame:
+def signatures(rows: DataFrame, table: Broadcast, n_bands: int, n_rows: int) -> DataFrame:
     """rows(..., text) with bands in place of text; bands are null for a text without words."""
     kept = [f for f in rows.schema if f.name != "text"]
 
@@ -170,7 +226,7 @@ def signatures(rows: DataFrame, levels: Broadcast, idf: np.ndarray, n_bands: int
         for batch in batches:
             made: list = []
             for _, _, data, off in slices(*buffers(batch.column("text"))):
-                hashes, weights, ends = weighted(data, off, levels.value, idf)
+                hashes, weights, ends = weighted(data, off, table.value)
                 begin = 0
                 for end in ends.tolist():
                     made.append(bands(icws(hashes[begin:end], weights[begin:end], n_bands * n_rows), n_rows) if end > begin else None)
@@ -180,14 +236,14 @@ def signatures(rows: DataFrame, levels: Broadcast, idf: np.ndarray, n_bands: int
     return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", bands array<bigint>")
 
 
-def _connected(part: pa.Table, buckets: list[list], levels: np.ndarray, idf: np.ndarray, threshold: float) -> list[bytes]:
+def _connected(part: pa.Table, buckets: list[list], table: Idf, threshold: float) -> list[bytes]:
     """For each of some texts the least fp of its component, connected by verified links of texts that share a bucket.
 
     Pairs that are connected already aren't compared, so copies cost a comparison each.
     """
     sets = []
     for _, _, data, off in slices(*buffers(part.column("text"))):
-        hashes, weights, ends = weighted(data, off, levels, idf)
+        hashes, weights, ends = weighted(data, off, table)
         sets += [(hashes[x:y], weights[x:y]) for x, y in zip([0, *ends[:-1]], ends, strict=True)]
     up = list(range(len(sets)))
 
@@ -215,30 +271,30 @@ def _connected(part: pa.Table, buckets: list[list], levels: np.ndarray, idf: np.
     return [least[root(i)] for i in range(len(fps))]
 
 
-def _few(levels: Broadcast, idf: np.ndarray, threshold: float):
+def _few(table: Broadcast, threshold: float):
     """(a, b) for whole candidate components (root, fp, buckets, text): each fp that isn't the least of its component, and that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in groups(batches, ["root"]):
-            heads = _connected(part, part.column("buckets").to_pylist(), levels.value, idf, threshold)
+            heads = _connected(part, part.column("buckets").to_pylist(), table.value, threshold)
             pairs = [(a, b) for a, b in zip(part.column("fp").to_pylist(), heads, strict=True) if a != b]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def _blocks(levels: Broadcast, idf: np.ndarray, threshold: float):
+def _blocks(table: Broadcast, threshold: float):
     """(bucket, a, b) for blocks of buckets (bucket, block, fp, text): each fp and the least of its component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in groups(batches, ["bucket", "block"]):
-            heads = _connected(part, [[0]] * len(part), levels.value, idf, threshold)
+            heads = _connected(part, [[0]] * len(part), table.value, threshold)
             yield pa.RecordBatch.from_arrays([part.column("bucket").combine_chunks(), part.column("fp").combine_chunks(), pa.array(heads, pa.binary())], names=["bucket", "a", "b"])
 
     return run
 
 
-def _across(levels: Broadcast, idf: np.ndarray, threshold: float):
+def _across(table: Broadcast, threshold: float):
     """(a, b) for pairs of blocks (pair, bucket, side, fp, root, own, text): verified links of texts of different roots.
 
     side is 0 or 1, or 2 where a block meets itself. A pair of texts is compared in the least bucket of both `own` alone.
@@ -248,7 +304,7 @@ def _across(levels: Broadcast, idf: np.ndarray, threshold: float):
     def found(part: pa.Table) -> Iterator[tuple[bytes, bytes]]:
         sets = []
         for _, _, data, off in slices(*buffers(part.column("text"))):
-            hashes, weights, ends = weighted(data, off, levels.value, idf)
+            hashes, weights, ends = weighted(data, off, table.value)
             sets += [(hashes[x:y], weights[x:y]) for x, y in zip([0, *ends[:-1]], ends, strict=True)]
         fps, roots, sides = (part.column(c).to_pylist() for c in ("fp", "root", "side"))
         own, bucket = [set(x) for x in part.column("own").to_pylist()], part.column("bucket")[0].as_py()
@@ -290,7 +346,7 @@ def _across(levels: Broadcast, idf: np.ndarray, threshold: float):
     return run
 
 
-def _rest(members: DataFrame, found: DataFrame, texts: DataFrame, sized: DataFrame, levels: Broadcast, idf: np.ndarray, threshold: float) -> DataFrame | None:
+def _rest(members: DataFrame, found: DataFrame, texts: DataFrame, sized: DataFrame, table: Broadcast, threshold: float) -> DataFrame | None:
     """(a, b): the verified links of members(bucket, fp) between texts that `found` leaves apart, or None if it leaves none.
 
     Every pair of texts of a bucket that aren't connected meets: blocks of MEMBERS / 2 texts or BYTES / 2 meet in pairs, each in
@@ -319,17 +375,17 @@ def _rest(members: DataFrame, found: DataFrame, texts: DataFrame, sized: DataFra
     sides = written(sides.union(pairs.where("no < no_").select("pair", "no_", F.lit(1))))
     rows = dealt.join(blocks, ["bucket", "owner", "block"]).select("bucket", "no", "fp", "root").join(own, "fp").join(texts, "fp")
     rows = written(rows).join(sides, "no").select("pair", "bucket", "side", "fp", "root", "own", "text")
-    return written(rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(_across(levels, idf, threshold), "a binary, b binary"))
+    return written(rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(_across(table, threshold), "a binary, b binary"))
 
 
-def links(members: DataFrame, texts: DataFrame, levels: Broadcast, idf: np.ndarray, threshold: float) -> DataFrame:
+def links(members: DataFrame, texts: DataFrame, table: Broadcast, threshold: float) -> DataFrame:
     """(a, b): pairs of texts whose components are those of the verified links among what members(bucket, fp) puts together.
 
     Texts that hang together by shared buckets are candidates. A candidate component of at most MEMBERS texts and BYTES
     goes to one task, each text once, which compares every pair that shares a bucket unless it is connected already.
     The buckets of larger ones are dealt in blocks of that size; a block finds its components in the same way and sends
-    on one text of each, and those of a bucket meet in new blocks, until a bucket is a single block or a round finds no
-    link. Then every two texts of a bucket of several blocks that aren't connected by now are compared, two blocks at a time.
+    on one text of each, and those of a bucket meet in new blocks, until a bucket is a single block, a round finds no
+    link or TURNS rounds are over. Then every two texts of a bucket of several blocks that aren't connected by now are compared, two blocks at a time.
     So no group, however large, meets in one task, and copies don't make pairs. What one row for each key is
     joined to is written before, so that the rows of a hot key can be split over tasks.
     """
@@ -341,25 +397,28 @@ def links(members: DataFrame, texts: DataFrame, levels: Broadcast, idf: np.ndarr
     sums = written(sums.select("root", ((F.col("n") <= MEMBERS) & (F.col("bytes") <= BYTES)).alias("few")))
     own = members.join(roots.join(sums.where("few"), "root").select("fp", "root"), "fp").groupBy("root", "fp").agg(F.collect_list("bucket").alias("buckets"))
     rows = own.join(texts, "fp").select("root", "fp", "buckets", "text").repartition("root").sortWithinPartitions("root")
-    found = written(rows.mapInArrow(_few(levels, idf, threshold), "a binary, b binary"))
+    found = written(rows.mapInArrow(_few(table, threshold), "a binary, b binary"))
     now = written(members.join(roots.join(sums.where("NOT few"), "root").select("fp"), "fp").select("bucket", "fp"))
-    turn = 0
-    while not now.isEmpty():
+    parts, apart = [found], None
+    for turn in range(TURNS):
+        if now.isEmpty():
+            break
         each = now.join(sized, "fp")
         blocks = each.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("size") / BYTES)).cast("int").alias("blocks"))
         blocks = written(blocks)
         dealt = now.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("fp", "bucket", F.lit(turn)), F.col("blocks")).cast("int"))
         rows = dealt.join(texts, "fp").select("bucket", "block", "fp", "text").repartition("bucket", "block").sortWithinPartitions("bucket", "block")
-        out = written(rows.mapInArrow(_blocks(levels, idf, threshold), "bucket long, a binary, b binary"))
+        out = written(rows.mapInArrow(_blocks(table, threshold), "bucket long, a binary, b binary"))
         new = out.where("a <> b").select("a", "b")
-        found = found.union(new)
-        if not turn:
-            apart = written(now.join(blocks.where("blocks > 1").select("bucket"), "bucket"))
+        parts.append(new)
+        several = blocks.where("blocks > 1").select("bucket")
+        if apart is None:
+            apart = written(now.join(several, "bucket"))
         if turn and new.isEmpty():
             break
-        now = written(out.where("a = b").join(blocks.where("blocks > 1").select("bucket"), "bucket").select("bucket", F.col("a").alias("fp")))
-        turn += 1
-    more = _rest(apart, found, texts, sized, levels, idf, threshold) if turn and not apart.isEmpty() else None
+        now = written(out.where("a = b").join(several, "bucket").select("bucket", F.col("a").alias("fp")))
+    found = written(reduce(DataFrame.union, parts))
+    more = _rest(apart, found, texts, sized, table, threshold) if apart is not None and not apart.isEmpty() else None
     return found if more is None else found.union(more)
 
 
@@ -368,19 +427,20 @@ def _classes(docs: DataFrame, threshold: float, n_bands: int, n_rows: int, stren
     spark: SparkSession = docs.sparkSession
     whole = [F.struct(*docs.columns).alias("row")] if whole_rows else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("fp"), F.monotonically_increasing_id().alias("rid"), *whole, "text")
-    counts, n_texts = document_frequencies(rows)
-    levels, idf = spark.sparkContext.broadcast(idf_levels(counts, n_texts)), level_weights(strength)
-    signed = written(signatures(rows, levels, idf, n_bands, n_rows))
-    nodes = written(signed.where("bands IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.count("*").alias("n")))
-    each = nodes.select("fp", F.explode("bands").alias("bucket"))
-    shared = written(each.groupBy("bucket").count().where("count > 1").select("bucket"))
-    members = written(each.join(shared, "bucket"))
-    wanted = members.select("fp").distinct().join(nodes.select("fp", "doc_id"), "fp").select("fp", F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"))
-    texts = rows.select("fp", F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), "text").join(wanted, ["_id", "fp"], "left_semi")
-    texts = written(texts.select("fp", "text").dropDuplicates(["fp"]))
-    near = links(members, texts, levels, idf, threshold)
-    roots = components(near).withColumnRenamed("id", "fp")
-    placed = written(nodes.select("fp", "doc_id", "n").join(roots, "fp", "left").select("fp", "doc_id", "n", F.coalesce("root", "fp").alias("root")))
+    with scratch(spark) as kept:
+        table = spark.sparkContext.broadcast(idf(rows, strength))
+        signed = written(signatures(rows, table, n_bands, n_rows))
+        nodes = written(signed.where("bands IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.count("*").alias("n")))
+        each = nodes.select("fp", F.explode("bands").alias("bucket"))
+        shared = written(each.groupBy("bucket").count().where("count > 1").select("bucket"))
+        members = written(each.join(shared, "bucket"))
+        wanted = members.select("fp").distinct().join(nodes.select("fp", "doc_id"), "fp").select("fp", F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"))
+        texts = rows.select("fp", F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), "text").join(wanted, ["_id", "fp"], "left_semi")
+        texts = written(texts.select("fp", "text").dropDuplicates(["fp"]))
+        near = links(members, texts, table, threshold)
+        roots = components(near).withColumnRenamed("id", "fp")
+        placed = written(nodes.select("fp", "doc_id", "n").join(roots, "fp", "left").select("fp", "doc_id", "n", F.coalesce("root", "fp").alias("root")))
+        kept += [signed, placed]
     classes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").cast("long").alias("class_size"))
     return signed, placed.select("fp", "root").join(classes, "root")
 
@@ -390,7 +450,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n_bands: int = 16,
 
     A class holds texts connected by links; a link joins texts whose sets of 5-word shingles, weighted by
     (1 + ln tf) * idf, have a weighted Jaccard similarity of `threshold` or more. Document frequencies come from all
-    texts; the idf lies between 1 and 1 + strength, so that a large group of near copies, whose shingles are frequent
+    texts, exact from a floor that bounds their table (idf()); the idf lies between 1 and 1 + strength, so that a large group of near copies, whose shingles are frequent
     because of the copies, isn't torn apart. Pairs to compare share one of n_bands bands of n_rows ICWS samples each
     (at similarity 0.8 a pair shares none with probability 0.0003) and are
     verified by their weights. Equal texts are

@@ -1,21 +1,26 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from sedimenta.llm import near_dedup as nd
 from sedimenta.llm.textvec import buffers, word_hashes
 
 from .helpers import odd_documents, rows_of, table
 
 
-def weights(texts, strength=0.1):
-    """Weighted shingles of each text by the definition, with exact document frequencies by class of hash."""
+def weights(texts, strength=0.1, floor=2):
+    """Weighted shingles of each text by the definition, with the true document frequencies."""
     sets = []
     for t in texts:
         w = (t or "").lower().split()
         grams = [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
-        sets.append({g: 1 + np.log(grams.count(g)) for g in grams})
-    return sets
+        sets.append(Counter(grams))
+    df = Counter(g for s in sets for g in s)
+    n = sum(map(bool, sets))
+    idf = lambda g: 1 + strength * np.log(n / max(df[g], floor)) / np.log(n / floor)
+    return [{g: (1 + np.log(tf)) * idf(g) for g, tf in s.items()} for s in sets]
 
 
 def jaccard(a, b):
@@ -36,28 +41,41 @@ def corpus(n=60, seed=4):
     return texts
 
 
-def test_classes_are_those_of_all_pairs(spark):
+@pytest.mark.parametrize("strength", [0.1, 1.0])
+def test_classes_are_those_of_all_pairs(spark, strength):
     texts = corpus()
-    sets, up = weights(texts), list(range(len(texts)))
+    sets, up = weights(texts, strength), list(range(len(texts)))
 
     def root(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    margin = set()
     for i in range(len(texts)):
         for j in range(i):
-            s = jaccard(sets[i], sets[j])
-            if abs(s - 0.8) < 0.02:  # the idf moves a similarity a little
-                margin |= {i, j}
-            if s >= 0.8:
+            if jaccard(sets[i], sets[j]) >= 0.8:
                 up[root(i)] = root(j)
-    got = {r.doc_id: r.class_id for r in nd.near_duplicates(table(spark, [(i, t, "s", "en", 0) for i, t in enumerate(texts)])).collect()}
+    docs = table(spark, [(i, t, "s", "en", 0) for i, t in enumerate(texts)])
+    got = {r.doc_id: r.class_id for r in nd.near_duplicates(docs, strength=strength).collect()}
+    assert len({root(i) for i in range(len(texts))}) < 0.6 * len(texts)
     for i in range(len(texts)):
         for j in range(i):
-            if not margin & {i, j}:
-                assert (root(i) == root(j)) == (got[i] == got[j]), (i, j)
+            assert (root(i) == root(j)) == (got[i] == got[j]), (i, j)
+
+
+@pytest.mark.parametrize("most", [1 << 20, 2000])
+def test_idf_has_true_document_frequencies(spark, monkeypatch, most):
+    texts = [*corpus(30), "", None, "two words"] + ["a b c d e f g h"] * 40
+    monkeypatch.setattr(nd, "CELL_BITS", 17)
+    docs = table(spark, [(i, t, "s", "en", 0) for i, t in enumerate(texts)]).repartition(5)
+    got = nd.idf(docs, 0.5, most)
+    pairs = sum(len(s) for s in weights(texts))
+    assert got.texts == len(texts) - 2 and got.floor == max(2, -(-pairs // most)) and len(got.hashes) <= most
+    want = weights(texts, 0.5, got.floor)
+    data, off = buffers(pa.array(texts))
+    hashes, w, ends = nd.weighted(data, off, got)
+    for i, (x, y) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+        assert sorted(w[x:y]) == pytest.approx(sorted(want[i].values()))
 
 
 def test_defined_results_for_odd_rows(spark):
@@ -117,8 +135,8 @@ def planted(spark, rows, monkeypatch, **limits):
         monkeypatch.setattr(nd, name, value)
     texts = nd.written(spark.createDataFrame([(fp, " ".join(w)) for fp, _, w in rows], "fp binary, text string"))
     members = nd.written(spark.createDataFrame([(b, fp) for fp, b, _ in rows], "bucket long, fp binary"))
-    levels = spark.sparkContext.broadcast(np.zeros(1 << nd.CELL_BITS, np.uint8))
-    found = nd.links(members, texts, levels, np.ones(nd.LEVELS), 0.8)
+    none = nd.Idf(0, 2, 0.1, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1 << nd.CELL_BITS, bool))
+    found = nd.links(members, texts, spark.sparkContext.broadcast(none), 0.8)
     roots = {bytes(r.id): bytes(r.root) for r in nd.components(found).collect()}
     return {fp: roots.get(fp, fp) for fp, _, _ in rows}
 
