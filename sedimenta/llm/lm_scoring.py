@@ -16,10 +16,8 @@ from .common import written
 from .textvec import buffers, mix, slices, word_hashes
 
 ORDERS = (1, 2, 3)
-#: Bytes of text whose n-grams are counted before they are sent, and n-grams that one task counts at a time.
-CHUNK_BYTES, BUCKET_ITEMS = 8 << 20, 4 << 20
-#: Words are told apart by 48 bits, n-grams by 52.
-_SHIFT, _WORD_MASK = np.uint64(16), np.uint64((1 << 48) - 1)
+#: Bytes of text that are one chunk, and rows of n-grams for which there is one partition of the count tables.
+CHUNK_BYTES, PART_ROWS = 8 << 20, 2 << 20
 _MULT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -46,129 +44,93 @@ def _unpacked(data: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, doc_ids, counts, vocabulary, sequence): the words of some documents as places in their vocabulary."""
-    part, n = TaskContext.get().partitionId(), 0
-    ids: list = []
-    hashes: list[np.ndarray] = []
-    counts: list[np.ndarray] = []
-    held = 0
-
-    def flush() -> pa.RecordBatch:
-        nonlocal n, held
-        vocabulary, sequence, many = np.unique(np.concatenate(hashes) >> _SHIFT, return_inverse=True, return_counts=True)
-        order = np.argsort(-many, kind="stable")  # frequent words first, so that most numbers are small
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        steps = np.diff(vocabulary[order], prepend=np.uint64(0)) & _WORD_MASK
-        out = [part << 32 | n, ids[:], np.concatenate(counts).tolist(), _packed(steps), _packed(rank[sequence])]
-        n, held = n + 1, 0
-        for x in (ids, hashes, counts):
-            x.clear()
-        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(out, kinds, strict=True)], names=["chunk", "doc_ids", "counts", "vocabulary", "sequence"])
+def _chunks(size: int):
+    """(chunk, doc_ids, counts, vocabulary, sequence): the words of documents of `size` bytes or more as places in their vocabulary."""
 
-    for batch in batches:
-        doc_ids = batch.column(0).to_pylist()
-        for first, end, data, off in slices(*buffers(batch.column(1))):
-            h, c = word_hashes(data, off)
-            ids += doc_ids[first:end]
-            hashes.append(h)
-            counts.append(c)
-            held += len(data)
-            if held >= CHUNK_BYTES:
-                yield flush()
-    if ids:
-        yield flush()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n = TaskContext.get().partitionId(), 0
+        ids: list = []
+        hashes: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal n, held
+            vocabulary, sequence, many = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+            order = np.argsort(-many, kind="stable")  # frequent words first, so that most numbers are small
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            steps = np.diff(vocabulary[order], prepend=np.uint64(0))
+            out = [part << 32 | n, ids[:], np.concatenate(counts).tolist(), _packed(steps), _packed(rank[sequence])]
+            n, held = n + 1, 0
+            for x in (ids, hashes, counts):
+                x.clear()
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(out, kinds, strict=True)], names=["chunk", "doc_ids", "counts", "vocabulary", "sequence"])
+
+        for batch in batches:
+            doc_ids = batch.column(0).to_pylist()
+            for first, end, data, off in slices(*buffers(batch.column(1)), min(size, 1 << 20)):
+                h, c = word_hashes(data, off)
+                ids += doc_ids[first:end]
+                hashes.append(h)
+                counts.append(c)
+                held += len(data)
+                if held >= size:
+                    yield flush()
+        if ids:
+            yield flush()
+
+    return run
 
 
 class _Grams:
-    """A chunk's words, and its distinct n-grams of an order, ascending."""
+    """A chunk's words, and the n-grams that they end."""
 
     def __init__(self, counts: list[int], vocabulary: bytes, sequence: bytes):
-        known = np.cumsum(_unpacked(vocabulary), dtype=np.uint64) & _WORD_MASK
+        known = np.cumsum(_unpacked(vocabulary), dtype=np.uint64)
         self.words = known[_unpacked(sequence).astype(np.int64)]
         self.counts = np.array(counts, np.int64)
         self.place = np.arange(len(self.words)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)  # of a word in its document
 
     def of(self, n: int) -> np.ndarray:
-        """The hash, of 52 bits, of the n-gram that each word ends, of those that have one; a word's own, of 48, comes first in its 52."""
-        if n == 1:
-            return self.words << np.uint64(4)
+        """The hash, of 64 bits, of the n-gram that each word ends, of those that have one."""
         grams = np.full(len(self.words), n, np.uint64)
         for j in range(n):
             grams[n - 1 :] += self.words[j : len(self.words) - n + 1 + j] * _MULT[j]
-        return mix(grams[self.place >= n - 1]) >> np.uint64(12)
-
-
-def _sent(bits: int):
-    """For each bucket of hashes and order: the chunk's distinct n-grams there and their counts in it."""
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                chunk, *parts = (batch.column(c)[i].as_py() for c in range(4))
-                grams = _Grams(*parts)
-                for n in ORDERS:
-                    own, many = np.unique(grams.of(n), return_counts=True)
-                    bucket = (own >> np.uint64(52 - bits)).astype(np.int64)
-                    own >>= np.uint64(4 if n == 1 else 0)
-                    cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-                    out = []
-                    for b in np.flatnonzero(np.diff(cuts)):
-                        x, y = cuts[b], cuts[b + 1]
-                        out.append((int(b), chunk, n, _packed(np.diff(own[x:y], prepend=own[x : x + 1])), int(own[x]), _packed(many[x:y])))
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["bucket", "chunk", "n", "grams", "first", "many"])
-
-    return run
-
-
-def _counted(least: int):
-    """For what each chunk sent to a bucket: the counts in the whole corpus, 0 for n-grams above order 1 below `least`."""
+        return mix(grams[self.place >= n - 1])
 
-    def answers(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        for n in ORDERS:
-            own = [r for r in rows if r[2] == n]
-            if not own:
-                continue
-            grams = [np.cumsum(_unpacked(r[3]), dtype=np.uint64) + np.uint64(r[4]) for r in own]
-            _, inverse = np.unique(np.concatenate(grams), return_inverse=True)
-            total = np.bincount(inverse, np.concatenate([_unpacked(r[5]) for r in own]).astype(np.float64)).astype(np.int64)
-            if n > 1:
-                total[total < least] = 0
-            at = 0
-            out = []
-            for r, g in zip(own, grams, strict=True):
-                out.append((r[1], n, r[0], _packed(total[inverse[at : at + len(g)]])))
-                at += len(g)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["chunk", "n", "bucket", "totals"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, rows = None, []
-        for batch in batches:
-            for r in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if r[0] != bucket:
-                    yield from answers(rows)
-                    bucket, rows = r[0], []
-                rows.append(r)
-        yield from answers(rows)
 
-    return run
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(n, gram, chunk, many): each distinct n-gram of a chunk and how often it stands there."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            chunk, *parts = (batch.column(c)[i].as_py() for c in range(4))
+            grams = _Grams(*parts)
+            for n in ORDERS:
+                own, many = np.unique(grams.of(n), return_counts=True)
+                for a in range(0, len(own), 1 << 16):
+                    x, m = own[a : a + (1 << 16)], many[a : a + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), n, np.int32)), pa.array(x.view(np.int64)), pa.array(np.full(len(x), chunk, np.int64)), pa.array(m.astype(np.int64))], names=["n", "gram", "chunk", "many"])
 
 
 def _scored(total_words: int, backoff: float):
+    """Scores of the documents of a chunk: its head, and what the count tables hold of its n-grams."""
     log_b = np.log(backoff)
 
-    def scores(head: tuple, totals: dict[int, list[tuple[int, bytes]]]) -> pa.RecordBatch:
-        ids, counts, vocabulary, sequence = head
-        g = _Grams(counts, vocabulary, sequence)
+    def run(heads: pa.Table, found: pa.Table) -> pa.Table:
+        g = _Grams(*(heads.column(c)[0].as_py() for c in ("counts", "vocabulary", "sequence")))
+        grams, total, order = (found.column(c).to_numpy() for c in ("gram", "total", "n"))
         c = {}
         for n in ORDERS:
+            own, here = grams[order == n].view(np.uint64), total[order == n]
+            at = np.argsort(own)
+            own, here = own[at], here[at]
             c[n] = np.zeros(len(g.place))
-            if totals[n]:
-                _, inverse = np.unique(g.of(n), return_inverse=True)
-                c[n][g.place >= n - 1] = np.concatenate([_unpacked(t) for _, t in sorted(totals.pop(n))]).astype(np.float64)[inverse]
+            if len(own):
+                asked = g.of(n)
+                at = np.minimum(np.searchsorted(own, asked), len(own) - 1)
+                c[n][g.place >= n - 1] = np.where(own[at] == asked, here[at], 0)
         before = {n: np.concatenate([[0.0], c[n][:-1]]) for n in (1, 2)} if len(g.place) else {1: c[1], 2: c[2]}
         has3, has2 = c[3] > 0, c[2] > 0
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -176,30 +138,15 @@ def _scored(total_words: int, backoff: float):
             two = np.log(c[2]) - np.log(before[1]) + log_b * (g.place >= 2)
             one = np.log(c[1]) - np.log(total_words) + log_b * np.minimum(g.place, 2)
         each = np.where(has3, three, np.where(has2, two, one))
-        doc = np.repeat(np.arange(len(counts)), g.counts)
-        tally = lambda w: np.bincount(doc, w, len(counts)).astype(np.float64)
+        doc = np.repeat(np.arange(len(g.counts)), g.counts)
+        tally = lambda w: np.bincount(doc, w, len(g.counts)).astype(np.float64)
         out = [g.counts, tally(has3).astype(np.int64), tally(has2 & ~has3).astype(np.int64), tally(each)]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, out)], names=["doc_id", "n_words", "n_order3", "n_order2", "log_score"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, totals = None, {n: [] for n in ORDERS}
-        for batch in batches:
-            cols = [batch.column(x) for x in ("n", "bucket", "totals", "doc_ids", "counts", "vocabulary", "sequence")]
-            for i in range(batch.num_rows):
-                n = cols[0][i].as_py()
-                if n == 0:
-                    if head:
-                        yield scores(head, totals)
-                    head, totals = tuple(x[i].as_py() for x in cols[3:]), {k: [] for k in ORDERS}
-                else:
-                    totals[n].append((cols[1][i].as_py(), cols[2][i].as_py()))
-        if head:
-            yield scores(head, totals)
+        return pa.table([pa.array(heads.column("doc_ids")[0].as_py(), pa.int64()), *map(pa.array, out)], names=["doc_id", "n_words", "n_order3", "n_order2", "log_score"])
 
     return run
 
 
-def stupid_backoff(docs: DataFrame, least: int = 2, backoff: float = 0.4) -> DataFrame:
+def stupid_backoff(docs: DataFrame, least: int = 2, backoff: float = 0.4, chunk_bytes: int = CHUNK_BYTES, part_rows: int = PART_ROWS) -> DataFrame:
     """(doc_id, n_words, n_order3, n_order2, log_score) for each row of docs(doc_id, text).
 
     log_score sums the logs of the stupid-backoff scores of the document's words given the two before: the share of
@@ -207,26 +154,29 @@ def stupid_backoff(docs: DataFrame, least: int = 2, backoff: float = 0.4) -> Dat
     bigram in its first word if that is so frequent, else `backoff` times again the word's share of all words. Counts
     are those of all documents, ASCII letters as lower case. n_order3 and n_order2 count the words scored at an order.
 
-    Documents are written as chunks of word numbers. Each chunk's distinct n-grams of the three orders go, with their
-    counts, to the bucket of their hash, where they are counted; each bucket answers each chunk, and the answers are
-    joined to the chunks and summed by document. An n-gram reaches a bucket once for each chunk, so frequent ones
-    don't gather. Words are told apart by
-    48 bits of hash, n-grams by 52.
+    Documents are written as chunks of word numbers. They are exploded into rows of n-grams, one for each distinct
+    n-gram of a chunk, so frequent ones don't gather; the rows are partitioned by hash. Their sums by n-gram are the
+    count tables; the rows are joined to these where they lie, by the same partitioning, and go back to their chunks
+    with the corpus's counts, where the scores are summed by document. Only what the tables hold is sent back. Words and
+    n-grams are told apart by 64 bits of hash.
 
     Null text has no words and score 0, as an empty one; a null doc_id is kept; equal rows count and are scored each;
     an empty table gives no rows. Whole texts are used. Other columns are ignored, whatever their names.
     """
     chunks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _chunks, "chunk long, doc_ids array<long>, counts array<long>, vocabulary binary, sequence binary"
+        _chunks(chunk_bytes), "chunk long, doc_ids array<long>, counts array<long>, vocabulary binary, sequence binary"
     )
     chunks = written(chunks)
     words = chunks.select(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    bits = max(0, (len(ORDERS) * words // BUCKET_ITEMS).bit_length())
-    sent = chunks.select("chunk", "counts", "vocabulary", "sequence").mapInArrow(_sent(bits), "bucket long, chunk long, n int, grams binary, first long, many binary")
-    answers = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_counted(least), "chunk long, n int, bucket long, totals binary")
-    heads = chunks.select("chunk", F.lit(0).alias("n"), F.lit(-1).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("totals"), "doc_ids", "counts", "vocabulary", "sequence")
-    both = heads.unionByName(answers, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", "n", "bucket")
-    return both.mapInArrow(_scored(words, backoff), "doc_id long, n_words long, n_order3 long, n_order2 long, log_score double")
+    shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(shuffles, -(-len(ORDERS) * words // part_rows))
+    grams = chunks.select("chunk", "counts", "vocabulary", "sequence").mapInArrow(_exploded, "n int, gram long, chunk long, many long").repartition(parts, "n", "gram")
+    # Both sides of the join read all columns, so that one exchange serves both.
+    tables = grams.groupBy("n", "gram").agg(F.sum("many").alias("total"), F.count("chunk").alias("n_chunks")).where((F.col("n") == 1) | (F.col("total") >= least))
+    found = written(grams.join(tables.hint("merge"), ["n", "gram"]))
+    found = found.select("chunk", "n", "gram", "total")
+    by_chunk = chunks.groupBy("chunk").cogroup(found.groupBy("chunk"))
+    return by_chunk.applyInArrow(_scored(words, backoff), "doc_id long, n_words long, n_order3 long, n_order2 long, log_score double")
 
 
 QUERY_SQL = """

@@ -28,14 +28,22 @@ def brute(texts, least=2, backoff=0.4):
     return out
 
 
-def test_scores_are_those_of_the_definition_over_many_chunks(spark, monkeypatch):
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_scores_are_those_of_the_definition_over_many_chunks_and_partitions(spark, least):
     texts = ["the cat sat on the mat", "The cat sat on the hat", "a dog", "", None, "the cat", "x", "on the mat the cat sat on the mat"] * 3 + ["rare words here"]
-    docs = table(spark, [(i, t, "s", "en", 0) for i, t in enumerate(texts)]).repartition(5)
-    got = {r.doc_id: r.log_score for r in lm.stupid_backoff(docs).collect()}
-    want = brute(texts)
+    docs = table(spark, [(i, t, "s", "en", 0) for i, t in enumerate(texts)]).repartition(3)
+    assert len({r.chunk for r in docs.select("doc_id", "text").mapInArrow(lm._chunks(30), "chunk long, doc_ids array<long>, counts array<long>, vocabulary binary, sequence binary").collect()}) > 5
+    got = {r.doc_id: r.log_score for r in lm.stupid_backoff(docs, least, chunk_bytes=30, part_rows=10).collect()}
+    want = brute(texts, least)
     assert all(got[i] == pytest.approx(want[i], abs=1e-9) for i in range(len(texts)))
 
 
+def test_a_document_longer_than_a_chunk(spark):
+    texts = [" ".join(f"w{i * i % 97}" for i in range(5000)), "w1 w4 w9", "w1 w4 w9 w16"]
+    got = {r.doc_id: r.log_score for r in lm.stupid_backoff(table(spark, [(i, t, "s", "en", 0) for i, t in enumerate(texts)]), chunk_bytes=100).collect()}
+    assert [got[i] for i in range(3)] == pytest.approx(brute(texts), abs=1e-6)
+
+
 def test_odd_rows(spark):
     docs = odd_documents(spark)
     got = lm.stupid_backoff(docs)
