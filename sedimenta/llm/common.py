@@ -88,12 +88,6 @@ def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
-def row_key(*cols: Column) -> list[Column]:
-    """96 bits for the contents of a row, never null: equal rows share a key, others don't."""
-    filled = [x for c in cols for x in (c.isNull().cast("int"), c)]
-    return [F.xxhash64(*filled).alias("_k1"), F.hash(*reversed(filled)).alias("_k2")]
-
-
 def groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
     """Tables of the runs of rows with equal `by`."""
     now: list[pa.RecordBatch] = []

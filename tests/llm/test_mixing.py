@@ -57,3 +57,33 @@ def test_defined_results_for_odd_rows(spark):
     assert mixing.systematic_mix(docs.limit(0)).count() == 0
     none = mixing.systematic_mix(table(spark, [(1, None, "a", "en", 0), (2, "", None, "en", 0)])).collect()
     assert all(r.taken == 0 and r.target == 0 and r.copies == 0 for r in none)
+
+
+def test_null_and_repeated_ids_are_dealt_by_their_texts(spark, monkeypatch):
+    """3,000 rows without an id meet in many tasks, and the sample is that of any other dealing."""
+    rows = [(None, f"text {i} " + "w " * (i % 7), "s", "en", 0) for i in range(3000)]
+    got = mixing.systematic_mix(table(spark, rows))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan
+    key = mixing.F.md5(mixing.F.concat(mixing.F.lit("7:null:"), mixing.F.md5("text")))
+    salts = table(spark, rows).select((mixing.F.conv(mixing.F.substring(key, 1, 8), 16, 10).cast("long") % 64).alias("s")).distinct().count()
+    assert salts == 64 and sum(r.taken for r in got.collect()) == pytest.approx(got.first().target, rel=0.01)
+
+
+def test_many_sources_are_ranked_in_ranges(spark):
+    names = [f"h{i:05d}" for i in range(2000)] + [None]
+    random.Random(1).shuffle(names)
+    got = mixing._ranked(spark.createDataFrame([(n, 1) for n in names], "source string, size long")).collect()
+    order = sorted((n for n in names if n), key=str) + [None]
+    assert {r.source: r.n for r in got} == {n: i for i, n in enumerate(order)}
+
+
+def test_a_document_is_taken_at_its_rate_over_seeds(spark):
+    """One random offset: over many seeds each document is taken as often as its rate says."""
+    rows = [(i, "w " * (1 + i * i % 50), f"s{i % 3}", "en", 0) for i in range(30)]
+    docs, total, rate = table(spark, rows), {}, {}
+    for seed in range(16):
+        for r in mixing.systematic_mix(docs, seed=seed).collect():
+            total[r.doc_id] = total.get(r.doc_id, 0) + r.copies
+            rate[r.doc_id] = r.target / r.source_size
+    assert all(abs(total[i] / 16 - rate[i]) < 0.5 for i in total) and sum(total.values()) / 16 == pytest.approx(sum(rate.values()), rel=0.05)
