@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,38 +12,55 @@ from pyspark.sql import functions as F
 
 from .common import groups, n_words, written
 
-SCHEMA = "doc_id long, piece long, n_pieces long, start long, size long, bin_id long, bin_capacity long, bin_fill long, bin_offset long"
+SCHEMA = "row_id long, doc_id long, piece long, n_pieces long, start long, size long, bin_id long, bin_capacity long, bin_fill long, bin_offset long"
+#: A bin of capacity c costs OVERHEAD + c + c * c / SPAN: a fixed part, one for each word, and attention's, which grows with the square.
+OVERHEAD, SPAN = 64, 8192
 
 
-def pack(sizes: list[int], capacities: list[int], overhead: int) -> tuple[list[int], list[int], list[int]]:
+def cost(capacity: int, overhead: int = OVERHEAD, span: int = SPAN) -> float:
+    return overhead + capacity + capacity * capacity / span
+
+
+def pack(sizes: list[int], capacities: list[int], overhead: int = OVERHEAD, span: int = SPAN) -> tuple[list[int], list[int], list[int]]:
     """(bin of each item, offset of each item, capacity of each bin); sizes fall, none is above the largest capacity.
 
     An item goes to the open bin that it leaves the least room in. If none has room, the bin size that costs least for
-    each unit it can still be filled with is opened: its cost is its capacity and `overhead`; it can be filled with at
-    most what is left of the items. At the end each bin shrinks to the least capacity that holds its contents, which
-    lowers its cost.
+    each word it can be expected to hold is opened. Its room beside the item is expected to be filled as far as the
+    items to come that fit there can fill all open room together with it. At the end each bin shrinks to the least capacity that holds
+    its contents, which lowers its cost.
     """
     capacities = sorted(capacities)
+    costs = {c: cost(c, overhead, span) for c in capacities}
     rooms: list[list[int]] = [[] for _ in range(capacities[-1] + 1)]  # open bins by their room
     have = 0  # bit r: some bin has room r
+    open_room = 0
     fill: list[int] = []
     bins, offsets = [], []
-    left = sum(sizes)
-    for s in sizes:
+    upto = np.append(np.cumsum(sizes[::-1])[::-1], 0).tolist()  # of an item and all after it
+    negative = [-s for s in sizes]
+    for i, s in enumerate(sizes):
         above = have >> s
         if above:
             room = s + (above & -above).bit_length() - 1
             b = rooms[room].pop()
             if not rooms[room]:
                 have &= ~(1 << room)
+            open_room -= s
         else:
-            room = min((c for c in capacities if c >= s), key=lambda c: ((c + overhead) / min(c, left), c))
+            room, best = 0, float("inf")
+            for c in capacities:
+                if c >= s:
+                    rest = c - s
+                    to_come = upto[max(i + 1, bisect_left(negative, -rest))] if rest else 0
+                    price = costs[c] / (s + rest * min(1.0, to_come / (open_room + rest)) if rest else s)
+                    if price < best:
+                        room, best = c, price
             b = len(fill)
             fill.append(0)
+            open_room += room - s
         bins.append(b)
         offsets.append(fill[b])
         fill[b] += s
-        left -= s
         if room > s:
             rooms[room - s].append(b)
             have |= 1 << (room - s)
@@ -50,14 +68,15 @@ def pack(sizes: list[int], capacities: list[int], overhead: int) -> tuple[list[i
 
 
 def best_fit(
-    docs: DataFrame, capacities: tuple[int, ...] = (512, 1024, 2048, 4096), overhead: int = 64, shard_items: int = 20_000, size: str | None = None
+    docs: DataFrame, capacities: tuple[int, ...] = (512, 1024, 2048, 4096), overhead: int = OVERHEAD, span: int = SPAN, shard_items: int = 20_000, size: str | None = None
 ) -> DataFrame:
-    """(doc_id, piece, n_pieces, start, size, bin_id, bin_capacity, bin_fill, bin_offset): where each piece of each document is.
+    """(row_id, doc_id, piece, n_pieces, start, size, bin_id, bin_capacity, bin_fill, bin_offset): where each piece of each document is.
 
     Sizes are words, or the column `size`. A document longer than the largest capacity is cut into pieces of it and a
     rest, and every piece is packed: words [start, start + size) of the document lie at bin_offset of bin bin_id, which
     has room for bin_capacity and holds bin_fill. Items are dealt by their place in the written table of sizes, so
-    shards have about shard_items each whatever the keys are, and each is packed alone.
+    shards have about shard_items each whatever the keys are, and each is packed alone by pack(). row_id tells rows apart that
+    share a doc_id (copies of a mix).
 
     A document without words (or null text) has one piece of size 0 and null bin columns. Equal rows are each packed; a
     null doc_id is kept. An empty table gives no rows. Other columns are ignored, whatever their names.
@@ -82,7 +101,7 @@ def best_fit(
         part = np.minimum(n - piece * largest, largest)
         order = np.lexsort((piece, at, -part))
         order = order[part[order] > 0]
-        bins, offsets, sizes = pack(part[order].tolist(), capacities, overhead)
+        bins, offsets, sizes = pack(part[order].tolist(), capacities, overhead, span)
         base = int(shard[0].as_py()) << 32 if len(shard) else 0
         cols = [np.zeros(len(n), np.int64) for _ in range(4)]
         b = np.array(bins, np.int64)
@@ -91,7 +110,7 @@ def best_fit(
             for col, v in zip(cols, (base + b, np.array(sizes, np.int64)[b], fill[b], np.array(offsets, np.int64)), strict=True):
                 col[order] = v
         none = part <= 0
-        out = [doc.combine_chunks(), pa.array(piece), pieces.combine_chunks(), pa.array(piece * largest), pa.array(part), *[pa.array(c, mask=none) for c in cols]]
+        out = [pa.array(at), doc.combine_chunks(), pa.array(piece), pieces.combine_chunks(), pa.array(piece * largest), pa.array(part), *[pa.array(c, mask=none) for c in cols]]
         return pa.table(out, names=[x.split()[0] for x in SCHEMA.split(", ")]).to_batches()
 
     dealt = items.repartition("shard").sortWithinPartitions("shard")

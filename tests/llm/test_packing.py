@@ -10,7 +10,7 @@ from .helpers import odd_documents, table
 @given(st.lists(st.integers(1, 100), min_size=1, max_size=60))
 def test_bins_hold_what_is_put_in(sizes):
     sizes = sorted(sizes, reverse=True)
-    bins, offsets, caps = packing.pack(sizes, [25, 50, 100], 5)
+    bins, offsets, caps = packing.pack(sizes, [25, 50, 100], 5, 200)
     for b, cap in enumerate(caps):
         parts = sorted((offsets[i], sizes[i]) for i in range(len(sizes)) if bins[i] == b)
         at = 0
@@ -20,34 +20,82 @@ def test_bins_hold_what_is_put_in(sizes):
         assert at <= cap and all(c < at for c in [25, 50, 100] if c < cap)
 
 
-def brute(sizes, capacities, overhead):
-    """Best fit by looking at every open bin."""
-    room, fill, out, left = [], [], [], sum(sizes)
-    for s in sizes:
+def brute(sizes, capacities, overhead, span):
+    """Best fit by looking at every open bin, and every item to come."""
+    room, fill, last = [], [], []
+    for i, s in enumerate(sizes):
         fits = [b for b in range(len(room)) if room[b] >= s]
         if fits:
-            b = min(fits, key=lambda b: room[b])
+            b = min(fits, key=lambda b: (room[b], -last[b]))
         else:
-            cap = min((c for c in capacities if c >= s), key=lambda c: ((c + overhead) / min(c, left), c))
-            room.append(cap)
+
+            def price(c):
+                to_come = sum(x for x in sizes[i + 1 :] if x <= c - s)
+                share = min(1, to_come / (sum(room) + c - s)) if c > s else 0
+                return (overhead + c + c * c / span) / (s + (c - s) * share)
+
+            room.append(min((c for c in capacities if c >= s), key=lambda c: (price(c), c)))
             fill.append(0)
+            last.append(i)
             b = len(room) - 1
+        last[b] = i
         room[b] -= s
         fill[b] += s
-        left -= s
-        out.append(room[b])
-    return out, sorted(fill)
+    return sorted(fill)
 
 
 def test_choices_are_those_of_looking_at_every_bin():
     r = random.Random(1)
     for _ in range(50):
         sizes = sorted((r.randint(1, 100) for _ in range(80)), reverse=True)
-        bins, _, caps = packing.pack(sizes, [25, 50, 100], 5)
+        bins, _, caps = packing.pack(sizes, [25, 50, 100], 5, 200)
         fill = [0] * len(caps)
         for b, s in zip(bins, sizes, strict=True):
             fill[b] += s
-        assert sorted(fill) == brute(sizes, [25, 50, 100], 5)[1]
+        assert sorted(fill) == brute(sizes, [25, 50, 100], 5, 200)
+
+
+def optimum(sizes, capacities, overhead, span):
+    """The least cost over all ways to put items together."""
+    best = float("inf")
+
+    def place(i, bins):
+        nonlocal best
+        now = sum(packing.cost(next(c for c in capacities if c >= f), overhead, span) for f in bins)
+        if now >= best:
+            return
+        if i == len(sizes):
+            best = now
+            return
+        for j, f in enumerate(bins):
+            if f + sizes[i] <= capacities[-1] and f not in bins[:j]:
+                place(i + 1, [*bins[:j], f + sizes[i], *bins[j + 1 :]])
+        place(i + 1, [*bins, sizes[i]])
+
+    place(0, [])
+    return best
+
+
+def test_costs_are_near_the_optimum():
+    r, ours, least = random.Random(2), 0.0, 0.0
+    for _ in range(60):
+        sizes = sorted((r.choice([r.randint(1, 100), r.randint(1, 30)]) for _ in range(8)), reverse=True)
+        _, _, caps = packing.pack(sizes, [25, 50, 100], 2, 200)
+        own, best = sum(packing.cost(c, 2, 200) for c in caps), optimum(sizes, [25, 50, 100], 2, 200)
+        assert best <= own <= 1.6 * best
+        ours, least = ours + own, least + best
+    assert ours <= 1.12 * least
+
+
+def test_several_sizes_are_opened_and_little_is_wasted():
+    r = random.Random(3)
+    sizes = sorted((min(4096, int(r.lognormvariate(5.5, 1.2)) + 1) for _ in range(5000)), reverse=True)
+    capacities = [512, 1024, 2048, 4096]
+    bins, _, caps = packing.pack(sizes, capacities)
+    counts = [caps.count(c) for c in capacities]
+    assert all(n >= 0.01 * len(caps) for n in counts) and sum(sizes) >= 0.97 * sum(caps)
+    one = packing.pack(sizes, [4096])[2]
+    assert sum(map(packing.cost, caps)) < 0.9 * sum(map(packing.cost, one))
 
 
 def test_downsizing_takes_the_least_capacity():
