@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -159,7 +160,10 @@ def cotrain(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int =
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = 4000, unlabelled: int = 4000, **options) -> Model | None:
-    """A model from at most `labelled` and `unlabelled` documents, those least by a hash of doc_id; None without both classes."""
+    """A model from at most `labelled` and `unlabelled` documents, those least by a hash of doc_id; None without both classes.
+
+    The views of the sample, a bounded number of rows, meet in one task, which fits; the driver gets the weights alone.
+    """
     marked = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("q"))
     marked = marked.select("doc_id", (F.col("q") >= 0.5).cast("int").alias("label"))
     first = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
@@ -173,7 +177,19 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 4000, unlabelled: in
                 views = [[x.tobytes() for x in v] for v in (text.astype(np.float16), meta)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(5).slice(a, b - a), *[pa.array(v, pa.binary()) for v in views]], names=["doc_id", "label", "text", "meta"])
 
-    got = rows.mapInArrow(run, "doc_id long, label int, text binary, meta binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _fitted(pa.Table.from_batches(list(batches), schema=schema), **options)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)] if model else [], pa.binary())], names=["model"])
+
+    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("text", pa.binary()), ("meta", pa.binary())])
+    sampled = rows.mapInArrow(run, "doc_id long, label int, text binary, meta binary").dropDuplicates(["doc_id"])
+    got = sampled.repartition(1).mapInArrow(fitted, "model binary").collect()
+    return pickle.loads(bytes(got[0].model)) if got else None
+
+
+def _fitted(got: pa.Table, **options) -> Model | None:
+    """A model from the sample (doc_id, label, text, meta)."""
+    got = got.sort_by("doc_id")
     label = got.column("label").to_numpy().astype(np.int64)
     if not {0, 1} <= set(label[label >= 0][::5].tolist()) or len(set(np.delete(label[label >= 0], slice(None, None, 5)).tolist())) < 2:
         return None
