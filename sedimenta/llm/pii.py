@@ -24,7 +24,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_NUMERIC = re.compile(r"[+0-9().\-/]*[0-9][+0-9().\-/]*[,;:]?")
+_NUMERIC = re.compile(r"(?=[+().\-/]*[0-9])[+0-9().\-/]+[,;:]?")
+_HINT = re.compile(r"[0-9@]")
+#: No identifier has more digits.
+DIGITS = 19
 #: Contexts are looked for in texts by the low CELL_BITS bits of their numbers.
 CELL_BITS = 27
 _EDGE = ".,;:!?\"'()[]<>|"
@@ -85,7 +88,8 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
     """(start, end, kind or -1, shapes, instance, contexts) of the base spans and of other tokens that look like identifiers.
 
     Contexts are the word before ("1 word"), the two before ("2 word word") and the word after ("r word"), with ASCII
-    letters as lower case. Numeric tokens one space apart are one token.
+    letters as lower case. Numeric tokens one space apart are one token as long as they have DIGITS digits together at
+    most, as many as the longest identifier. Tokens and words count whatever their length.
     """
     if not base and "@" not in text and not _DIGIT.search(text):
         return []
@@ -97,10 +101,14 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
     while i < len(tokens):
         s, e = tokens[i]
         i += 1
-        if e - s > 64 or not any(c in "0123456789@" for c in text[s:e]):
+        if not _HINT.search(text, s, e):
             continue
         if _NUMERIC.fullmatch(text, s, e):
-            while i < len(tokens) and tokens[i][0] == e + 1 and tokens[i][1] - s <= 64 and _NUMERIC.fullmatch(text, *tokens[i]):
+            n = len(_DIGIT.findall(text, s, e))
+            while i < len(tokens) and tokens[i][0] == e + 1 and text[e] == " " and _NUMERIC.fullmatch(text, *tokens[i]):
+                n += len(_DIGIT.findall(text, *tokens[i]))
+                if n > DIGITS:
+                    break
                 e = tokens[i][1]
                 i += 1
         while s < e and text[s] in _EDGE:
@@ -117,7 +125,7 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
         near = [f"1 {word(left - 1)}"] if left else []
         near += [f"2 {word(left - 2)} {word(left - 1)}"] if left > 1 else []
         near += [f"r {word(right)}"] if right < len(tokens) else []
-        out.append((s, e, kind, shapes, text[s:e].translate(_LOWER), [x for x in near if len(x) <= 80]))
+        out.append((s, e, kind, shapes, text[s:e].translate(_LOWER), near))
     return out
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -39,7 +40,7 @@ def test_base_spans_are_those_of_the_expressions():
 
 
 def test_very_long_runs_take_linear_time():
-    for t in ("a" * 300_000 + "@", "@" * 100_000, "1" * 300_000, "+1" * 100_000, "1." * 100_000, "a.b" * 50_000 + "@x"):
+    for t in ("a" * 300_000 + "@", "@" * 100_000, "1" * 300_000, "+1" * 100_000, "1." * 100_000, "a.b" * 50_000 + "@x", "1" * 100_000 + "x", "1 " * 100_000, "1-" * 50_000 + "x 1", ("+" * 1000 + " ") * 100):
         pii.mentions(t, pii.base_spans(t))
 
 
@@ -97,3 +98,81 @@ def test_rounds_go_on_while_they_find_something(spark):
     for g in range(1, 7):
         rows += [(100 * g + 10 * k + i, f"x{g}{k}{i} alpha{g - k} 555-000-{g}00{i} y{g}{k}{i}", "s", "en", 0) for i in range(6) for k in (0, 1)]
     assert pii.find(table(spark, rows)).where("spans = ''").count() == 0
+
+
+def test_long_tokens_and_long_words_count(spark):
+    rows = [(i, f"x{i} write to: u{i}@host.com y{i}", "s", "en", 0) for i in range(8)] + [(50, "x write to: root@" + "h" * 70 + " y", "s", "en", 0)]
+    long = "w" * 85
+    rows += [(100 + i, f"x{i} {long} +1 (415) 555-{1000 + i} y{i}", "s", "en", 0) for i in range(8)] + [(200, f"z {long} 555-123-4567 z", "s", "en", 0)]
+    got = {r.doc_id: r.spans for r in pii.find(table(spark, rows)).collect()}
+    assert got[50] == "email:12:87" and got[200] == "phone:88:100"
+
+
+def plain(texts, support=5, purity=0.8, accept=0.7):
+    """Spans of each text by the definition: all texts, all contexts and all instances again in each round."""
+    lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    words = [re.findall(r"[^\x20\x09-\x0D]+", lower(t)) for t in texts]
+    found = [pii.mentions(t, reference(t)) for t in texts]
+    known = {}
+    for m in (m for ms in found for m in ms if m[2] >= 0):
+        known.setdefault(m[4], set()).add(m[2])
+    seeds, learned, last = set(known), {}, None
+
+    def total(context):
+        kind, *w = context.split(" ")
+        return sum(sum(x[i : i + len(w)] == w for i in range(len(x) - len(w) + 1)) for x in words)
+
+    while learned != last:
+        of = {k: set(v) for k, v in known.items()} | {k: {v} for k, v in learned.items()}
+        contexts = {}
+        for m in (m for ms in found for m in ms):
+            for c in m[5]:
+                key = (m[4], m[3])
+                contexts.setdefault(c, {}).setdefault(key, 0)
+                contexts[c][key] += 1
+        patterns = {}
+        for c, fillers in contexts.items():
+            for k in range(4):
+                rows = [(kind, shapes, n) for (x, shapes), n in fillers.items() for kind in of.get(x, {None})]
+                fits = lambda r: r[0] is None and r[1] >> k & 1  # noqa: E731, B023
+                pos = sum(r[0] == k for r in rows)
+                neg = sum(r[0] != k and not fits(r) for r in rows)
+                here = sum(r[2] for r in rows if r[0] == k or fits(r))
+                if pos >= support and pos / (pos + neg + 1) >= purity and 2 * here > total(c):
+                    patterns.setdefault(c, {})[k] = pos / (pos + neg + 1)
+        doubt = {}
+        for c, ks in patterns.items():
+            for x, shapes in {key for key in contexts[c]}:
+                for k, conf in ks.items():
+                    if shapes >> k & 1:
+                        doubt.setdefault(x, {}).setdefault(k, []).append(1 - conf)
+        scores = {x: max((1 - math.prod(d), -k) for k, d in ks.items()) for x, ks in doubt.items() if x not in seeds}
+        last, learned = learned, {x: -k for x, (score, k) in scores.items() if score >= accept}
+    return [pii.joined([(m[0], m[2], m[1]) for m in ms if m[2] >= 0] + [(m[0], learned[m[4]], m[1]) for m in ms if m[2] < 0 and m[4] in learned]) for ms in found]
+
+
+def test_discovered_spans_are_those_of_the_definition(spark):
+    more = 0
+    for seed in range(3):
+        r = random.Random(seed)
+        cues = ["tel", "fax", "Ring", "mail", "id", "the"]
+
+        def identifier(cue):
+            if cue == "mail":
+                return r.choice([f"u{r.randint(0, 30)}@h{r.randint(0, 9)}.org", f"u{r.randint(0, 30)}@local"])  # noqa: B023
+            if cue in ("tel", "fax", "Ring"):
+                return r.choice([f"+1 415 555-{r.randint(1000, 1040)}", f"555-{r.randint(100, 120)}-0000"])  # noqa: B023
+            return r.choice([str(r.randint(10**7, 10**7 + 20)), "cat", "dog", f"+44 20 {r.randint(10**7, 10**7 + 9)}"])  # noqa: B023
+
+        texts = []
+        for _ in range(120):
+            parts = []
+            for _ in range(r.randint(1, 3)):
+                cue = r.choice(cues)
+                parts.append(f"w{r.randint(0, 9)} {cue} {identifier(cue)} {r.choice(['end', 'and', 'or.'])}")
+            texts.append(" ".join(parts))
+        got = {x.doc_id: x.spans for x in pii.find(table(spark, [(i, t, "s", "en", 0) for i, t in enumerate(texts)])).collect()}
+        want = plain(texts)
+        assert [got[i] for i in range(len(texts))] == want
+        more += sum(w != pii.joined(reference(t)) for w, t in zip(want, texts, strict=True))
+    assert more > 20
