@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .common import WORD, words, written
 
 SYMBOL = "[#*$%&|<>]"
-#: Rows that a frequent line of a host is repeated over, so that its documents meet it in as many tasks.
-SALTS = 16
+#: Rows that a frequent line of a host is repeated over at least, so that its documents meet it in as many tasks, and documents for which there is one more.
+SALTS, SALT_DOCS = 16, 1 << 16
 
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -41,12 +41,12 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def frequent_lines(rows: DataFrame, limit: int = 20) -> DataFrame:
-    """(host, line): hashes of the lines that more than `limit` of rows(host, lines) of a host have.
+    """(host, line, n_docs): hashes of the lines that more than `limit` of rows(host, lines) of a host have.
 
     A text's own repeats are taken out before anything is shuffled, and counts are summed map-side.
     """
     each = rows.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x.h))).alias("line"))
-    return each.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > limit).drop("n_docs")
+    return each.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > limit)
 
 
 def line_frequency(docs: DataFrame, limit: int = 20, depleted: float = 0.5) -> DataFrame:
@@ -55,7 +55,7 @@ def line_frequency(docs: DataFrame, limit: int = 20, depleted: float = 0.5) -> D
     A line is removed if its normalised form stands in more than `limit` documents of the document's host (its
     source). A document is depleted, and rejected, if less than `depleted` of its words are left. removed_lines holds
     the places of the removed ones among the lines that have words; cleaned() applies it. Lines of a frequent hash are
-    found by a join whose frequent side is repeated over SALTS keys, so a line of a third of all documents is dealt out. Texts are
+    found by a join whose frequent side is repeated over SALTS keys, more if the most frequent line needs them, so a line of a third of all documents is dealt out. Texts are
     read once; what is compared is written.
 
     Each row counts as a document, equal rows too, and they get equal results. Null text is an empty text, a null
@@ -64,9 +64,11 @@ def line_frequency(docs: DataFrame, limit: int = 20, depleted: float = 0.5) -> D
     """
     rows = docs.select("doc_id", F.coalesce("source", F.lit("\0null")).alias("host"), F.monotonically_increasing_id().alias("rid"), "text")
     rows = written(with_statistics(rows).drop("text"))
-    frequent = frequent_lines(rows, limit).select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    frequent = written(frequent_lines(rows, limit))
+    salts = max(SALTS, (frequent.agg(F.max("n_docs")).first()[0] or 0) // SALT_DOCS)
+    frequent = frequent.select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     each = rows.select("rid", "host", F.posexplode("lines")).select("rid", "host", "pos", F.col("col.h").alias("line"), F.col("col.n").alias("n"))
-    each = each.withColumn("salt", F.pmod(F.hash("rid", "pos"), F.lit(SALTS)))
+    each = each.withColumn("salt", F.pmod(F.hash("rid", "pos"), F.lit(salts)))
     gone = each.join(frequent, ["host", "line", "salt"], "left_semi").groupBy("rid").agg(F.collect_list("pos").alias("_at"), F.sum("n").alias("_gone"))
     out = rows.drop("lines").join(gone, "rid", "left")
     removed = F.sort_array(F.coalesce("_at", F.array().cast("array<int>")))
