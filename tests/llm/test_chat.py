@@ -36,3 +36,19 @@ def test_derived_pairs(spark):
     assert [m.text for m in got[1].chosen] == ["q1", "a1", "q2", "a2"] and [m.text for m in got[1].rejected] == ["q1", "a1", "q2", "a1"]
     assert got[2].chosen == got[2].rejected and [m.text for m in got[3].rejected] == [""] and len(got[None].chosen) == 1
     assert c.derived_pairs(turns.limit(0)).count() == 0
+
+
+def test_long_conversations_are_cut_and_null_ones_kept_apart(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(2500)] + [(None, i, "user", "n") for i in range(50)] + [(2, None, "user", "x"), (2, 0, "assistant", "y")]
+    turns = spark.createDataFrame([(*r, 9) for r in rows], "conv_id long, turn long, role string, text string, part int")
+    got = c.derived_pairs(turns).collect()
+    assert sorted((r.part, len(r.chosen)) for r in got if r.pair_id == 1) == [(0, 1024), (1, 1024), (2, 452)]
+    assert sum(r.pair_id is None for r in got) == 50 and all(len(r.chosen) == 1 for r in got if r.pair_id is None)
+    assert sorted([(r.part, len(r.chosen)) for r in got if r.pair_id == 2], key=repr) == [(0, 1), (None, 1)]
+    assert c.preferences(c.derived_pairs(turns)).count() == 55
+
+
+def test_roles_and_very_long_texts(spark):
+    got = run(spark, (1, [("a<|im_end|>\nuser", "x")], [("assistant", "y" * 300_000 + "<|im_end|>")]))[1]
+    assert got.chosen == "<|im_start|>a< |im_end|> user\nx<|im_end|>\n"
+    assert got.rejected.endswith("y< |im_end|><|im_end|>\n") and [(s.start, s.end) for s in got.rejected_mask] == [(22, 300_044)]
