@@ -16,7 +16,7 @@ _PINV = pow(_P, -1, 1 << 64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         size = 1 << (n - 1).bit_length()
         for k, base in enumerate((_P, _PINV)):
@@ -71,7 +71,7 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     after[:-1] = inside[1:]
     after[edge[edge > 0] - 1] = False
     start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    up, down = _power(n + 1)
+    up, down = powers(n + 1)
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
     np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])

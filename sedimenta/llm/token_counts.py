@@ -1,17 +1,47 @@
-"""Token counts by a lookup in two tiers: a broadcast table of frequent pre-tokens, then each worker's cache."""
+"""Token counts by a lookup in two tiers: a broadcast hash table of frequent pre-tokens, then each worker's cache."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textvec import buffers, mix, powers, slices
+
 MARK = "▁"
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+#: Pre-tokens of more bytes are encoded each time; others are told apart by 64 bits of hash.
+LONGEST = 64
+
+
+def pre_tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, text): the pre-tokens of some texts, a space put before each text that isn't empty.
+
+    A pre-token is a run of spaces with what follows up to a space or line feed, or a line feed; what follows a line
+    feed has none. So they cover a text without gaps.
+    """
+    some = np.flatnonzero(np.diff(off) > 0)
+    wide = np.insert(data, off[some], 32)
+    begin = off[some] + np.arange(len(some))
+    space, feed = wide == 32, wide == 10
+    first = np.empty(len(wide), bool)
+    first[0:1] = True
+    first[1:] = feed[1:] | (space[1:] & ~space[:-1]) | (~space[1:] & ~feed[1:] & feed[:-1])
+    first[begin] = True
+    starts = np.flatnonzero(first)
+    return wide, starts, np.append(starts[1:], len(wide)), some[np.searchsorted(begin, starts, "right") - 1] if len(some) else np.zeros(0, np.int64)
+
+
+def pre_token_hashes(wide: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    up, down = powers(len(wide) + 1)
+    total = np.zeros(len(wide) + 1, np.uint64)
+    np.cumsum((wide.astype(np.uint64) + np.uint64(1)) * up[: len(wide)], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts])
 
 
 class Pieces:
@@ -23,7 +53,7 @@ class Pieces:
     change characters; it raises for a model of another kind.
     """
 
-    def __init__(self, path: str, table: dict[str, int] | None = None, cache: int = 200_000):
+    def __init__(self, path: str, table: tuple[np.ndarray, np.ndarray] | None = None, cache: int = 200_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -35,17 +65,12 @@ class Pieces:
             got = self.model.encode(probe, out_type=str)
             if "".join(got) != "".join(wanted):
                 raise ValueError("this model normalises texts")
-        self.pieces = [p for i, p in enumerate(pieces) if i not in special]
-        self.table = table if table is not None else {}
+        self.table = table if table is not None else (np.zeros(0, np.uint64), np.zeros(0, np.uint8))
         self.most = cache
-        self.cache: dict[str, int] = {}
+        self.cache: dict[int, int] = {}
         self.cut = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
         self.before = len(self.model.encode("\n"))
 
-    def frequent(self) -> dict[str, int]:
-        """Lengths of the pre-tokens that are pieces themselves: those that were frequent where the vocabulary was made."""
-        return {p: self.encoded(p) for p in self.pieces if len(p) <= 32 and (p.startswith(MARK) or len(p) > 1)}
-
     def encoded(self, part: str) -> int:
         """Tokens of a pre-token, by the model. The mark that the model itself adds stands for the part's first one."""
         if part == "\n":
@@ -56,46 +81,131 @@ class Pieces:
             return len(self.model.encode(part[1:]))
         return len(self.model.encode("\n" + part)) - self.before
 
+    def encoded_all(self, parts: list[str]) -> list[int]:
+        """encoded() of many, in one call of the library."""
+        texts = [p[1:] if p[0] == MARK else "\n" + p for p in parts]
+        off = [1 if p == MARK else 0 if p[0] == MARK else -self.before for p in parts]
+        return [len(x) + o for x, o in zip(self.model.encode(texts, num_threads=1), off, strict=True)] if parts else []
+
     def count(self, text: str) -> int:
-        if not text:
-            return 0
-        total, table, cache = 0, self.table, self.cache
-        for part in self.cut.findall(MARK + text.replace(" ", MARK)):
-            n = table.get(part)
-            if n is None:
-                n = cache.get(part)
-                if n is None:
-                    if len(cache) >= self.most:
-                        cache.clear()
-                    n = self.encoded(part)
-                    if len(part) <= 64:
-                        cache[part] = n
-            total += n
-        return total
-
-
-def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
+        """Tokens of a text by its pre-tokens, without the tiers."""
+        return sum(self.encoded_all(self.cut.findall(MARK + text.replace(" ", MARK)))) if text else 0
+
+    def looked_up(self, hashes: np.ndarray, part) -> np.ndarray:
+        """Tokens of the pre-tokens of some distinct hashes: by the table, the cache, or the model, which is given part(i)."""
+        known, lengths = self.table
+        out = np.zeros(len(hashes), np.int64)
+        missing = np.arange(len(hashes))
+        if len(known):
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            hit = known[at] == hashes
+            out[hit] = lengths[at[hit]]
+            missing = np.flatnonzero(~hit)
+        new, cache = [], self.cache
+        for i, h in zip(missing.tolist(), hashes[missing].tolist(), strict=True):
+            if (n := cache.get(h)) is None:
+                new.append((i, h))
+            else:
+                out[i] = n
+        if len(cache) + len(new) > self.most:
+            cache.clear()
+        for (i, h), n in zip(new, self.encoded_all([part(i) for i, _ in new]), strict=True):
+            out[i] = n
+            if len(cache) < self.most:
+                cache[h] = n
+        return out
+
+    def counts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Tokens of each of some texts."""
+        out = np.zeros(len(off) - 1, np.int64)
+        raw = data.tobytes()
+        if (mark := MARK.encode()) in raw:  # the model's mark itself: these few texts are cut as strings
+            own = [i for i in range(len(out)) if mark in raw[off[i] : off[i + 1]]]
+            for i in own:
+                out[i] = self.count(raw[off[i] : off[i + 1]].decode(errors="replace"))
+            rest = np.delete(np.arange(len(out)), own)
+            parts = [data[off[i] : off[i + 1]] for i in rest]
+            out[rest] = self.counts(np.concatenate(parts) if parts else data[:0], np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int64))
+            return out
+        if not len(data):
+            return out
+        wide, starts, ends, text = pre_tokens(data, off)
+        raw = wide.tobytes()
+        string = lambda j: raw[starts[j] : ends[j]].decode(errors="replace").replace(" ", MARK)
+        n = np.zeros(len(starts), np.int64)
+        short = ends - starts <= LONGEST
+        hashes, first, inverse = np.unique(pre_token_hashes(wide, starts[short], ends[short]), return_index=True, return_inverse=True)
+        places = np.flatnonzero(short)
+        n[short] = self.looked_up(hashes, lambda i: string(places[first[i]]))[inverse]
+        long = np.flatnonzero(~short)
+        n[long] = self.encoded_all([string(j) for j in long])
+        return np.bincount(text, n, len(out)).astype(np.int64)
+
+
+_workers: dict[tuple, Pieces] = {}
+
+
+def _worker(path: str, key: int, table: tuple[np.ndarray, np.ndarray]) -> Pieces:
+    """The model and cache of this Python worker; they outlive a task."""
+    if (path, key) not in _workers:
+        _workers.clear()
+        _workers[path, key] = Pieces(path, table)
+    return _workers[path, key]
+
+
+def frequent(docs: DataFrame, name: str, most: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, tokens) of the `most` pre-tokens that are most frequent in the first `sample` rows of docs(text), by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, seen = Pieces(SparkFiles.get(name)), {}
+        for batch in batches:
+            for _, _, data, off in slices(*buffers(batch.column(0))):
+                if MARK.encode() in data.tobytes() or not len(data):
+                    continue
+                wide, starts, ends, _ = pre_tokens(data, off)
+                short = ends - starts <= LONGEST
+                starts, ends, raw = starts[short], ends[short], wide.tobytes()
+                hashes, first, many = np.unique(pre_token_hashes(wide, starts, ends), return_index=True, return_counts=True)
+                for h, i, n in zip(hashes.tolist(), first.tolist(), many.tolist(), strict=True):
+                    if h in seen:
+                        seen[h][0] += n
+                    else:
+                        seen[h] = [n, raw[starts[i] : ends[i]]]
+        best = sorted(seen.items(), key=lambda x: (-x[1][0], x[0]))[:most]
+        lengths = pieces.encoded_all([x[1].decode(errors="replace").replace(" ", MARK) for _, x in best])
+        order = np.argsort(np.array([h for h, _ in best], np.uint64))
+        hashes, lengths = np.array([h for h, _ in best], np.uint64)[order], np.array(lengths, np.uint8)[order]
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (hashes, lengths)], names=["hashes", "lengths"])
+
+    got = docs.select("text").limit(sample).repartition(1).mapInArrow(run, "hashes binary, lengths binary").collect()
+    return (np.frombuffer(bytes(got[0].hashes), np.uint64), np.frombuffer(bytes(got[0].lengths), np.uint8)) if got else (np.zeros(0, np.uint64), np.zeros(0, np.uint8))
+
+
+def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, table: int = 65_536, sample: int = 2_000) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for each row of docs(doc_id, text), as the sentencepiece model at model_path counts.
 
-    One pass over the texts, without a shuffle: each worker looks pre-tokens up in a table that is broadcast (at most
-    one entry for each piece of the vocabulary, which bounds its size), then in its own cache of bounded size, and asks
-    the model for the others. What is in the tiers changes the speed alone. The model file is sent to the executors.
+    One pass over the texts, without a shuffle of pre-tokens: each worker cuts texts into pre-tokens and hashes them by
+    whole-array arithmetic, looks them up in a broadcast table, then in a cache of bounded size that the worker keeps
+    from task to task, and asks the model for the others. The table holds hashes and lengths, 9 bytes each, of the `table` pre-tokens that are
+    most frequent in the first `sample` documents. What is in the tiers changes the speed alone. Equal 64-bit hashes count as
+    equal pre-tokens; longer ones than LONGEST bytes are always encoded. The model file is sent to the executors.
 
     Null or empty text has 0 bytes and tokens; a null doc_id is kept; each of equal rows is counted; an empty table
     gives no rows. Texts are counted whole, whatever their length. Other columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     name = model_path.rsplit("/", 1)[-1]
-    if not any(f.rsplit("/", 1)[-1] == name for f in spark.sparkContext.listFiles):
-        spark.sparkContext.addFile(model_path)
-    table = spark.sparkContext.broadcast(Pieces(model_path).frequent())
+    if not any(f.rsplit("/", 1)[-1] == name for f in context.listFiles):
+        context.addFile(model_path)
+    shared = context.broadcast(frequent(docs, name, table, sample))
+    key = shared._jbroadcast.id()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(SparkFiles.get(name), table.value)
+        pieces = _worker(SparkFiles.get(name), key, shared.value)
         for batch in batches:
-            n = pa.array([pieces.count(t.as_py() or "") for t in batch.column(2)], pa.int64())
-            over = pa.array([x > limit for x in n.to_pylist()], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, over], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            parts = [pieces.counts(data, off) for _, _, data, off in slices(*buffers(batch.column(2)))]
+            n = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     return rows.mapInArrow(run, SCHEMA)
