@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +13,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scratch, written
 from .textvec import buffers, mix, slices, word_hashes
 
 ORDERS = (1, 2, 3)
-#: Bytes of text that are one chunk, and rows of n-grams for which there is one partition of the count tables.
-CHUNK_BYTES, PART_ROWS = 8 << 20, 2 << 20
+#: Bytes of text that are one chunk, and n-grams of chunks that one partition of a count table is made of.
+CHUNK_BYTES, PART_GRAMS = 8 << 20, 4 << 20
 _MULT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -101,36 +102,69 @@ class _Grams:
         return mix(grams[self.place >= n - 1])
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(n, gram, chunk, many): each distinct n-gram of a chunk and how often it stands there."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            chunk, *parts = (batch.column(c)[i].as_py() for c in range(4))
-            grams = _Grams(*parts)
-            for n in ORDERS:
-                own, many = np.unique(grams.of(n), return_counts=True)
-                for a in range(0, len(own), 1 << 16):
-                    x, m = own[a : a + (1 << 16)], many[a : a + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), n, np.int32)), pa.array(x.view(np.int64)), pa.array(np.full(len(x), chunk, np.int64)), pa.array(m.astype(np.int64))], names=["n", "gram", "chunk", "many"])
+def _sorted_packed(x: np.ndarray) -> bytes:
+    """Ascending numbers as _packed() steps."""
+    return _packed(np.diff(x, prepend=np.uint64(0)))
+
+
+def _sorted_unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data), dtype=np.uint64)
+
+
+def _exploded(n: int, bits: int):
+    """(part, chunk, grams, many): a chunk's distinct n-grams of an order and how often they stand there, by the top bits of their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                chunk, *parts = (batch.column(c)[i].as_py() for c in range(4))
+                own, many = np.unique(_Grams(*parts).of(n), return_counts=True)
+                part = (own >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(own), np.int64)
+                cuts = np.searchsorted(part, np.arange((1 << bits) + 1))
+                out = [(int(p), chunk, _sorted_packed(own[x:y]), _packed(many[x:y])) for p, x, y in zip(range(1 << bits), cuts, cuts[1:], strict=False) if y > x]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "chunk", "grams", "many"])
+
+    return run
+
+
+def _counted(least: int):
+    """A partition of the count table, (part, grams, totals): the n-grams of all chunks there that the corpus has `least` times or more."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        grams, inverse = np.unique(np.concatenate([_sorted_unpacked(x) for x in rows.column("grams").to_pylist()]), return_inverse=True)
+        totals = np.bincount(inverse, np.concatenate([_unpacked(x) for x in rows.column("many").to_pylist()]).astype(np.float64)).astype(np.uint64)
+        kept = totals >= least
+        out = rows.column("part")[0].as_py(), _sorted_packed(grams[kept]), _packed(totals[kept])
+        return pa.table([pa.array([x], t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["part", "grams", "totals"])
+
+    return run
+
+
+def _joined(rows: pa.Table, table: pa.Table) -> pa.Table:
+    """(chunk, part, totals): for the n-grams of each chunk, in their order, the totals of a partition of the count table, 0 where it has none."""
+    grams, totals = (f(table.column(c)[0].as_py()) for f, c in ((_sorted_unpacked, "grams"), (_unpacked, "totals")))
+    out = []
+    for own in map(_sorted_unpacked, rows.column("grams").to_pylist()):
+        at = np.minimum(np.searchsorted(grams, own), max(len(grams) - 1, 0))
+        out.append(_packed(np.where(grams[at] == own, totals[at], 0) if len(grams) else np.zeros(len(own), np.uint64)))
+    return pa.table([rows.column("chunk"), rows.column("part"), pa.array(out, pa.binary())], names=["chunk", "part", "totals"])
 
 
 def _scored(total_words: int, backoff: float):
-    """Scores of the documents of a chunk: its head, and what the count tables hold of its n-grams."""
+    """Scores of the documents of a chunk, from its words and the totals of its n-grams."""
     log_b = np.log(backoff)
 
     def run(heads: pa.Table, found: pa.Table) -> pa.Table:
         g = _Grams(*(heads.column(c)[0].as_py() for c in ("counts", "vocabulary", "sequence")))
-        grams, total, order = (found.column(c).to_numpy() for c in ("gram", "total", "n"))
+        totals: dict[int, list] = {n: [] for n in ORDERS}
+        for n, part, data in zip(*(found.column(c).to_pylist() for c in ("n", "part", "totals")), strict=True):
+            totals[n].append((part, data))
         c = {}
         for n in ORDERS:
-            own, here = grams[order == n].view(np.uint64), total[order == n]
-            at = np.argsort(own)
-            own, here = own[at], here[at]
             c[n] = np.zeros(len(g.place))
-            if len(own):
-                asked = g.of(n)
-                at = np.minimum(np.searchsorted(own, asked), len(own) - 1)
-                c[n][g.place >= n - 1] = np.where(own[at] == asked, here[at], 0)
+            if totals[n]:
+                _, inverse = np.unique(g.of(n), return_inverse=True)
+                c[n][g.place >= n - 1] = np.concatenate([_unpacked(x) for _, x in sorted(totals.pop(n))]).astype(np.float64)[inverse]
         before = {n: np.concatenate([[0.0], c[n][:-1]]) for n in (1, 2)} if len(g.place) else {1: c[1], 2: c[2]}
         has3, has2 = c[3] > 0, c[2] > 0
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -146,7 +180,7 @@ def _scored(total_words: int, backoff: float):
     return run
 
 
-def stupid_backoff(docs: DataFrame, least: int = 2, backoff: float = 0.4, chunk_bytes: int = CHUNK_BYTES, part_rows: int = PART_ROWS) -> DataFrame:
+def stupid_backoff(docs: DataFrame, least: int = 2, backoff: float = 0.4, chunk_bytes: int = CHUNK_BYTES, part_grams: int = PART_GRAMS) -> DataFrame:
     """(doc_id, n_words, n_order3, n_order2, log_score) for each row of docs(doc_id, text).
 
     log_score sums the logs of the stupid-backoff scores of the document's words given the two before: the share of
@@ -154,11 +188,12 @@ def stupid_backoff(docs: DataFrame, least: int = 2, backoff: float = 0.4, chunk_
     bigram in its first word if that is so frequent, else `backoff` times again the word's share of all words. Counts
     are those of all documents, ASCII letters as lower case. n_order3 and n_order2 count the words scored at an order.
 
-    Documents are written as chunks of word numbers. They are exploded into rows of n-grams, one for each distinct
-    n-gram of a chunk, so frequent ones don't gather; the rows are partitioned by hash. Their sums by n-gram are the
-    count tables; the rows are joined to these where they lie, by the same partitioning, and go back to their chunks
-    with the corpus's counts, where the scores are summed by document. Only what the tables hold is sent back. Words and
-    n-grams are told apart by 64 bits of hash.
+    Documents are written as chunks of word numbers. For each order they are exploded into their distinct n-grams, in
+    blocks by the top bits of the n-grams' hashes: an n-gram reaches its partition once for each chunk, so frequent ones
+    don't gather. The blocks of a partition are summed into a count table, which is written; the exploded n-grams are then joined to it, partition by partition, and what it
+    holds of them goes back to their chunks, where scores are summed by document. Words and n-grams are told apart by 64
+    bits of hash. Blocks hold n-grams as packed arrays: as rows of their own they took more than five times the input's
+    size of disk (README).
 
     Null text has no words and score 0, as an empty one; a null doc_id is kept; equal rows count and are scored each;
     an empty table gives no rows. Whole texts are used. Other columns are ignored, whatever their names.
@@ -166,16 +201,19 @@ def stupid_backoff(docs: DataFrame, least: int = 2, backoff: float = 0.4, chunk_
     chunks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _chunks(chunk_bytes), "chunk long, doc_ids array<long>, counts array<long>, vocabulary binary, sequence binary"
     )
-    chunks = written(chunks)
-    words = chunks.select(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(shuffles, -(-len(ORDERS) * words // part_rows))
-    grams = chunks.select("chunk", "counts", "vocabulary", "sequence").mapInArrow(_exploded, "n int, gram long, chunk long, many long").repartition(parts, "n", "gram")
-    # Both sides of the join read all columns, so that one exchange serves both.
-    tables = grams.groupBy("n", "gram").agg(F.sum("many").alias("total"), F.count("chunk").alias("n_chunks")).where((F.col("n") == 1) | (F.col("total") >= least))
-    found = written(grams.join(tables.hint("merge"), ["n", "gram"]))
-    found = found.select("chunk", "n", "gram", "total")
-    by_chunk = chunks.groupBy("chunk").cogroup(found.groupBy("chunk"))
+    with scratch(docs.sparkSession) as kept:
+        chunks = written(chunks)
+        words = chunks.select(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+        bits = (words // part_grams).bit_length()
+        found = []
+        for n in ORDERS:
+            blocks = chunks.select("chunk", "counts", "vocabulary", "sequence").mapInArrow(_exploded(n, bits), "part long, chunk long, grams binary, many binary")
+            blocks = blocks.repartition(1 << bits, "part").groupBy("part")
+            table = written(blocks.applyInArrow(_counted(least if n > 1 else 1), "part long, grams binary, totals binary"))
+            joined = blocks.cogroup(table.groupBy("part")).applyInArrow(_joined, "chunk long, part long, totals binary")
+            found.append(written(joined.withColumn("n", F.lit(n))))
+        kept += [chunks, *found]
+    by_chunk = chunks.groupBy("chunk").cogroup(reduce(DataFrame.union, found).groupBy("chunk"))
     return by_chunk.applyInArrow(_scored(words, backoff), "doc_id long, n_words long, n_order3 long, n_order2 long, log_score double")
 
 

@@ -33,7 +33,7 @@ def test_scores_are_those_of_the_definition_over_many_chunks_and_partitions(spar
     texts = ["the cat sat on the mat", "The cat sat on the hat", "a dog", "", None, "the cat", "x", "on the mat the cat sat on the mat"] * 3 + ["rare words here"]
     docs = table(spark, [(i, t, "s", "en", 0) for i, t in enumerate(texts)]).repartition(3)
     assert len({r.chunk for r in docs.select("doc_id", "text").mapInArrow(lm._chunks(30), "chunk long, doc_ids array<long>, counts array<long>, vocabulary binary, sequence binary").collect()}) > 5
-    got = {r.doc_id: r.log_score for r in lm.stupid_backoff(docs, least, chunk_bytes=30, part_rows=10).collect()}
+    got = {r.doc_id: r.log_score for r in lm.stupid_backoff(docs, least, chunk_bytes=30, part_grams=10).collect()}
     want = brute(texts, least)
     assert all(got[i] == pytest.approx(want[i], abs=1e-9) for i in range(len(texts)))
 
