@@ -154,11 +154,15 @@ def _worker(path: str, key: int, table: tuple[np.ndarray, np.ndarray]) -> Pieces
 
 
 def frequent(docs: DataFrame, name: str, most: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, tokens) of the `most` pre-tokens that are most frequent in the first `sample` rows of docs(text), by hash."""
+    """(hashes, tokens) of the `most` pre-tokens that are most frequent in the first `sample` rows of a partition of docs(text), by hash.
+
+    Only the first partition with rows is read, and nothing but the table leaves its task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, seen = Pieces(SparkFiles.get(name)), {}
+        pieces, seen, left = Pieces(SparkFiles.get(name)), {}, sample
         for batch in batches:
+            batch, left = batch.slice(0, left), left - batch.num_rows
             for _, _, data, off in slices(*buffers(batch.column(0))):
                 if MARK.encode() in data.tobytes() or not len(data):
                     continue
@@ -171,13 +175,17 @@ def frequent(docs: DataFrame, name: str, most: int, sample: int) -> tuple[np.nda
                         seen[h][0] += n
                     else:
                         seen[h] = [n, raw[starts[i] : ends[i]]]
+            if left <= 0:
+                break
+        if left == sample:
+            return
         best = sorted(seen.items(), key=lambda x: (-x[1][0], x[0]))[:most]
         lengths = pieces.encoded_all([x[1].decode(errors="replace").replace(" ", MARK) for _, x in best])
         order = np.argsort(np.array([h for h, _ in best], np.uint64))
         hashes, lengths = np.array([h for h, _ in best], np.uint64)[order], np.array(lengths, np.uint8)[order]
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (hashes, lengths)], names=["hashes", "lengths"])
 
-    got = docs.select("text").limit(sample).repartition(1).mapInArrow(run, "hashes binary, lengths binary").collect()
+    got = docs.select("text").mapInArrow(run, "hashes binary, lengths binary").limit(1).collect()
     return (np.frombuffer(bytes(got[0].hashes), np.uint64), np.frombuffer(bytes(got[0].lengths), np.uint8)) if got else (np.zeros(0, np.uint64), np.zeros(0, np.uint8))
 
 
@@ -187,7 +195,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, table: int
     One pass over the texts, without a shuffle of pre-tokens: each worker cuts texts into pre-tokens and hashes them by
     whole-array arithmetic, looks them up in a broadcast table, then in a cache of bounded size that the worker keeps
     from task to task, and asks the model for the others. The table holds hashes and lengths, 9 bytes each, of the `table` pre-tokens that are
-    most frequent in the first `sample` documents. What is in the tiers changes the speed alone. Equal 64-bit hashes count as
+    most frequent in the first `sample` documents of one partition. What is in the tiers changes the speed alone. Equal 64-bit hashes count as
     equal pre-tokens; longer ones than LONGEST bytes are always encoded. The model file is sent to the executors.
 
     Null or empty text has 0 bytes and tokens; a null doc_id is kept; each of equal rows is counted; an empty table

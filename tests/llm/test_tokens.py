@@ -58,7 +58,7 @@ def test_odd_rows(spark, model):
 
 
 def test_the_frequent_ones_are_in_the_table(spark, model):
-    docs = table(spark, [(i, "often often often seldom" + str(i) + "\nnow", "s", "en", 0) for i in range(50)])
+    docs = table(spark, [(i, "often often often seldom" + str(i) + "\nnow", "s", "en", 0) for i in range(50)]).coalesce(1)
     spark.sparkContext.addFile(model)
     hashes, lengths = token_counts.frequent(docs, model.rsplit("/", 1)[-1], 2, 100)
     data, off = buffers(pa.array(["often"]))
