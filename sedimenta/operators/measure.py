@@ -9,14 +9,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _same(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> Column:
+    """Equality of columns, null with null."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & a[c].eqNullSafe(b[c])
+    return out
+
+
+def running(counts: DataFrame, by: Sequence[str], value: str, n: str) -> DataFrame:
+    """counts(by..., value, n) with _upto, the running sum of n by value in each group, and _all, its total.
+
+    Values are cut into cells by the logarithm, 64 to an octave; sums run over a group's cells, of which there are a few
+    thousand, and within a cell. So a group of very many distinct values is spread over many tasks.
+    """
+    cell = (F.signum(F.col(value)) * F.floor(F.log2(F.abs(F.col(value)) + 1) * 64)).cast("long")
+    counts = counts.withColumn("_cell", cell)
+    cells = counts.groupBy(*by, "_cell").agg(F.sum(n).alias("_in"))
+    order = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_before", F.coalesce(F.sum("_in").over(order), F.lit(0))).withColumn("_all", F.sum("_in").over(Window.partitionBy(*by)))
+    within = counts.withColumn("_within", F.sum(n).over(Window.partitionBy(*by, "_cell").orderBy(value)))
+    placed = within.join(cells, _same(within, cells, [*by, "_cell"]))
+    return placed.select(*[within[c] for c in counts.columns if c != "_cell"], (F.col("_before") + F.col("_within")).alias("_upto"), "_all")
+
+
 def summary(rows: DataFrame, by: Sequence[str], latency: str, percentiles: Sequence[float] = (0.95, 0.99)) -> DataFrame:
     """n, mean, min, max and exact percentiles (the least latency that so many don't exceed) of each group.
 
-    Equal latencies are counted first, map-side, so that what is sorted is a group's distinct values.
+    Equal latencies are counted first, map-side, so that what is sorted is a group's distinct values, cell by cell.
     """
     counts = rows.groupBy(*by, F.col(latency).alias("_v")).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by).orderBy("_v")
-    counts = counts.withColumn("_upto", F.sum("_n").over(w)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
+    counts = running(counts, by, "_v", "_n")
     picks = [F.min(F.when(F.col("_upto") >= F.col("_all") * F.lit(p), F.col("_v"))).alias(f"p{p * 100:g}".replace(".", "_")) for p in percentiles]
     return counts.groupBy(*by).agg(F.sum("_n").alias("n"), (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean"), F.min("_v").alias("min"), F.max("_v").alias("max"), *picks)
 
@@ -40,8 +63,7 @@ def bucket_summary(rows: DataFrame, by: Sequence[str], latency_us: str, buckets:
 def raw_percentiles(rows: DataFrame, by: Sequence[str], latency: str, percentiles: Sequence[float]) -> DataFrame:
     """(by..., p, value): the element at place floor(n * p), from 0, of each group's sorted latencies."""
     counts = rows.groupBy(*by, F.col(latency).alias("_v")).agg(F.count("*").alias("_n"))
-    counts = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by).orderBy("_v"))).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
-    each = counts.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in percentiles])))
+    each = running(counts, by, "_v", "_n").withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in percentiles])))
     return each.where(F.col("_upto") > F.floor(F.col("_all") * F.col("p"))).groupBy(*by, "p").agg(F.min("_v").alias("value"))
 
 
@@ -98,6 +120,42 @@ def merge_histograms(parts: DataFrame, by: Sequence[str]) -> DataFrame:
     return parts.groupBy(*by, "bucket").agg(F.sum("n").cast("long").alias("n"))
 
 
+def log_statistics(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """(by..., n, least, most, total, squares): with log_histogram(), all that a logarithmic histogram holds; mergeable."""
+    v = F.col(value).cast("double")
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.min(v).alias("least"), F.max(v).alias("most"), F.sum(v).alias("total"), F.sum(v * v).alias("squares"))
+
+
+def merge_statistics(parts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """log_statistics() of parts added up, with average and population deviation."""
+    out = parts.groupBy(*by).agg(F.sum("n").cast("long").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), F.sum("total").alias("total"), F.sum("squares").alias("squares"))
+    variance = F.greatest((F.col("squares") * F.col("n") - F.col("total") * F.col("total")) / (F.col("n") * F.col("n")), F.lit(0.0))
+    return out.withColumn("average", F.col("total") / F.col("n")).withColumn("deviation", F.sqrt(variance))
+
+
+def log_report(histogram: DataFrame, by: Sequence[str]) -> DataFrame:
+    """A histogram's buckets with their share and the share up to them, in per cent."""
+    every = F.sum("n").over(Window.partitionBy(*by))
+    upto = F.sum("n").over(Window.partitionBy(*by).orderBy("bucket"))
+    return histogram.withColumns({"percent": F.col("n") * 100.0 / every, "cumulative": upto * 100.0 / every})
+
+
+def with_intended(rows: DataFrame, op: str, started: str, ended: str, intended: str, which: str = "both") -> DataFrame:
+    """(op, latency): each operation from its start and, as Intended-op, from when its schedule wanted it; or one of the two.
+
+    An operation that had to wait for the one before began late; the latency from its intended start shows the wait.
+    """
+    kinds = {"op": (F.col(op), F.col(ended) - F.col(started)), "intended": (F.concat(F.lit("Intended-"), F.col(op)) if which == "both" else F.col(op), F.col(ended) - F.col(intended))}
+    picked = kinds.values() if which == "both" else [kinds[which]]
+    each = F.explode(F.array(*[F.struct(name.alias("op"), latency.alias("latency")) for name, latency in picked]))
+    return rows.select(*[c for c in rows.columns if c not in (op, started, ended, intended)], each.alias("_m")).select("*", "_m.*").drop("_m")
+
+
+def scheduled(place: Column, start: Column, tick: int) -> Column:
+    """When the place-th operation (from 0) of a thread is meant to start: one each `tick`."""
+    return start + place * tick
+
+
 def status_counts(rows: DataFrame, op: str, status: str) -> DataFrame:
     return rows.groupBy(op, status).agg(F.count("*").alias("n"))
 

@@ -40,6 +40,11 @@ def entry_segment(seq: Column, entries: int = 64) -> Column:
     return F.floor(seq / entries).cast("long")
 
 
+def in_segments(seq: Column, first: int, last: int, entries: int = 64) -> Column:
+    """Whether a position lies in the segments first to last: a plain range, so that it reaches the scan."""
+    return seq.between(F.lit(first * entries), F.lit((last + 1) * entries - 1))
+
+
 def manifest(records: DataFrame, run: Sequence[str], key: str, size: Column) -> DataFrame:
     """One row for each run: its key range, records and bytes."""
     return records.groupBy(*run).agg(F.min(key).alias("key_min"), F.max(key).alias("key_max"), F.count("*").alias("n_records"), F.sum(size).cast("long").alias("size_bytes"))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that one quantile cell is to hold, and cells at most (their bounds are constants of the plan).
+CELL_ROWS, MOST_CELLS = 1 << 16, 4096
+
+
 def scan(rows: DataFrame, key: str, start: object, n: int, fields: Sequence[str] | None = None, partition: tuple[str, object] | None = None) -> DataFrame:
     """The first n rows with key >= start, in order of key; each task keeps n rows at most. `partition` fixes another column."""
     if partition:
@@ -23,23 +28,40 @@ def scan_back(rows: DataFrame, key: str, start: object, n: int) -> DataFrame:
 
 def cell_of(rows: DataFrame, key: str, cells: int) -> Column:
     """The number of the quantile cell that a key lies in; cells ascend with the key and hold about as many rows each."""
-    kind = rows.schema[key].dataType.simpleString()
-    cuts = sorted(set(rows.agg(F.percentile_approx(key, [i / cells for i in range(1, cells)], 100 * cells)).first()[0] or []))
-    bounds = F.array(*[F.lit(c).cast(kind) for c in cuts]) if cuts else F.array().cast(f"array<{kind}>")
-    return F.size(F.filter(bounds, lambda b: b <= F.col(key)))
+    cuts = quantiles(rows, key, cells)
+    return cell_among(cuts, F.col(key), rows.schema[key].dataType.simpleString())
+
+
+def quantiles(rows: DataFrame, key: str, cells: int) -> list:
+    """Keys that cut the rows into `cells` parts of about as many each; at most cells - 1, whatever the rows."""
+    return sorted(set(rows.agg(F.percentile_approx(key, [i / cells for i in range(1, cells)], 20 * cells)).first()[0] or []))
+
+
+def cell_among(cuts: list, key: Column, kind: str) -> Column:
+    """How many of the ascending cuts a key reaches, found in two steps: among every n-th, then among the n after that."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, math.isqrt(len(cuts)))
+    array = lambda values: F.array(*[F.lit(c).cast(kind) for c in values])
+    coarse = F.size(F.filter(array(cuts[step - 1 :: step]), lambda b: b <= key))
+    fine = F.slice(array(cuts), coarse * step + 1, F.lit(step))
+    return coarse * step + F.size(F.filter(fine, lambda b: b <= key))
 
 
-def scan_batch(starts: DataFrame, start: str, length: str, rows: DataFrame, key: str, cells: int = 256) -> DataFrame:
+def scan_batch(starts: DataFrame, start: str, length: str, rows: DataFrame, key: str, cells: int | None = None) -> DataFrame:
     """For each of starts its first `length` rows with key >= start: the starts' columns, the rows' columns and `place` from 1.
 
     Starts are ranked among the keys, and the wanted ranks are joined by equality; the cost follows the rows returned,
-    where a join by key >= start would pair every start with all keys above it.
+    where a join by key >= start would pair every start with all keys above it. Ranks are sums within quantile cells of
+    the keys, one for each CELL_ROWS rows unless `cells` is given.
     """
     keyed = rows.withColumn("_k", F.col(key))
     unique = starts.select(F.col(start).cast(rows.schema[key].dataType).alias("_k")).distinct()
     both = rows.select(F.col(key).alias("_k"), F.lit(1).alias("_isrow")).unionByName(unique.withColumn("_isrow", F.lit(0)))
     order = both.groupBy("_k").agg(F.sum("_isrow").alias("_here"))
-    order = order.withColumn("_cell", cell_of(order, "_k", cells))
+    cells = cells or max(16, min(MOST_CELLS, -(-rows.count() // CELL_ROWS)))
+    cuts = quantiles(rows, key, cells)
+    order = order.withColumn("_cell", cell_among(cuts, F.col("_k"), rows.schema[key].dataType.simpleString()))
     sizes = order.groupBy("_cell").agg(F.sum("_here").alias("_n"))
     sizes = sizes.select("_cell", F.coalesce(F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     below = F.coalesce(F.sum("_here").over(Window.partitionBy("_cell").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -50,11 +72,13 @@ def scan_batch(starts: DataFrame, start: str, length: str, rows: DataFrame, key:
     return wanted.join(placed, "col").withColumn("place", (F.col("pos") + 1).cast("long")).drop("col", "pos")
 
 
-def range_lookup(probes: DataFrame, probe: str, ranges: DataFrame, low: str, high: str, width: int) -> DataFrame:
-    """Pairs of a probe and a range that holds it, both ends included, for integer keys.
+def range_lookup(probes: DataFrame, probe: str, ranges: DataFrame, low: str, high: str, cells: int = 256) -> DataFrame:
+    """Pairs of a probe and a range that holds it, both ends included.
 
-    Ranges are repeated for each cell of `width` that they touch, and meet probes by equality on the cell.
+    Probes are cut into quantile cells; ranges are repeated for each cell that they touch, `cells` times at most
+    however wide they are, and meet probes by equality on the cell.
     """
-    cell = lambda c: F.floor(F.col(c) / width)
+    cuts, kind = quantiles(probes, probe, cells), probes.schema[probe].dataType.simpleString()
+    cell = lambda c: cell_among(cuts, F.col(c).cast(kind), kind)
     cut = ranges.withColumn("_cell", F.explode(F.sequence(cell(low), cell(high))))
     return probes.withColumn("_cell", cell(probe)).join(cut, "_cell").where(F.col(probe).between(F.col(low), F.col(high))).drop("_cell")

@@ -17,11 +17,16 @@ def _order(seq: Sequence[str]) -> Column:
 def last_records(log: DataFrame, key: Sequence[str], seq: Sequence[str]) -> DataFrame:
     """The record of each key with the greatest seq, deletions included. One exchange, after map-side reduction.
 
+    Each task sorts its records by key to reduce them (a buffer that holds strings can't be changed in a hash table), and
+    what is left is exchanged and reduced again. Columns that have no order, such as maps, are allowed.
+
     A condition on the key may be put before or after; one on the value or kind of a record may only be put after,
     or an old value comes back for a key that was overwritten or deleted.
     """
     rest = [c for c in log.columns if c not in key and c not in seq]
-    newest = F.max(F.struct(*seq, *rest)).alias("_r")
+    whole = F.struct(*seq, *rest)
+    unordered = any("map<" in log.schema[c].dataType.simpleString() for c in rest)
+    newest = (F.max_by(whole, F.struct(*seq)) if unordered else F.max(whole)).alias("_r")
     return log.groupBy(*key).agg(newest).select(*key, *[F.col("_r").getField(c).alias(c) for c in [*seq, *rest]])
 
 

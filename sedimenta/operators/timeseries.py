@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from datetime import datetime, timedelta
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -64,6 +65,25 @@ def _matches(q: TimeQuery) -> Column | None:
     return out
 
 
+def within(q: TimeQuery, ts: str = "ts") -> Column:
+    """The query's times, in seconds since the epoch, as a condition on a timestamp without a zone; it reaches the scan."""
+    at = lambda s: F.expr(f"TIMESTAMP_NTZ'{datetime(1970, 1, 1) + timedelta(seconds=s)}'")
+    first, last = (q.at, q.at) if q.at is not None else (q.start, q.end)
+    return F.lit(True) if first is None else (F.col(ts) >= at(first)) & (F.col(ts) < at(last + 1))
+
+
+def typed(points: DataFrame, value: str) -> DataFrame:
+    """points to insert, with value_long or value_double in place of a number as text: a point, an exponent or a name makes it double."""
+    text = F.trim(F.col(value))
+    whole = text.rlike(r"^[+-]?[0-9]+$")
+    return points.withColumns({"value_long": F.when(whole, text.try_cast("long")), "value_double": F.when(~whole, text.try_cast("double"))}).drop(value)
+
+
+def random_span(start: Column, u: Column, span: int, interval: int) -> Column:
+    """The end of a query's time range: a random number of intervals, below the whole span, after its start."""
+    return (start + interval * F.floor(u * (span // interval))).cast("long")
+
+
 def read(points: DataFrame, metric: Column | None, q: TimeQuery, ts: str = "ts") -> tuple[str, DataFrame | None]:
     """The points at one time. A range, or no time, is a bad request. (status, rows)"""
     if (status := _status(q, True)) != OK:

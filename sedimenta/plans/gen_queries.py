@@ -99,11 +99,14 @@ def gen_java_hash(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", Z.java_hash(F.col("c_name")).alias("hash"))
 
 
-@query("SELECT c_custkey, c_custkey - 750 AS back, c_acctbal AS value FROM customer")
+@query("""SELECT c_custkey, c_custkey - 750 AS back, c_acctbal AS value, CASE WHEN c_custkey < 750 THEN upper(to_hex(c_custkey - 750)) ELSE lpad(upper(to_hex(c_custkey - 750)), 16, '0') END AS bytes,
+  CASE WHEN b = 0 THEN '0000000000000000' ELSE upper(lpad(to_hex(s * 9223372036854775808::HUGEINT + (1023 + e) * 4503599627370496::HUGEINT + CAST((b / pow(2, e) - 1) * 4503599627370496 AS HUGEINT)), 16, '0')) END AS double_bytes
+FROM (SELECT c_custkey, c_acctbal, abs(c_acctbal) AS b, CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS s, CASE WHEN c_acctbal = 0 THEN 0 ELSE CAST(floor(log2(abs(c_acctbal))) AS INT) END AS e FROM customer)""")
 def bytes_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "customer")
     back = Z.bytes_to_long(Z.long_to_bytes(F.col("c_custkey") - 750))
-    return rows.select("c_custkey", back.alias("back"), Z.bytes_to_double(Z.double_to_bytes("c_acctbal")).alias("value"))
+    doubles = F.hex(Z.double_to_bytes("c_acctbal")).alias("double_bytes")
+    return rows.select("c_custkey", back.alias("back"), F.hex(Z.long_to_bytes(F.col("c_custkey") - 750)).alias("bytes"), doubles, Z.bytes_to_double(Z.double_to_bytes("c_acctbal")).alias("value"))
 
 
 JAVA = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)), lambda a, c: (a * 31 + c) % 4294967296)"
@@ -132,25 +135,32 @@ def ts_series_enum(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("point", "metric", F.col("tags")["AA"].alias("tag1"), F.col("tags")["AB"].alias("tag2"), "ts")
 
 
-@query("SELECT 'OK' AS status, 600::BIGINT AS n")
+@query(f"""WITH s AS (SELECT p, 'AAAAA' || substring({ABC}, (1 + p % 6 // 2)::INT, 1) || 'ABAAA' || substring({ABC}, (1 + p % 2)::INT, 1) AS s, 1451606400 + p // 12 * 60 AS ts FROM (SELECT range AS p FROM range(600)))
+SELECT p AS point, CAST(xor(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END, ts) AS BIGINT) AS value, CASE WHEN p % 7 = 0 THEN 'UNEXPECTED_STATE' ELSE 'OK' END AS status
+FROM (SELECT p, ts, {JAVA.format("s")} AS h FROM s)""")
 def ts_verified(spark: SparkSession, d: str) -> DataFrame:
-    return W.verified(W.series(spark, 2, [3, 2], 50)).groupBy("status").agg(F.count("*").alias("n"))
+    """Generated points, each seventh of which is changed and must be found."""
+    made = W.series(spark, 2, [3, 2], 50)
+    changed = F.when(F.col("point") % 7 == 0, F.col("value") + 1).otherwise(F.col("value"))
+    return W.verified(made.withColumn("made", F.col("value")).withColumn("value", changed)).select("point", F.col("made").alias("value"), "status")
 
 
 def _workload(name: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        """Counts by operation and status of a workload against the customers as rows, and the rows that scans return."""
+        """Operations of a workload against the customers as rows, by kind and status: how many, their keys, and the rows that they return."""
         rows = table(spark, d, "customer").select("c_custkey", Z.key_name(F.col("c_custkey"), 6, ordered=True).alias("row_key"))
         w = W.Core.standard(name, rows.count(), 2000)
         w.padding, w.ordered = 6, True
         ops = W.operations(spark, w)
-        singles = W.read_results(ops, rows, "row_key").groupBy("op", "status").agg(F.count("*").alias("n"), F.count("*").alias("n_rows"))
+        keys = [F.count_distinct("keynum").alias("n_keys"), F.sum("keynum").alias("key_sum"), F.sum(F.col("keynum") % 1009 * F.col("op_id")).alias("key_mix")]
+        singles = W.read_results(ops, rows, "row_key").join(ops.select("op_id", "keynum"), "op_id")
+        singles = singles.groupBy("op", "status").agg(F.count("*").alias("n"), F.count("*").alias("n_rows"), *keys)
         if "SCAN" not in w.mix:
             return singles
         scans = ops.where("op = 'SCAN'").select("op", "op_id", "keynum", "length")
-        got = S.scan_batch(scans, "keynum", "length", rows, "c_custkey")
-        got = got.groupBy("op", F.lit("OK").alias("status")).agg(F.count_distinct("op_id").alias("n"), F.count("*").alias("n_rows"))
-        return singles.unionByName(got)
+        got = S.scan_batch(scans, "keynum", "length", rows, "c_custkey").groupBy("op").agg(F.count("*").alias("n_rows"))
+        asked = scans.groupBy("op", F.lit("OK").alias("status")).agg(F.count("*").alias("n"), *keys)
+        return singles.unionByName(asked.join(got, "op"))
 
     run.__name__ = f"workload_{name}"
     return run
@@ -160,27 +170,36 @@ def _unit_sql(i: int) -> str:
     return f"(CAST('0x' || substr(md5('1:{i}:' || op_id), 1, 13) AS BIGINT) / 4503599627370496.0)"
 
 
-def _zipf_sql() -> str:
-    """The scrambled item of an operation among as many as there are customers."""
-    z, eta = G.SCRAMBLED_ZETA, (1 - (2.0 / G.SCRAMBLED_ITEMS) ** 0.01) / (1 - G.zeta(2) / G.SCRAMBLED_ZETA)
+def _rank_sql(items: str, zetan: str, eta: str) -> str:
     u = _unit_sql(1)
-    rank = f"CAST(CASE WHEN {u} * {z!r} < 1 THEN 0 WHEN {u} * {z!r} < {1 + 0.5**0.99!r} THEN 1 ELSE floor({float(G.SCRAMBLED_ITEMS)!r} * pow({eta!r} * {u} - {eta!r} + 1, {1 / (1 - 0.99)!r})) END AS BIGINT)"
-    return f"(SELECT op_id, {rank} AS rank FROM (SELECT range AS op_id FROM range(2000)))"
+    return f"CAST(CASE WHEN {u} * {zetan} < 1 THEN 0 WHEN {u} * {zetan} < {1 + 0.5**0.99!r} THEN 1 ELSE floor({items} * pow({eta} * {u} - {eta} + 1, {1 / (1 - 0.99)!r})) END AS BIGINT)"
+
+
+def _request_sql(distribution: str) -> str:
+    """(op_id, k): the record that each operation asks for, of as many as there are customers."""
+    ops = "(SELECT range AS op_id FROM range(2000))"
+    if distribution == "latest":
+        z = "z AS (SELECT (SELECT sum(1 / pow(i, 0.99)) FROM (SELECT unnest(range(1, n)) AS i)) AS z, n FROM c)"
+        e = f"e AS (SELECT z, n, (1 - pow(2.0 / (n - 1), 0.01)) / (1 - {G.zeta(2)!r} / z) AS eta FROM z)"
+        return f"c AS (SELECT count(*)::BIGINT AS n FROM customer), {z}, {e}, r AS (SELECT op_id, n, greatest(n - 1 - {_rank_sql('(n - 1)::DOUBLE', 'z', 'eta')}, 0) AS k FROM {ops}, e)"
+    eta = (1 - (2.0 / G.SCRAMBLED_ITEMS) ** 0.01) / (1 - G.zeta(2) / G.SCRAMBLED_ZETA)
+    rank = _rank_sql(repr(float(G.SCRAMBLED_ITEMS)), repr(G.SCRAMBLED_ZETA), repr(eta))
+    h = f"h AS (SELECT op_id, {_fnv_sql('rank')} AS h FROM (SELECT op_id, {rank} AS rank FROM {ops}))"
+    return f"c AS (SELECT count(*)::BIGINT AS n FROM customer), {h}, r AS (SELECT op_id, n, CAST((CASE WHEN h >= 9223372036854775808::UHUGEINT THEN 18446744073709551616::UHUGEINT - h ELSE h END) % n::UHUGEINT AS BIGINT) AS k FROM h, c)"
 
 
 def _workload_sql(name: str) -> str:
-    mix, _ = W.MIXES[name]
+    mix, distribution = W.MIXES[name]
     op, upto = "CASE", 0.0
     for k, w in mix.items():
         upto += w
         op += f" WHEN {_unit_sql(0)} < {upto / sum(mix.values())!r} THEN '{k}'"
     op += f" ELSE '{list(mix)[-1]}' END"
-    if "SCAN" not in mix:
-        return f"SELECT {op} AS op, 'OK' AS status, count(*) AS n, count(*) AS n_rows FROM (SELECT range AS op_id FROM range(2000)) GROUP BY 1"
     length = f"CAST(1 + floor({_unit_sql(3)} * 100) AS BIGINT)"
-    return f"""WITH z AS (SELECT op_id, {_fnv_sql('rank')} AS h FROM {_zipf_sql()}), c AS (SELECT count(*) AS n FROM customer),
-o AS (SELECT {op} AS op, {length} AS length, CAST((CASE WHEN h >= 9223372036854775808::UHUGEINT THEN 18446744073709551616::UHUGEINT - h ELSE h END) % c.n::UHUGEINT AS BIGINT) AS k, c.n AS total FROM z, c)
-SELECT op, 'OK' AS status, count(*) AS n, CAST(sum(CASE WHEN op = 'SCAN' THEN least(length, total - k) ELSE 1 END) AS BIGINT) AS n_rows FROM o GROUP BY 1"""
+    return f"""WITH {_request_sql(distribution)}, o AS (SELECT op_id, {op} AS op, {length} AS length, n, k FROM r),
+p AS (SELECT op_id, op, length, n, CASE WHEN op = 'INSERT' THEN op_id + n ELSE k END AS k FROM o)
+SELECT op, CASE WHEN op = 'INSERT' OR k < n THEN 'OK' ELSE 'NOT_FOUND' END AS status, count(*) AS n, CAST(sum(CASE WHEN op = 'SCAN' THEN least(length, n - k) ELSE 1 END) AS BIGINT) AS n_rows,
+  count(DISTINCT k) AS n_keys, CAST(sum(k) AS BIGINT) AS key_sum, CAST(sum(k % 1009 * op_id) AS BIGINT) AS key_mix FROM p GROUP BY 1, 2"""
 
 
 for _name in W.MIXES:

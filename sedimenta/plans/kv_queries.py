@@ -21,9 +21,9 @@ def kv_latest(spark: SparkSession, d: str) -> DataFrame:
     return N.snapshot(log(spark, d), KEY, SEQ, deleted())
 
 
-@query(f"SELECT user_id, event_id, ts, event_type, value FROM ({LAST}) WHERE rn = 1 AND event_type <> 'error' AND user_id = 8")
+@query(f"SELECT user_id, event_id, ts, event_type, value FROM ({LAST}) WHERE rn = 1 AND event_type <> 'error' AND user_id = 7")
 def kv_point_get(spark: SparkSession, d: str) -> DataFrame:
-    return N.get(log(spark, d), "user_id", SEQ, deleted(), 8)
+    return N.get(log(spark, d), "user_id", SEQ, deleted(), 7)
 
 
 @query(f"""SELECT c_custkey, CASE WHEN e.user_id IS NULL THEN 'NOT_FOUND' WHEN event_type = 'error' THEN 'DELETED' ELSE 'OK' END AS status,
@@ -146,7 +146,7 @@ def log_segments(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, user_id, value FROM events WHERE event_id // 64 = 3")
 def log_segment_read(spark: SparkSession, d: str) -> DataFrame:
-    return log(spark, d).where(R.entry_segment(F.col("event_id")) == 3).select("event_id", "user_id", "value")
+    return log(spark, d).where(R.in_segments(F.col("event_id"), 3, 3)).select("event_id", "user_id", "value")
 
 
 @query("SELECT max(event_id) + 1 AS tail, count(*) AS n_records, CAST(sum(strlen(props)) AS BIGINT) AS n_bytes FROM events")
@@ -179,7 +179,7 @@ SELECT c_custkey, count(*) AS n_runs, min(run) AS first_run FROM customer JOIN m
 def run_prune(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").withColumn("run", R.entry_segment(F.col("o_orderkey"), 500))
     runs = R.manifest(rows, ["run"], "o_custkey", F.lit(1)).select("run", "key_min", "key_max")
-    found = S.range_lookup(table(spark, d, "customer").select("c_custkey"), "c_custkey", runs, "key_min", "key_max", 128)
+    found = S.range_lookup(table(spark, d, "customer").select("c_custkey"), "c_custkey", runs, "key_min", "key_max")
     return found.groupBy("c_custkey").agg(F.count("*").alias("n_runs"), F.min("run").alias("first_run"))
 
 
@@ -327,25 +327,40 @@ def file_name_parts(spark: SparkSession, d: str) -> DataFrame:
     return names.select("name", *[parts[p].alias(p) for p in ("prefix", "level", "start_offset", "end_offset", "version")], C.trailing_number(F.col("name")).alias("number"))
 
 
-@query("SELECT event_id, event_type, props FROM events")
+def _hex_sql(x: str) -> str:
+    return f"hex(encode({x}))"
+
+
+def _size_sql(x: str, little: bool = False) -> str:
+    """The length of a text's bytes, 4 bytes as hex; those of these texts are below 256."""
+    n = f"lpad(upper(to_hex(strlen({x}))), 2, '0')"
+    return f"({n} || '000000')" if little else f"('000000' || {n})"
+
+
+@query(f"""SELECT event_id, event_type, props, {' || '.join(f"{_size_sql(x)} || {_hex_sql(x)}" for x in ("'event_type'", "event_type", "'props'", "props"))} AS bytes FROM events""")
 def row_codec_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     bytes_ = lambda c: F.col(c).cast("binary")
     rows = table(spark, d, "events").select("event_id", encode_row(F.create_map(F.lit("event_type"), bytes_("event_type"), F.lit("props"), bytes_("props"))).alias("blob"))
-    rows = rows.select("event_id", decode_row("blob").alias("f"))
-    return rows.select("event_id", F.col("f.event_type").cast("string").alias("event_type"), F.col("f.props").cast("string").alias("props"))
+    rows = rows.select("event_id", F.hex("blob").alias("bytes"), decode_row("blob").alias("f"))
+    return rows.select("event_id", "bytes", F.col("f.event_type").cast("string").alias("event_type"), F.col("f.props").cast("string").alias("props"))
 
 
-@query("SELECT event_id, event_type AS k, props AS v, CAST(event_type <> 'error' AS INT) AS op FROM events")
+@query(f"""SELECT event_id, event_type AS k, props AS v, CAST(event_type <> 'error' AS INT) AS op,
+  {_size_sql('event_type', True)} || {_hex_sql('event_type')} || {_size_sql('props', True)} || {_hex_sql('props')} || CASE WHEN event_type = 'error' THEN '00' ELSE '01' END AS bytes FROM events""")
 def entry_codec_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events")
     blob = encode_entry(F.col("event_type").cast("binary"), F.col("props").cast("binary"), (F.col("event_type") != "error").cast("int"))
-    got = rows.select("event_id", decode_entry(blob).alias("e"))
-    return got.select("event_id", F.col("e.key").cast("string").alias("k"), F.col("e.value").cast("string").alias("v"), F.col("e.op").alias("op"))
+    got = rows.select("event_id", F.hex(blob).alias("bytes"), decode_entry(blob).alias("e"))
+    return got.select("event_id", "bytes", F.col("e.key").cast("string").alias("k"), F.col("e.value").cast("string").alias("v"), F.col("e.op").alias("op"))
+
+
+_ONE = "lpad(upper(to_hex({0})), 2, '0')"
 
 
-@query("SELECT event_id, true AS ok, event_type AS k, props AS v, CAST(event_type <> 'error' AS INT) AS type FROM events")
+@query(f"""SELECT event_id, true AS ok, event_type AS k, props AS v, CAST(event_type <> 'error' AS INT) AS type,
+  {_ONE.format('strlen(event_type) + strlen(props) + 6')} || '0A' || {_ONE.format('strlen(event_type)')} || {_hex_sql('event_type')} || '12' || {_ONE.format('strlen(props)')} || {_hex_sql('props')} || '18' || CASE WHEN event_type = 'error' THEN '00' ELSE '01' END AS bytes FROM events""")
 def message_codec_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events")
     blob = encode_message(F.col("event_type").cast("binary"), F.col("props").cast("binary"), (F.col("event_type") != "error").cast("int"))
-    got = rows.select("event_id", decode_messages(blob).alias("m")).select("event_id", "m.ok", F.explode("m.records").alias("r"))
-    return got.select("event_id", "ok", F.col("r.key").cast("string").alias("k"), F.col("r.value").cast("string").alias("v"), F.col("r.type").alias("type"))
+    got = rows.select("event_id", F.hex(blob).alias("bytes"), decode_messages(blob).alias("m")).select("event_id", "bytes", "m.ok", F.explode("m.records").alias("r"))
+    return got.select("event_id", "bytes", "ok", F.col("r.key").cast("string").alias("k"), F.col("r.value").cast("string").alias("v"), F.col("r.type").alias("type"))

@@ -27,6 +27,10 @@ class Config:
     log_files: int = 2
     last_files: int = 4
 
+    def of(self, sizes: list[int], level: int) -> int:
+        """A level's size; levels below those listed are each four times as large as the one above."""
+        return sizes[level - 1] if level <= len(sizes) else sizes[-1] * 4 ** (level - len(sizes))
+
     @classmethod
     def read(cls, text: str) -> Config:
         """From the flat JSON of a deployment; names in any case."""
@@ -106,7 +110,8 @@ class Store:
         return S.scan(self.state(), "key", start, n)
 
     def _write(self, rows: DataFrame, level: int, size: int) -> list[dict]:
-        files = R.output_files(size, self.config.file_size[level - 1])
+        """A run of the level. Above the last level a merge has one output; there it is split by size."""
+        files = R.output_files(size, self.config.of(self.config.file_size, level)) if level == self.config.max_level else 1
         path = f"{self.path}/sstable{level}/{uuid.uuid4().hex}"
         R.write_run(rows.select("key", "value", "type", "seq"), path, "key", files)
         written = self.spark.read.parquet(path).select("key", "_metadata.file_path", "_metadata.file_size")
@@ -132,7 +137,7 @@ class Store:
         for level in range(1, c.max_level + 1):
             own = [r for r in m["runs"] if r["level"] == level]
             last = level == c.max_level
-            if len(own) > c.last_files if last else len(own) > 1 and sum(r["bytes"] for r in own) > c.level_size[level - 1]:
+            if len(own) > c.last_files if last else len(own) > 1 and sum(r["bytes"] for r in own) > c.of(c.level_size, level):
                 taken = own[:2]
                 self.tell("compaction_started", {"level": level, "inputs": [r["path"] for r in taken]})
                 rows = self.spark.read.parquet(*[r["path"] for r in taken])
@@ -151,6 +156,9 @@ class Store:
         m, n = self.manifest(), 0
         for s in m["compacted"]:
             n += L.remove(self.spark, f"{self.log.path}/segment={s}")
+        if n:
+            self._commit(m | {"compacted": []})
+            m = self.manifest()
         for v in range(1, m["version"]):
             L.remove(self.spark, f"{self.path}/manifest/{v}.json")
         return n

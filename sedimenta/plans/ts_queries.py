@@ -14,13 +14,15 @@ S = "epoch_us(ts) // 1000000"
 DAY10, DAY20 = 1704844800, 1705708800
 
 
-def points(spark: SparkSession, d: str) -> DataFrame:
-    """(event_type, user_id, ts in seconds, value)"""
-    return micros(table(spark, d, "events")).select("event_id", "event_type", "user_id", F.floor(F.col("us") / 1_000_000).cast("long").alias("ts"), "value")
+def points(spark: SparkSession, d: str, q: T.TimeQuery | None = None) -> DataFrame:
+    """(event_type, user_id, ts in seconds, value), of the query's times."""
+    events = table(spark, d, "events")
+    return micros(events.where(T.within(q)) if q else events).select("event_id", "event_type", "user_id", F.floor(F.col("us") / 1_000_000).cast("long").alias("ts"), "value")
 
 
 def _scan(spark: SparkSession, d: str, *parts: str, keep: tuple[str, ...] = ("event_type", "ts", "value")) -> DataFrame:
-    status, rows = T.scan(points(spark, d).select(*keep), None, T.parse(list(parts)))
+    q = T.parse(list(parts))
+    status, rows = T.scan(points(spark, d, q).select(*keep), None, q)
     if status != T.OK:
         raise ValueError(status)
     return rows
@@ -29,7 +31,7 @@ def _scan(spark: SparkSession, d: str, *parts: str, keep: tuple[str, ...] = ("ev
 @query(f"SELECT event_type, {S} AS ts, value FROM events WHERE {S} = 1704067432 AND event_type IN ('view', 'error', 'click') OR {S} = 1704067432 AND event_type = 'none'")
 def ts_point(spark: SparkSession, d: str) -> DataFrame:
     q = T.parse(["YCSBTS=1704067432", "event_type=view", "event_type=error", "event_type=click"])
-    return T.read(points(spark, d).select("event_type", "ts", "value"), None, q)[1]
+    return T.read(points(spark, d, q).select("event_type", "ts", "value"), None, q)[1]
 
 
 @query(f"SELECT event_type, {S} AS ts, value FROM events WHERE {S} BETWEEN {DAY10} AND {DAY20} AND event_type IN ('view', 'click')")

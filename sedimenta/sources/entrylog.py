@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import base64
+import fcntl
 import json
 import os
+import struct
 from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
@@ -13,35 +16,41 @@ SCHEMA = "seq long, key string, value string, type int"
 
 
 class EntryLog:
-    """Entries as lines of a file that all processes see. Appends take numbers in order; a reader sees whole lines only."""
+    """Entries as lines of a file that all processes see. Appends take numbers in order; a reader sees whole lines only.
+
+    An index beside the file has 8 bytes for each entry, where its line begins; so the tail is its length, and a range
+    is read from its first line on. Appends hold a lock on it.
+    """
 
     def __init__(self, path: str):
-        self.path = path
+        self.path, self.index = path, path + ".idx"
 
     def append(self, entries: list[tuple[str, str | None, int]]) -> int:
         """Append (key, value, type) entries; returns the new tail."""
-        lines = "".join(json.dumps([base64.b64encode(k.encode()).decode(), v, t]) + "\n" for k, v, t in entries)
-        fd = os.open(self.path, os.O_WRONLY | os.O_APPEND | os.O_CREAT)
-        try:
-            os.write(fd, lines.encode())
-        finally:
-            os.close(fd)
-        return self.tail()
+        lines = [(json.dumps([base64.b64encode(k.encode()).decode(), v, t]) + "\n").encode() for k, v, t in entries]
+        with open(self.index, "ab") as index, open(self.path, "ab") as data:
+            fcntl.flock(index, fcntl.LOCK_EX)
+            at = os.fstat(data.fileno()).st_size
+            data.write(b"".join(lines))
+            data.flush()
+            index.write(b"".join(struct.pack("<q", at + n) for n in accumulate(map(len, lines[:-1]), initial=0)) if lines else b"")
+            index.flush()
+            return os.fstat(index.fileno()).st_size // 8
 
     def tail(self) -> int:
         """The number of the next entry."""
-        return sum(1 for _ in self.read(0, None))
+        return os.path.getsize(self.index) // 8 if os.path.exists(self.index) else 0
 
     def read(self, start: int, end: int | None) -> Iterator[tuple[int, str, str | None, int]]:
-        if not os.path.exists(self.path):
+        end = min(self.tail(), self.tail() if end is None else end)
+        if start >= end:
             return
-        with open(self.path) as f:
-            for i, line in enumerate(f):
-                if end is not None and i >= end or not line.endswith("\n"):
-                    return
-                if i >= start:
-                    k, v, t = json.loads(line)
-                    yield i, base64.b64decode(k).decode(), v, t
+        with open(self.index, "rb") as index, open(self.path, "rb") as data:
+            index.seek(8 * start)
+            data.seek(struct.unpack("<q", index.read(8))[0])
+            for i in range(start, end):
+                k, v, t = json.loads(data.readline())
+                yield i, base64.b64decode(k).decode(), v, t
 
 
 class _Range(InputPartition):

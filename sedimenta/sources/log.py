@@ -62,9 +62,12 @@ class RecordLog:
         return sorted(int(n.removeprefix("segment=")) for n in names if n.startswith("segment=") and exists(self.spark, f"{self.path}/{n}/_SUCCESS"))
 
     def tail(self) -> int:
-        """The next seq."""
-        last = self.records().agg(F.max("seq")).first()[0]
-        return 0 if last is None else last + 1
+        """The next seq. Seqs ascend over segments, so the newest one that has records says it."""
+        for n in reversed(self._segments()):
+            last = self.spark.read.schema(RECORD).parquet(f"{self.path}/segment={n}").agg(F.max("seq")).first()[0]
+            if last is not None:
+                return last + 1
+        return 0
 
     def append(self, rows: DataFrame, order: list[str] | None = None) -> int:
         """Append rows (key, value[, type]); their seqs follow `order` if given. Returns the segment's number."""

@@ -5,45 +5,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-STATUS = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}):(\d{3}) (\d+) sec: (\d+) operations; (\d+\.?\d*) current ops/sec;"
-EVENT = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}):(\d{3}) - (.*): "
-METRIC = r"^\[(.*?)\], (.*?), (.*)$"
-COMPACTION = r"^(\d+):Compacting (.*) into:(.*)$"
+#: The words around the numbers of status lines and the names of merge lines.
+SEC, OPERATIONS, RATE, COMPACTING, INTO = " sec: ", " operations; ", " current ops/sec;", ":Compacting ", " into:"
+STAMP = len("2024-01-31 23:59:59:999")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("file"))
 
 
+def _before(text: Column, mark: str) -> Column:
+    """What stands before a mark; null without one."""
+    at = F.instr(text, mark)
+    return F.when(at > 0, F.substring(text, F.lit(1), at - 1))
+
+
+def _after(text: Column, mark: str) -> Column:
+    at = F.instr(text, mark)
+    return F.when(at > 0, F.substring(text, at + F.length(F.lit(mark)), F.length(text)))
+
+
+def _stamp(text: Column) -> Column:
+    """The time that a line begins with, whose milliseconds follow a colon; null if it doesn't."""
+    text = F.substring(text, 1, STAMP)
+    return F.concat(F.substring(text, 1, STAMP - 4), F.lit("."), F.substring(text, STAMP - 2, 3)).try_cast("timestamp_ntz")
+
+
+def _typed(lines: DataFrame, line: str, parts: dict[str, Column]) -> DataFrame:
+    """The lines that have all parts, with them in place of the line."""
+    out = lines.select(*[c for c in lines.columns if c != line], *[v.alias(k) for k, v in parts.items()])
+    return out.dropna(subset=list(parts))
+
+
 def metrics(lines: DataFrame, line: str = "line") -> DataFrame:
     """(..., op, metric, value) of the lines `[OP], Metric, value` whose value is a number."""
-    rows = lines.where(F.col(line).rlike(METRIC))
-    part = lambda i: F.regexp_extract(line, METRIC, i)
-    out = rows.select(*[c for c in lines.columns if c != line], part(1).alias("op"), part(2).alias("metric"), F.expr(f"try_cast(regexp_extract({line}, '{METRIC.replace(chr(92), chr(92) * 2)}', 3) AS double)").alias("value"))
-    return out.where("value IS NOT NULL")
+    text = F.col(line)
+    rest = _after(text, "], ")
+    op = F.when(text.startswith("["), F.substring(_before(text, "], "), F.lit(2), F.length(text)))
+    return _typed(lines, line, {"op": op, "metric": _before(rest, ", "), "value": _after(rest, ", ").try_cast("double")})
 
 
 def statuses(lines: DataFrame, line: str = "line") -> DataFrame:
     """(..., at, sec, operations, ops_per_sec) of the periodic status lines."""
-    part = lambda i: F.regexp_extract(line, STATUS, i)
-    return lines.where(F.col(line).rlike(STATUS)).select(
-        *[c for c in lines.columns if c != line], F.to_timestamp_ntz(F.concat_ws(".", part(1), part(2)), F.lit("yyyy-MM-dd HH:mm:ss.SSS")).alias("at"),
-        part(3).cast("long").alias("sec"), part(4).cast("long").alias("operations"), part(5).cast("double").alias("ops_per_sec"),
-    )
+    text = F.col(line)
+    rest = _after(text, SEC)
+    sec = F.substring(_before(text, SEC), F.lit(STAMP + 2), F.length(text))
+    return _typed(lines, line, {
+        "at": _stamp(text), "sec": sec.try_cast("long"), "operations": _before(rest, OPERATIONS).try_cast("long"),
+        "ops_per_sec": _before(_after(rest, OPERATIONS), RATE).try_cast("double"),
+    })
 
 
 def events(lines: DataFrame, line: str = "line") -> DataFrame:
     """(..., at, event) of lines `time - Event started: ...`."""
-    part = lambda i: F.regexp_extract(line, EVENT, i)
-    return lines.where(F.col(line).rlike(EVENT)).select(
-        *[c for c in lines.columns if c != line], F.to_timestamp_ntz(F.concat_ws(".", part(1), part(2)), F.lit("yyyy-MM-dd HH:mm:ss.SSS")).alias("at"), part(3).alias("event")
-    )
+    said = _after(F.col(line), " - ")
+    return _typed(lines, line, {"at": _stamp(F.col(line)), "event": _before(said, ": ")})
 
 
 def compactions(lines: DataFrame, line: str = "line") -> DataFrame:
     """(..., worker, inputs, output) of lines `worker:Compacting a b into:c`."""
-    part = lambda i: F.regexp_extract(line, COMPACTION, i)
-    return lines.where(F.col(line).rlike(COMPACTION)).select(*[c for c in lines.columns if c != line], part(1).alias("worker"), F.split(part(2), " ").alias("inputs"), part(3).alias("output"))
+    text = F.col(line)
+    worker, rest = _before(text, COMPACTING), _after(text, COMPACTING)
+    return _typed(lines, line, {"worker": F.when(worker.try_cast("long").isNotNull(), worker), "inputs": F.split(_before(rest, INTO), " "), "output": _after(rest, INTO)})
 
 
 def run_of(file: Column) -> dict[str, Column]:
