@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,11 @@ def may_hold(probes: DataFrame, probe: str, keys: DataFrame, key: str, per_key:
     return probes.join(hit, probe, "left")
 
 
+def slot_of(offset: Column, lg_base: int = 11) -> Column:
+    """filter_slot() of a column of offsets."""
+    return F.shiftright(offset.cast("long"), lg_base)
+
+
 def filter_slot(offset: int, lg_base: int = 11) -> int:
     """The filter that covers a block's offset, of a run with a filter for each 2**lg_base bytes."""
     return offset >> lg_base

@@ -72,7 +72,7 @@ def scan_batch(starts: DataFrame, start: str, length: str, rows: DataFrame, key:
     return wanted.join(placed, "col").withColumn("place", (F.col("pos") + 1).cast("long")).drop("col", "pos")
 
 
-def range_lookup(probes: DataFrame, probe: str, ranges: DataFrame, low: str, high: str, cells: int = 256) -> DataFrame:
+def range_lookup(probes: DataFrame, probe: str, ranges: DataFrame, low: str, high: str, cells: int = 64) -> DataFrame:
     """Pairs of a probe and a range that holds it, both ends included.
 
     Probes are cut into quantile cells; ranges are repeated for each cell that they touch, `cells` times at most

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import generators as G
-from ..functions.scalar import key_name, printable, series_check
+from ..functions.scalar import field_value, key_name, printable, series_check
 from ..model import NOT_FOUND, OK
 
 #: The share of each operation, and the request distribution, of the standard workloads.
@@ -103,6 +103,22 @@ def verified(points: DataFrame) -> DataFrame:
     return points.withColumn("status", F.when(series_check(F.col("tags"), F.col("ts")) == F.col("value"), OK).otherwise("UNEXPECTED_STATE"))
 
 
+def verify_rows(rows: DataFrame, size: int) -> DataFrame:
+    """(key, status) of rows(key, fields) read back: OK if every field holds what was generated for it, UNEXPECTED_STATE if one doesn't, ERROR for a row without fields."""
+    each = rows.select("key", F.explode_outer("fields").alias("field", "value"))
+    good = (field_value(F.coalesce("key", F.lit("")), F.coalesce("field", F.lit("")), F.lit(size)) == F.col("value")).alias("good")
+    sums = each.select("key", "field", good).groupBy("key").agg(F.count("field").alias("n"), F.min(F.coalesce("good", F.lit(False))).alias("good"))
+    return sums.select("key", F.when(F.col("n") == 0, "ERROR").when(F.col("good"), OK).otherwise("UNEXPECTED_STATE").alias("status"))
+
+
+def retried(inserts: DataFrame, fails: Callable[[int], Column], limit: int) -> DataFrame:
+    """inserts with attempts and status: one that fails (fails(i) for its i-th attempt) is tried again, `limit` times at most."""
+    attempts, status = F.lit(limit + 1), F.lit("ERROR")
+    for i in reversed(range(limit + 1)):
+        attempts, status = F.when(~fails(i), i + 1).otherwise(attempts), F.when(~fails(i), OK).otherwise(status)
+    return inserts.select("*", attempts.alias("attempts"), status.alias("status"))
+
+
 def occupancy_records(disk_bytes: int, occupancy: float, fields: int = 10, field_length: int = 100, memory_ratio: int = 1) -> int:
     """How many records fill a share of a disk."""
     return int(disk_bytes * occupancy / (fields * field_length * memory_ratio))

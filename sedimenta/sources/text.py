@@ -14,15 +14,9 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("file"))
 
 
-def _before(text: Column, mark: str) -> Column:
-    """What stands before a mark; null without one."""
-    at = F.instr(text, mark)
-    return F.when(at > 0, F.substring(text, F.lit(1), at - 1))
-
-
-def _after(text: Column, mark: str) -> Column:
-    at = F.instr(text, mark)
-    return F.when(at > 0, F.substring(text, at + F.length(F.lit(mark)), F.length(text)))
+def _parts(text: Column, *marks: str) -> Column:
+    """What stands between the marks of a line, which is cut once."""
+    return F.split(text, "|".join(marks))
 
 
 def _stamp(text: Column) -> Column:
@@ -31,42 +25,40 @@ def _stamp(text: Column) -> Column:
     return F.concat(F.substring(text, 1, STAMP - 4), F.lit("."), F.substring(text, STAMP - 2, 3)).try_cast("timestamp_ntz")
 
 
-def _typed(lines: DataFrame, line: str, parts: dict[str, Column]) -> DataFrame:
-    """The lines that have all parts, with them in place of the line."""
-    out = lines.select(*[c for c in lines.columns if c != line], *[v.alias(k) for k, v in parts.items()])
+def _typed(lines: DataFrame, line: str, cut: Column, least: int, parts: dict[str, Column]) -> DataFrame:
+    """The lines that are cut into `least` parts or more, and have those that are named, in place of the line."""
+    out = lines.withColumn("_p", cut).where(F.size("_p") >= least)
+    out = out.select(*[c for c in lines.columns if c != line], *[v.alias(k) for k, v in parts.items()])
     return out.dropna(subset=list(parts))
 
 
 def metrics(lines: DataFrame, line: str = "line") -> DataFrame:
     """(..., op, metric, value) of the lines `[OP], Metric, value` whose value is a number."""
-    text = F.col(line)
-    rest = _after(text, "], ")
-    op = F.when(text.startswith("["), F.substring(_before(text, "], "), F.lit(2), F.length(text)))
-    return _typed(lines, line, {"op": op, "metric": _before(rest, ", "), "value": _after(rest, ", ").try_cast("double")})
+    p = F.col("_p")
+    op = F.when(p[0].startswith("[") & p[0].endswith("]"), F.substring(p[0], F.lit(2), F.length(p[0]) - 2))
+    return _typed(lines, line, F.split(F.col(line), ", ", 3), 3, {"op": op, "metric": p[1], "value": p[2].try_cast("double")})
 
 
 def statuses(lines: DataFrame, line: str = "line") -> DataFrame:
     """(..., at, sec, operations, ops_per_sec) of the periodic status lines."""
-    text = F.col(line)
-    rest = _after(text, SEC)
-    sec = F.substring(_before(text, SEC), F.lit(STAMP + 2), F.length(text))
-    return _typed(lines, line, {
-        "at": _stamp(text), "sec": sec.try_cast("long"), "operations": _before(rest, OPERATIONS).try_cast("long"),
-        "ops_per_sec": _before(_after(rest, OPERATIONS), RATE).try_cast("double"),
+    p = F.col("_p")
+    sec = F.substring(p[0], F.lit(STAMP + 2), F.length(p[0]))
+    return _typed(lines, line, _parts(F.col(line), SEC, OPERATIONS, RATE), 4, {
+        "at": _stamp(p[0]), "sec": sec.try_cast("long"), "operations": p[1].try_cast("long"), "ops_per_sec": p[2].try_cast("double"),
     })
 
 
 def events(lines: DataFrame, line: str = "line") -> DataFrame:
     """(..., at, event) of lines `time - Event started: ...`."""
-    said = _after(F.col(line), " - ")
-    return _typed(lines, line, {"at": _stamp(F.col(line)), "event": _before(said, ": ")})
+    p = F.col("_p")
+    return _typed(lines, line, _parts(F.col(line), " - ", ": "), 3, {"at": _stamp(p[0]), "event": F.when(F.length(p[0]) == STAMP, p[1])})
 
 
 def compactions(lines: DataFrame, line: str = "line") -> DataFrame:
     """(..., worker, inputs, output) of lines `worker:Compacting a b into:c`."""
-    text = F.col(line)
-    worker, rest = _before(text, COMPACTING), _after(text, COMPACTING)
-    return _typed(lines, line, {"worker": F.when(worker.try_cast("long").isNotNull(), worker), "inputs": F.split(_before(rest, INTO), " "), "output": _after(rest, INTO)})
+    p = F.col("_p")
+    worker = F.when(p[0].try_cast("long").isNotNull(), p[0])
+    return _typed(lines, line, _parts(F.col(line), COMPACTING, INTO), 3, {"worker": worker, "inputs": F.split(p[1], " "), "output": p[2]})
 
 
 def run_of(file: Column) -> dict[str, Column]:

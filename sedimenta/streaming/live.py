@@ -74,7 +74,7 @@ def run_once(df: DataFrame, folder: str, mode: str) -> DataFrame:
 
     q = df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out").select(*df.columns)
 
 
 def persist(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, every: str = "100 milliseconds"):

@@ -19,11 +19,18 @@ def test_runs(spark, name):
 
 def test_point_reads_reach_the_scan(spark):
     plan = catalog.QUERIES["kv_point_get"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(user_id,8)" in plan
+    assert "EqualTo(user_id,7)" in plan
     plan = catalog.QUERIES["scan_range_limit"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_orderkey,100)" in plan and "TakeOrderedAndProject" in plan
 
 
+def test_times_and_segments_reach_the_scan(spark):
+    plan = lambda name: catalog.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(event_id,192)" in plan("log_segment_read") and "LessThanOrEqual(event_id,255)" in plan("log_segment_read")
+    for name in ("ts_range", "ts_point"):
+        assert "GreaterThanOrEqual(ts,2024" in plan(name) and "LessThan(ts,2024" in plan(name)
+
+
 def test_reads_in_batch_have_one_exchange_of_the_log(spark):
     plan = catalog.QUERIES["kv_latest"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz" in plan
