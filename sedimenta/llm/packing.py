@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, n_words, written
+from .common import groups, n_words, words, written
 
 SCHEMA = "row_id long, doc_id long, piece long, n_pieces long, start long, size long, bin_id long, bin_capacity long, bin_fill long, bin_offset long"
 #: A bin of capacity c costs OVERHEAD + c + c * c / SPAN: a fixed part, one for each word, and attention's, which grows with the square.
@@ -115,3 +115,21 @@ def best_fit(
 
     dealt = items.repartition("shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(run, SCHEMA)
+
+
+def sequences(docs: DataFrame, separator: str = " ", **options) -> DataFrame:
+    """(bin_id, bin_capacity, bin_fill, row_ids, text): the packed sequences themselves, from docs(doc_id, text).
+
+    A sequence is its pieces' words in order of offset; row_ids has a number for the row of each piece, the same for pieces of one row. A
+    piece has at most the largest capacity of words, so a bin's pieces meet in one task whatever the sizes of documents are.
+    Documents without words are in no sequence. An empty table gives no rows.
+    """
+    numbered = docs.select(F.monotonically_increasing_id().alias("doc_id"), words(F.col("text")).alias("words"))
+    numbered = written(numbered.withColumn("size", F.size("words").cast("long")))
+    places = best_fit(numbered, size="size", **options).where("bin_id IS NOT NULL")
+    pieces = places.select(F.col("doc_id").alias("_row"), "start", "size", "bin_id", "bin_capacity", "bin_fill", "bin_offset")
+    rows = numbered.select(F.col("doc_id").alias("_row"), "words").join(pieces, "_row")
+    part = F.array_join(F.slice("words", (F.col("start") + 1).cast("int"), F.col("size").cast("int")), separator)
+    held = rows.select("bin_id", "bin_capacity", "bin_fill", F.struct("bin_offset", "_row", part.alias("text")).alias("p"))
+    bins = held.groupBy("bin_id", "bin_capacity", "bin_fill").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    return bins.select("bin_id", "bin_capacity", "bin_fill", F.col("p._row").alias("row_ids"), F.array_join(F.col("p.text"), separator).alias("text"))

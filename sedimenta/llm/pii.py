@@ -269,10 +269,10 @@ def discovered(edges: DataFrame, docs: DataFrame, rounds: int, support: int, pur
 def find(
     docs: DataFrame, rounds: int = 60, support: int = 5, purity: float = 0.8, accept: float = 0.7, whole_rows: bool = False
 ) -> DataFrame:
-    """For each row of docs(doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans; with whole_rows also the row.
+    """For each row of docs(doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans; with whole_rows also the row.
 
     The counts and base_sha256 are of what fixed expressions find: e-mail addresses, IPv4 addresses, card numbers that
-    pass Luhn and international phone numbers, leftmost and not overlapping for each kind. spans adds what bootstrapping
+    pass Luhn and international phone numbers, leftmost and not overlapping for each kind. spans, and their number n_spans, add what bootstrapping
     finds: these entities are seeds; the words around them are patterns; discovered() scores the graph of patterns and
     instances in rounds; tokens that look like identifiers of a kind but miss its expression (a phone number without a
     country code, an address at a host without a dot) are added, wherever they stand, once patterns vouch for them.
@@ -300,7 +300,7 @@ def find(
         out = out.withColumn("_more", F.array().cast("array<struct<start:int,kind:int,end:int>>"))
     spans = F.sort_array(F.concat("_base", F.coalesce("_more", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
     text = F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s.kind), s.start.cast("string"), s.end.cast("string"))), ",")
-    return out.select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", text.alias("spans"), *(["row"] if whole_rows else []))
+    return out.select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", text.alias("spans"), F.size(spans).cast("long").alias("n_spans"), *(["row"] if whole_rows else []))
 
 
 def redacted(text: str, spans: str) -> str:

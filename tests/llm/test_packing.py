@@ -1,4 +1,5 @@
 import random
+import re
 
 from hypothesis import given
 from hypothesis import strategies as st
@@ -130,3 +131,12 @@ def test_whole_documents_lie_in_bins(spark):
 def test_sizes_from_a_column(spark):
     rows = packing.best_fit(table(spark, [(1, "a", "s", "en", 5000), (2, None, "s", "en", None)]), size="n_chars").collect()
     assert sorted((r.doc_id, r.size) for r in rows) == [(1, 904), (1, 4096), (2, 0)]
+
+
+def test_sequences_hold_every_word_once(spark):
+    docs = odd_documents(spark)
+    got = packing.sequences(docs, capacities=(64, 256, 1024)).collect()
+    assert all(len(r.text.split(" ")) == r.bin_fill <= r.bin_capacity for r in got)
+    want = sorted(w for r in docs.collect() for w in re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+    assert sorted(w for r in got for w in r.text.split(" ")) == want
+    assert packing.sequences(docs.limit(0)).count() == 0

@@ -59,6 +59,7 @@ def test_patterns_find_what_expressions_miss(spark):
     rows.append((903, f"order number 1234567890 {word()}", "s", "en", 0))
     got = {x.doc_id: x for x in pii.find(table(spark, rows)).collect()}
     start = rows[-4][1].index("555")
+    assert got[900].n_spans == 1 and got[903].n_spans == 0
     assert got[900].spans == f"phone:{start}:{start + 12}" and got[900].n_phone == 0
     assert got[901].spans.startswith("email:") and got[902].spans == "phone:10:22" and got[903].spans == ""
     assert all(got[k].n_phone == 1 and got[k].spans.startswith("phone:") for k in range(0, 80, 2))
@@ -74,7 +75,7 @@ def test_words_that_stand_before_anything_vouch_for_nothing(spark):
 def test_odd_rows_and_redaction(spark):
     docs = odd_documents(spark)
     got = pii.find(docs)
-    assert got.columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"] and got.count() == docs.count()
+    assert got.columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"] and got.count() == docs.count()
     assert pii.find(docs.limit(0)).count() == 0
     clean = pii.without(docs.limit(0))
     assert clean.columns == docs.columns and clean.count() == 0

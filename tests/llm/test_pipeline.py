@@ -1,6 +1,6 @@
 import pytest
 
-from .helpers import FOLDER
+from .helpers import FOLDER, odd_documents
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -42,3 +42,18 @@ def test_an_empty_table_passes_all_stages(spark, tmp_path):
     spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{FOLDER}/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows_pass_all_stages(spark, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows and columns with the names of results."""
+    docs = odd_documents(spark)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (6, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, now, str(tmp_path)).write.parquet(str(tmp_path / f"out{i}"))
+        now = spark.read.parquet(str(tmp_path / f"out{i}"))
+        if i < 4:
+            assert now.columns == docs.columns
+    sizes = {r.doc_id: r.n for r in now.groupBy("doc_id").agg({"size": "sum"}).withColumnRenamed("sum(size)", "n").collect()}
+    assert sizes.get(6, 0) % 30_000 == 0 and now.count() > 0
