@@ -24,7 +24,7 @@ ROW_BITS = 16
 #: Texts and bytes that one task compares with each other at a time.
 MEMBERS, BYTES = 512, 8 << 20
 #: Rounds in which large buckets are dealt in blocks, before what is left apart is compared in full.
-TURNS = 3
+TURNS = 2
 
 
 def documents_shingles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -346,13 +346,12 @@ def _across(table: Broadcast, threshold: float):
     return run
 
 
-def _rest(members: DataFrame, found: DataFrame, texts: DataFrame, sized: DataFrame, table: Broadcast, threshold: float) -> DataFrame | None:
-    """(a, b): the verified links of members(bucket, fp) between texts that `found` leaves apart, or None if it leaves none.
+def _rest(members: DataFrame, roots: DataFrame, texts: DataFrame, sized: DataFrame, table: Broadcast, threshold: float) -> DataFrame | None:
+    """(a, b): the verified links of members(bucket, fp) between texts of different roots(fp, root), or None if there can't be any.
 
     Every pair of texts of a bucket that aren't connected meets: blocks of MEMBERS / 2 texts or BYTES / 2 meet in pairs, each in
     a group of its own. A component that fills a block has blocks of its own, and these don't meet each other.
     """
-    roots = written(components(found).withColumnRenamed("id", "fp"))
     each = written(members.join(roots, "fp", "left").select("bucket", "fp", F.coalesce("root", "fp").alias("root")).join(sized, "fp"))
     split = written(each.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket"))
     if split.isEmpty():
@@ -379,7 +378,7 @@ def _rest(members: DataFrame, found: DataFrame, texts: DataFrame, sized: DataFra
 
 
 def links(members: DataFrame, texts: DataFrame, table: Broadcast, threshold: float) -> DataFrame:
-    """(a, b): pairs of texts whose components are those of the verified links among what members(bucket, fp) puts together.
+    """(fp, root): for each text that has one the least fp that verified links among what members(bucket, fp) puts together connect it with.
 
     Texts that hang together by shared buckets are candidates. A candidate component of at most MEMBERS texts and BYTES
     goes to one task, each text once, which compares every pair that shares a bucket unless it is connected already.
@@ -417,9 +416,17 @@ def links(members: DataFrame, texts: DataFrame, table: Broadcast, threshold: flo
         if turn and new.isEmpty():
             break
         now = written(out.where("a = b").join(several, "bucket").select("bucket", F.col("a").alias("fp")))
-    found = written(reduce(DataFrame.union, parts))
-    more = _rest(apart, found, texts, sized, table, threshold) if apart is not None and not apart.isEmpty() else None
-    return found if more is None else found.union(more)
+    roots = written(components(reduce(DataFrame.union, parts)).withColumnRenamed("id", "fp"))
+    more = _rest(apart, roots, texts, sized, table, threshold) if apart is not None and not apart.isEmpty() else None
+    if more is None or more.isEmpty():
+        return roots
+    # What is left to unite are the components found, so roots stand for their texts.
+    of = lambda c: roots.select(F.col("fp").alias(c), F.col("root").alias(f"root_{c}"))
+    lifted = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    top = written(components(lifted))
+    single = top.select(F.col("id").alias("fp"), F.col("id").alias("root")).join(roots.select("fp"), "fp", "left_anti")
+    every = roots.select("fp", F.col("root").alias("id")).union(single.select("fp", F.col("root").alias("id")))
+    return written(every.join(top, "id", "left").select("fp", F.coalesce("root", "id").alias("root")))
 
 
 def _classes(docs: DataFrame, threshold: float, n_bands: int, n_rows: int, strength: float, whole_rows: bool) -> tuple[DataFrame, DataFrame]:
@@ -437,8 +444,7 @@ def _classes(docs: DataFrame, threshold: float, n_bands: int, n_rows: int, stren
         wanted = members.select("fp").distinct().join(nodes.select("fp", "doc_id"), "fp").select("fp", F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"))
         texts = rows.select("fp", F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), "text").join(wanted, ["_id", "fp"], "left_semi")
         texts = written(texts.select("fp", "text").dropDuplicates(["fp"]))
-        near = links(members, texts, table, threshold)
-        roots = components(near).withColumnRenamed("id", "fp")
+        roots = links(members, texts, table, threshold)
         placed = written(nodes.select("fp", "doc_id", "n").join(roots, "fp", "left").select("fp", "doc_id", "n", F.coalesce("root", "fp").alias("root")))
         kept += [signed, placed]
     classes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").cast("long").alias("class_size"))

@@ -136,8 +136,7 @@ def planted(spark, rows, monkeypatch, **limits):
     texts = nd.written(spark.createDataFrame([(fp, " ".join(w)) for fp, _, w in rows], "fp binary, text string"))
     members = nd.written(spark.createDataFrame([(b, fp) for fp, b, _ in rows], "bucket long, fp binary"))
     none = nd.Idf(0, 2, 0.1, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1 << nd.CELL_BITS, bool))
-    found = nd.links(members, texts, spark.sparkContext.broadcast(none), 0.8)
-    roots = {bytes(r.id): bytes(r.root) for r in nd.components(found).collect()}
+    roots = {bytes(r.fp): bytes(r.root) for r in nd.links(members, texts, spark.sparkContext.broadcast(none), 0.8).collect()}
     return {fp: roots.get(fp, fp) for fp, _, _ in rows}
 
 
