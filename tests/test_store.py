@@ -51,3 +51,25 @@ def test_config_from_json():
     assert (c.level_size, c.file_size, c.log_files) == ([6144, 12288], [1024, 2048], 3)
     with pytest.raises(ValueError):
         Config.read('{"max_level": 1}')
+
+
+def test_levels_below_the_listed_ones_grow_and_only_the_last_is_split(spark, tmp_path):
+    c = Config(max_level=4, level_size=[1, 1], file_size=[1, 1], log_files=1)
+    assert [c.of(c.level_size, i) for i in (1, 2, 3, 4)] == [1, 1, 4, 16]
+    store, want = Store(spark, str(tmp_path / "s"), c), {}
+    for i in range(4):
+        store.put(frame(spark, [(f"k{j}", f"v{i}") for j in range(i, 40)]))
+        want |= {f"k{j}": f"v{i}" for j in range(i, 40)}
+    outputs = []
+    for _ in range(6):
+        before = {r["path"] for r in store.manifest()["runs"]}
+        if not store.compact():
+            break
+        outputs.append([r["level"] for r in store.manifest()["runs"] if r["path"] not in before])
+    assert outputs and all(len(new) == 1 for new in outputs if new[0] < 4)
+    assert {r.key: r.value for r in store.state().collect()} == want
+    n = len(store.manifest()["compacted"])
+    assert store.vacuum() == n and store.manifest()["compacted"] == []
+    assert {r.key: r.value for r in store.state().collect()} == want
+    store.put(frame(spark, [("k0", "last")]))
+    assert store.get("k0") == "last"
