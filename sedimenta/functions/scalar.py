@@ -262,3 +262,15 @@ def successor(key: pd.Series) -> pd.Series:
         return b if i is None else b[:i] + bytes([b[i] + 1])
 
     return pd.Series([one(b) for b in key])
+
+
+def duration(seconds: Column) -> Column:
+    """Seconds in words: days and hours, or hours and minutes below a day, or seconds below a minute; a space ends it.
+
+    The unit of seconds is singular for numbers of one digit, whatever the digit.
+    """
+    days, hours, minutes = F.floor(seconds / 86400), F.floor(seconds % 86400 / 3600), F.floor(seconds % 3600 / 60)
+    part = lambda n, unit: F.when(n == 1, f"1 {unit} ").when(n > 0, F.concat(n.cast("string"), F.lit(f" {unit}s "))).otherwise("")
+    long = F.concat(part(days, "day"), part(hours, "hour"), F.when(days < 1, part(minutes, "minute")).otherwise(""))
+    short = F.concat(seconds.cast("string"), F.when(F.length(seconds.cast("string")) == 1, " second ").otherwise(" seconds "))
+    return F.when(long == "", short).otherwise(long)

@@ -272,3 +272,32 @@ def jdbc_shards(spark: SparkSession, d: str) -> DataFrame:
     parts = [jdbc.load(spark, [u], "usertable", {"driver": properties["driver"]}).withColumn("shard", F.lit(i)) for i, u in enumerate(urls)]
     out = parts[0].unionByName(parts[1])
     return out.select(F.col("YCSB_KEY").cast("long").alias("YCSB_KEY"), "FIELD0", "FIELD1", "shard")
+
+
+@query("""SELECT event_id, CASE WHEN w = '' THEN s || CASE WHEN length(s::VARCHAR) = 1 THEN ' second ' ELSE ' seconds ' END ELSE w END AS duration FROM (SELECT event_id, s,
+  CASE WHEN s >= 172800 THEN s // 86400 || ' days ' WHEN s >= 86400 THEN '1 day ' ELSE '' END || CASE WHEN s % 86400 >= 7200 THEN s % 86400 // 3600 || ' hours ' WHEN s % 86400 >= 3600 THEN '1 hour ' ELSE '' END
+  || CASE WHEN s >= 86400 OR s % 3600 < 60 THEN '' WHEN s % 3600 < 120 THEN '1 minute ' ELSE s % 3600 // 60 || ' minutes ' END AS w FROM (SELECT event_id, event_id * 37 % 400000 AS s FROM events))""")
+def durations(spark: SparkSession, d: str) -> DataFrame:
+    """Seconds up to four days and more in words."""
+    return table(spark, d, "events").select("event_id", Z.duration(F.col("event_id") * 37 % 400000).alias("duration"))
+
+
+_TRACES = {"READ": ("customer", "c_custkey", "c_name", 0.99), "INSERT": ("supplier", "s_suppkey", "s_name", 0.9), "DELETE": ("nation", "n_nationkey", "n_name", 0.99), "UPDATE": ("part", "p_partkey", "p_name", 0.8)}
+_A = lambda i: f"(CAST('0x' || substr(md5('1:{i}:' || op_id), 1, 13) AS BIGINT) / 4503599627370496.0)"
+
+
+@query(f"""WITH t AS ({" UNION ALL ".join(f"SELECT '{k}' AS op, {theta} AS theta, row_number() OVER (ORDER BY {i}) - 1 AS place, '/{t}/' || {i} || '/' || {name} AS address FROM {t}" for k, (t, i, name, theta) in _TRACES.items())}),
+z AS (SELECT op, theta, count(*)::DOUBLE AS n, sum(1 / pow(place + 1, theta)) AS z FROM t GROUP BY ALL),
+e AS (SELECT *, (1 - pow(2 / n, 1 - theta)) / (1 - (1 + pow(0.5, theta)) / z) AS eta FROM z),
+o AS (SELECT range AS op_id, {_A(1)} AS u, {_A(3)} AS v, CASE WHEN {_A(0)} < 0.5 THEN 'READ' WHEN {_A(0)} < 0.7 THEN 'UPDATE' WHEN {_A(0)} < 0.9 THEN 'INSERT' ELSE 'DELETE' END AS op FROM (SELECT range, range AS op_id FROM range(3000))),
+p AS (SELECT op_id, op, CASE WHEN op IN ('INSERT', 'UPDATE') THEN CAST(1 + floor(v * 100) AS BIGINT) END AS length, CAST(CASE WHEN u * z < 1 THEN 0 WHEN u * z < 1 + pow(0.5, theta) THEN 1 ELSE floor(n * pow(eta * u - eta + 1, 1 / (1 - theta))) END AS BIGINT) AS place FROM o JOIN e USING (op))
+SELECT op_id, op, address, length FROM p LEFT JOIN t USING (op, place)""")
+def workload_trace(spark: SparkSession, d: str) -> DataFrame:
+    """Operations on the addresses of four trace files, each with its own skew."""
+    folder = _folder(spark)
+    for op, (name, number, title, _) in _TRACES.items():
+        line = F.concat_ws("/", F.lit(f" /{name}"), F.col(number).cast("string"), title)
+        table(spark, d, name).orderBy(number).select(line).write.text(f"{folder}/{op}")
+    mix = {"READ": 5.0, "UPDATE": 2.0, "INSERT": 2.0, "DELETE": 1.0}
+    w = W.Trace({op: f"{folder}/{op}" for op in _TRACES}, 3000, mix, theta={op: t[3] for op, t in _TRACES.items()}, lengths="uniform")
+    return W.traced(spark, w)

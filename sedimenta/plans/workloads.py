@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import generators as G
 from ..functions.scalar import field_value, key_name, printable, series_check
 from ..model import NOT_FOUND, OK
+from ..sources.text import numbered_lines
 
 #: The share of each operation, and the request distribution, of the standard workloads.
 MIXES = {
@@ -131,3 +133,51 @@ def templated(text: str, records: int, operations_: int) -> str:
         name = line.split("=", 1)[0].strip()
         out.append({"recordcount": f"recordcount={records}", "operationcount": f"operationcount={operations_}"}.get(name, line))
     return "\n".join(out)
+
+
+@dataclass
+class Trace:
+    """Operations on addresses that trace files list: `traces` has a file or folder for each kind of operation.
+
+    Each kind has its own number of addresses (at most `limits`) and its own zipfian constant. What isn't an insert,
+    update or delete is a read. Inserts and updates bring `length` bytes, of the distribution `lengths`.
+    """
+
+    traces: dict[str, str]
+    operations: int
+    mix: dict[str, float]
+    distribution: str = "zipfian"
+    theta: dict[str, float] = field(default_factory=dict)
+    limits: dict[str, int] = field(default_factory=dict)
+    lengths: str = "constant"
+    length: int = 100
+    length_theta: float = 0.99
+    counts: Sequence[int] = ()
+
+
+def _address(kind: str, n: int, u: Column, v: Column, w: Trace) -> Column:
+    """The place in a trace of n addresses; beyond its end for the tail of the exponential distribution."""
+    try:
+        return {
+            "uniform": lambda: G.uniform(u, 0, n - 1),
+            "zipfian": lambda: G.zipfian(u, n, w.theta.get(kind, G.THETA)),
+            "hotspot": lambda: G.hotspot(u, v, 0, n - 1, 0.2, 0.8),
+            "exponential": lambda: G.exponential(u, 95, n * 0.8571428571),
+        }[w.distribution]().cast("long")
+    except KeyError:
+        raise ValueError(f"not a distribution of addresses: {w.distribution}") from None
+
+
+def traced(spark: SparkSession, w: Trace, seed: int = 1) -> DataFrame:
+    """(op_id, op, address, length): address is null where the trace has no such place, length for reads and deletes."""
+    u = lambda i: G.unit(F.concat_ws(":", F.lit(seed), F.lit(i), "op_id"))
+    kinds = ["READ", "INSERT", "DELETE", "UPDATE"]
+    lines = reduce(DataFrame.unionByName, [numbered_lines(spark, w.traces[k], w.limits.get(k)).withColumn("op", F.lit(k)) for k in kinds if k in w.traces])
+    sizes = {r.op: r.n for r in lines.groupBy("op").agg(F.count("*").alias("n")).collect()}
+    drawn = G.discrete(u(0), list(w.mix.items()))
+    op = F.when(drawn.isin(kinds[1:]), drawn).otherwise("READ")
+    ops = spark.range(w.operations).withColumnRenamed("id", "op_id").withColumn("op", op)
+    place = F.coalesce(*[F.when(F.col("op") == k, _address(k, n, u(1), u(2), w)) for k, n in sorted(sizes.items())]) if sizes else F.lit(None).cast("long")
+    size = G.zipfian(u(3), w.length, w.length_theta, base=1) if w.lengths == "zipfian" else G.field_length(w.lengths, u(3), w.length, 1, w.counts)
+    ops = ops.withColumn("place", place).withColumn("length", F.when(F.col("op").isin("INSERT", "UPDATE"), size.cast("long")))
+    return ops.join(lines, ["op", "place"], "left").select("op_id", "op", F.col("line").alias("address"), "length")

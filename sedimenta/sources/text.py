@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The words around the numbers of status lines and the names of merge lines.
@@ -90,3 +90,17 @@ def read_histogram(spark: SparkSession, path: str) -> tuple[int, list[int]]:
     block = next((int(r[1]) for r in rows if r[0] == "BlockSize"), 1)
     places = {int(r[0]): int(r[1]) for r in rows if r[0] != "BlockSize"}
     return block, [places.get(i, 0) for i in range(max(places, default=-1) + 1)]
+
+
+def numbered_lines(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """(place, line): the trimmed lines of a file, or of a folder's files by name, counted from 0; the first `limit` of them.
+
+    Lines are numbered within the blocks that tasks read, and only the blocks' counts meet in one window.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("file", "block", F.coalesce(before, F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("file", "block").orderBy("id")) - 1
+    rows = lines.withColumn("within", within).join(blocks, ["file", "block"]).select((F.col("before") + F.col("within")).alias("place"), F.regexp_replace("value", r"^[\x00-\x20]+|[\x00-\x20]+$", "").alias("line"))
+    return rows if limit is None else rows.where(F.col("place") < limit)

@@ -1,7 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 from sedimenta.operators.bloom import filter_slot, may_hold
 from sedimenta.plans import workloads as W
 from sedimenta.plans.rows import Rows, shell, wide
+from sedimenta.sources import text as T
 
 SCHEMA = "table string, key string, fields map<string,string>"
 
@@ -43,3 +45,27 @@ def test_a_filter_misses_no_member(spark):
 def test_settings():
     assert W.occupancy_records(10**9, 0.5) == 500_000
     assert W.templated("a=1\nrecordcount=5\noperationcount=6", 10, 20) == "a=1\nrecordcount=10\noperationcount=20"
+
+
+def test_lines_of_many_blocks_and_files_are_numbered_in_order(spark, tmp_path):
+    for name in ("b", "a"):
+        (tmp_path / name).write_text("".join(f" /{name}/{i}\t\n" for i in range(500)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        rows = T.numbered_lines(spark, f"file://{tmp_path}")
+        assert spark.read.text(f"file://{tmp_path}").select("_metadata.file_block_start").distinct().count() > 2
+        assert [tuple(r) for r in rows.orderBy("place").collect()] == [(i, f"/{'ab'[i // 500]}/{i % 500}") for i in range(1000)]
+        assert [r.line for r in T.numbered_lines(spark, f"file://{tmp_path}", 2).orderBy("place").collect()] == ["/a/0", "/a/1"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_operations_beyond_a_trace_have_no_address(spark, tmp_path):
+    (tmp_path / "reads").write_text("/x\n/y\n")
+    w = W.Trace({"READ": f"file://{tmp_path}/reads"}, 300, {"READ": 1.0, "SCAN": 1.0, "DELETE": 1.0}, "exponential")
+    got = [tuple(r) for r in W.traced(spark, w).orderBy("op_id").collect()]
+    assert len(got) == 300 and {op for _, op, _, _ in got} == {"READ", "DELETE"}
+    assert {a for _, op, a, _ in got if op == "READ"} == {"/x", "/y", None} and {a for _, op, a, _ in got if op == "DELETE"} == {None}
+    with pytest.raises(ValueError):
+        W.traced(spark, W.Trace(w.traces, 3, w.mix, "latest"))
