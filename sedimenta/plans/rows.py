@@ -19,7 +19,7 @@ SCHEMA = "table string, key string, op string, fields map<string,string>, seq lo
 
 
 class Rows:
-    """Tables of rows (key, fields: map of name to value) in one log of inserts, updates and deletes.
+    """Tables of rows (key, fields: map of name to value) in one log of inserts, updates and deletes, a folder for each append.
 
     An insert or delete replaces the row, an update overwrites the fields it names. Writes are appended whatever the
     state is, and their status is worked out from it: an insert of a live key is ERROR unless upserts are allowed, an
@@ -30,15 +30,17 @@ class Rows:
         self.spark, self.path, self.upsert = spark, path.rstrip("/"), upsert
 
     def log(self) -> DataFrame:
-        if not L.exists(self.spark, f"{self.path}/_SUCCESS"):
+        written = L.parts(self.spark, self.path, "append")
+        if not written:
             return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(self.path)
+        return self.spark.read.schema(SCHEMA).parquet(*[f"{self.path}/append={n}" for n in written])
 
     def _append(self, rows: DataFrame, op: str) -> None:
-        start = (self.log().agg(F.max("seq")).first()[0] or 0) + 1
+        last, written = L.newest(self.spark, self.path, "append"), L.parts(self.spark, self.path, "append")
+        start = last[1] + 1 if last else 1
         fields = F.col("fields") if "fields" in rows.columns else F.lit(None).cast("map<string,string>")
         rows = rows.select("table", "key", F.lit(op).alias("op"), fields.alias("fields"), (F.monotonically_increasing_id() + start).alias("seq"))
-        rows.write.mode("append").parquet(self.path)
+        rows.write.mode("error").parquet(f"{self.path}/append={written[-1] + 1 if written else 1}")
 
     def state(self, table: str | None = None) -> DataFrame:
         """(table, key, fields) of the live rows."""

@@ -125,7 +125,7 @@ class Store:
         """
         m, c = self.manifest(), self.config
         segments = [s for s in self.log._segments() if s not in m["compacted"]]
-        if len(segments) > c.log_files:  # the newest is the tail
+        if len(segments) > c.log_files:
             taken = segments[:2]
             self.tell("compaction_started", {"level": 0, "inputs": taken})
             rows = self.log.records().where(F.col("segment").isin(taken)).drop("segment")
@@ -152,12 +152,17 @@ class Store:
         return False
 
     def vacuum(self) -> int:
-        """Delete the segments that runs hold and older manifest versions; readers of an old view are gone by then."""
+        """Delete the segments that runs hold and older manifest versions; readers of an old view are gone by then.
+
+        The newest segment that has records stays, compacted or not: the log's numbers go on from it.
+        """
         m, n = self.manifest(), 0
-        for s in m["compacted"]:
+        last = L.newest(self.spark, self.log.path, "segment")
+        gone = [s for s in m["compacted"] if last and s < last[0]]
+        for s in gone:
             n += L.remove(self.spark, f"{self.log.path}/segment={s}")
-        if n:
-            self._commit(m | {"compacted": []})
+        if gone:
+            self._commit(m | {"compacted": [s for s in m["compacted"] if s not in gone]})
             m = self.manifest()
         for v in range(1, m["version"]):
             L.remove(self.spark, f"{self.path}/manifest/{v}.json")

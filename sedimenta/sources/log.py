@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import DELETION, RECORD, VALUE
@@ -46,10 +46,40 @@ def put_text(spark: SparkSession, path: str, text: str, overwrite: bool = False)
     return fs.rename(part, p)
 
 
+def parts(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers N of the folders `name=N` under a path that were written whole, ascending."""
+    fs, p = _fs(spark, path)
+    found = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n.removeprefix(f"{name}=")) for n in found if n.startswith(f"{name}=") and exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
+def newest(spark: SparkSession, path: str, name: str) -> tuple[int, int] | None:
+    """(number, greatest seq) of the newest folder that has records. Seqs ascend over folders, so older ones aren't read."""
+    for n in reversed(parts(spark, path, name)):
+        last = spark.read.schema("seq long").parquet(f"{path}/{name}={n}").agg(F.max("seq")).first()[0]
+        if last is not None:
+            return n, last
+    return None
+
+
+def recover(spark: SparkSession, path: str, name: str) -> list[int]:
+    """Remove the folders that a writer left when it ended in the middle; until then an append is refused. Their numbers."""
+    fs, p = _fs(spark, path)
+    found = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    left = [int(n.removeprefix(f"{name}=")) for n in found if n.startswith(f"{name}=") and not exists(spark, f"{path}/{n}/_SUCCESS")]
+    for n in left:
+        remove(spark, f"{path}/{name}={n}")
+    return sorted(left)
+
+
+#: Bits of a row's place within its partition in what monotonically_increasing_id() gives.
+_PLACE_BITS = 33
+
+
 class RecordLog:
     """Segments `segment=N` of records (key, value, type, seq) under a path, for one writer at a time and any readers.
 
-    seq counts on over all segments. A segment is committed whole by Spark's writer; a log that is sealed refuses
+    seq ascends over all segments. A segment is committed whole by Spark's writer; a log that is sealed refuses
     appends. Keys come in by their own column names; `type` 0 deletes.
     """
 
@@ -57,29 +87,38 @@ class RecordLog:
         self.spark, self.path = spark, path.rstrip("/")
 
     def _segments(self) -> list[int]:
-        fs, p = _fs(self.spark, self.path)
-        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-        return sorted(int(n.removeprefix("segment=")) for n in names if n.startswith("segment=") and exists(self.spark, f"{self.path}/{n}/_SUCCESS"))
+        return parts(self.spark, self.path, "segment")
 
     def tail(self) -> int:
-        """The next seq. Seqs ascend over segments, so the newest one that has records says it."""
-        for n in reversed(self._segments()):
-            last = self.spark.read.schema(RECORD).parquet(f"{self.path}/segment={n}").agg(F.max("seq")).first()[0]
-            if last is not None:
-                return last + 1
-        return 0
-
-    def append(self, rows: DataFrame, order: list[str] | None = None) -> int:
-        """Append rows (key, value[, type]); their seqs follow `order` if given. Returns the segment's number."""
+        """The next seq."""
+        last = newest(self.spark, self.path, "segment")
+        return last[1] + 1 if last else 0
+
+    def append(self, rows: DataFrame, order: list[str] | None = None, dense: bool = False) -> int:
+        """Append rows (key, value[, type]); their seqs follow `order` if given. Returns the segment's number.
+
+        Seqs ascend with gaps between the tasks that write. With `dense` they are consecutive: the rows are staged
+        first, only the tasks' counts meet, and the staged rows are written again with their numbers.
+        """
         if exists(self.spark, f"{self.path}/SEALED"):
             raise SealedError(self.path)
         segments = self._segments()
         start, number = self.tail(), (segments[-1] + 1 if segments else 1)
         rows = rows if "type" in rows.columns else rows.withColumn("type", F.lit(VALUE).cast("byte"))
         rows = rows.orderBy(*order) if order else rows
-        # Places are unique and follow the order over partitions; the log needs order, not density.
-        rows = rows.select(F.col("key"), F.col("value"), F.col("type").cast("byte").alias("type"), (F.monotonically_increasing_id() + start).alias("seq"))
-        rows.write.mode("error").parquet(f"{self.path}/segment={number}")
+        rows = rows.select(F.col("key"), F.col("value"), F.col("type").cast("byte").alias("type"), (F.monotonically_increasing_id() + (0 if dense else start)).alias("seq"))
+        if not dense:
+            rows.write.mode("error").parquet(f"{self.path}/segment={number}")
+            return number
+        staging = f"{self.path}/_staging={number}"
+        rows.write.mode("overwrite").parquet(staging)
+        staged = self.spark.read.schema(RECORD).parquet(staging).withColumn("_part", F.shiftright("seq", _PLACE_BITS))
+        counts = staged.groupBy("_part").agg(F.count("*").alias("_n"))
+        before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")
+        numbered = staged.join(counts.select("_part", before.alias("_before")), "_part")
+        seq = F.lit(start) + F.col("_before") + F.col("seq").bitwiseAND((1 << _PLACE_BITS) - 1)
+        numbered.select("key", "value", "type", seq.alias("seq")).write.mode("error").parquet(f"{self.path}/segment={number}")
+        remove(self.spark, staging)
         return number
 
     def put(self, rows: DataFrame) -> int:

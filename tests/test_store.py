@@ -1,6 +1,6 @@
 import pytest
 from sedimenta.plans.store import Config, Store
-from sedimenta.sources.log import RecordLog, SealedError
+from sedimenta.sources.log import RecordLog, SealedError, recover
 
 
 def frame(spark, rows):
@@ -68,8 +68,44 @@ def test_levels_below_the_listed_ones_grow_and_only_the_last_is_split(spark, tmp
         outputs.append([r["level"] for r in store.manifest()["runs"] if r["path"] not in before])
     assert outputs and all(len(new) == 1 for new in outputs if new[0] < 4)
     assert {r.key: r.value for r in store.state().collect()} == want
-    n = len(store.manifest()["compacted"])
-    assert store.vacuum() == n and store.manifest()["compacted"] == []
+    assert store.manifest()["compacted"] == [1, 2, 3, 4]
+    assert store.vacuum() == 3 and store.manifest()["compacted"] == [4]  # the log's numbers go on from the newest
     assert {r.key: r.value for r in store.state().collect()} == want
     store.put(frame(spark, [("k0", "last")]))
     assert store.get("k0") == "last"
+
+
+def test_numbers_go_on_after_all_segments_are_compacted(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), Config(max_level=2, level_size=[1, 1 << 30], log_files=1))
+    store.put(frame(spark, [(f"k{i}", "old") for i in range(5)]))
+    store.put(frame(spark, [(f"k{i}", "newer") for i in range(5)]))
+    store.put(frame(spark, [("k0", "x")]).limit(0))
+    while store.compact():
+        pass
+    tail = store.log.tail()
+    store.vacuum()
+    store.vacuum()
+    assert store.log.tail() == tail > 0
+    store.put(frame(spark, [("k1", "newest")]))
+    assert store.get("k1") == "newest" and store.get("k2") == "newer"
+
+
+def test_dense_numbers(spark, tmp_path):
+    log = RecordLog(spark, str(tmp_path / "log"))
+    rows = frame(spark, [(f"key{i:03}", str(i)) for i in range(100)]).repartition(7)
+    log.append(rows, ["key"], dense=True)
+    log.append(rows.limit(0), dense=True)
+    log.append(rows, dense=True)
+    got = log.records().orderBy("seq").collect()
+    assert [r.seq for r in got] == list(range(200)) and [r.key for r in got[:100]] == sorted(r.key for r in got[:100])
+    assert {r.segment for r in got} == {1, 3} and log.tail() == 200
+
+
+def test_an_append_that_ended_in_the_middle_is_removed(spark, tmp_path):
+    log = RecordLog(spark, str(tmp_path / "log"))
+    log.append(frame(spark, [("a", "b")]))
+    (tmp_path / "log" / "segment=2").mkdir()
+    assert log.records().count() == 1
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        log.append(frame(spark, [("c", "d")]))
+    assert recover(spark, log.path, "segment") == [2] and log.append(frame(spark, [("c", "d")])) == 2
