@@ -82,3 +82,50 @@ def range_lookup(probes: DataFrame, probe: str, ranges: DataFrame, low: str, hig
     cell = lambda c: cell_among(cuts, F.col(c).cast(kind), kind)
     cut = ranges.withColumn("_cell", F.explode(F.sequence(cell(low), cell(high))))
     return probes.withColumn("_cell", cell(probe)).join(cut, "_cell").where(F.col(probe).between(F.col(low), F.col(high))).drop("_cell")
+
+
+def range_totals(probes: DataFrame, probe: str, ranges: DataFrame, low: str, high: str, value: str, bits: int = 4, depth: int = 4) -> DataFrame:
+    """For each key of the probes that a range holds, both ends included: the key, `n` pairs of its rows and ranges, and their `least` value.
+
+    What grouping the pairs of range_lookup by the probe gives, without the pairs, whose number may be that of probes
+    times that of ranges. Keys are numbered in ascending order, within quantile cells. A range is cut into nodes, blocks of
+    2**(bits * level) numbers, fewer than 2**(bits + 1) a level; nodes are added up and meet each key by equality, once for
+    each level up to `depth`. Larger nodes are handed down to those of that level first, so that none meets all keys.
+    """
+    spans = ranges.where(F.col(low) <= F.col(high)).groupBy(F.col(low).alias("_low"), F.col(high).alias("_high")).agg(F.count("*").alias("_n"), F.min(value).alias("_least"))
+    keys = probes.where(F.col(probe).isNotNull()).select(F.col(probe).alias("_k"), F.lit(1).alias("_m"))
+    ends = spans.select(F.explode(F.array("_low", "_high")).alias("_k"), F.lit(0).alias("_m"))
+    order = keys.unionByName(ends).groupBy("_k").agg(F.sum("_m").alias("_m"))
+    size = order.count()
+    cuts = quantiles(order, "_k", max(16, min(MOST_CELLS, -(-size // CELL_ROWS))))
+    order = order.withColumn("_here", (F.col("_m") > 0).cast("long")).withColumn("_cell", cell_among(cuts, F.col("_k"), order.schema["_k"].dataType.simpleString()))
+    sizes = order.groupBy("_cell").agg(F.sum("_here").alias("_c"))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_cell", before("_c", Window.orderBy("_cell")).alias("_start"))
+    order = order.withColumn("_below", before("_here", Window.partitionBy("_cell").orderBy("_k"))).join(F.broadcast(sizes), "_cell")
+    order = order.select("_k", "_m", "_here", (F.col("_start") + F.col("_below")).alias("_rank"))
+
+    starts = order.select(F.col("_k").alias("_low"), F.col("_rank").alias("_from"))
+    stops = order.select(F.col("_k").alias("_high"), (F.col("_rank") + F.col("_here")).alias("_to"))
+    top = max(0, size.bit_length() - 1) // bits
+    nodes = spans.join(starts, "_low").join(stops, "_high").where("_from < _to").select("*", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level"))
+    down = lambda c, level: F.call_function("shiftright", c, (level * bits).cast("int"))
+    up = lambda c, level: -down(-c, level)
+    first = [up(F.col("_from"), F.col("level") + i) for i in (0, 1)]
+    after = [down(F.col("_to"), F.col("level") + i) for i in (0, 1)]
+    nodes = nodes.select("_n", "_least", "level", *[c.alias(f"_{x}{i}") for x, cs in (("a", first), ("z", after)) for i, c in enumerate(cs)]).where("_a0 < _z0")
+    # what the next level's nodes _a1 to _z1 leave of this one's _a0 to _z0: both sides, or all if the next has none
+    width, some = F.lit(1 << bits), F.col("_a1") < F.col("_z1")
+    upto = lambda a, z: F.when(a < z, F.sequence(a, z - 1)).otherwise(F.array().cast("array<long>"))
+    sides = F.concat(upto(F.col("_a0"), F.col("_a1") * width), upto(F.col("_z1") * width, F.col("_z0")))
+    nodes = nodes.select("level", "_n", "_least", F.explode(F.when(some, sides).otherwise(upto(F.col("_a0"), F.col("_z0")))).alias("node"))
+    added = lambda df, *by: df.groupBy(*by).agg(F.sum("_n").alias("_n"), F.min("_least").alias("_least"))
+    nodes = added(nodes, "level", "node")
+    if top > depth:
+        blocks = probes.sparkSession.range((size >> bits * depth) + 1).select(F.col("id").alias("_block"), F.explode(F.sequence(F.lit(depth), F.lit(top))).alias("level"))
+        blocks = blocks.withColumn("node", down(F.col("_block"), F.col("level") - depth))
+        handed = added(blocks.join(nodes.where(F.col("level") >= depth), ["level", "node"]), "_block")
+        nodes = nodes.where(F.col("level") < depth).unionByName(handed.select(F.lit(depth).alias("level"), F.col("_block").alias("node"), "_n", "_least"))
+    each = order.where("_here > 0").select("_k", "_m", "_rank", F.explode(F.sequence(F.lit(0), F.lit(min(top, depth)))).alias("level"))
+    found = each.withColumn("node", down(F.col("_rank"), F.col("level"))).join(nodes, ["level", "node"])
+    return found.groupBy(F.col("_k").alias(probe)).agg(F.sum(F.col("_m") * F.col("_n")).alias("n"), F.min("_least").alias("least"))

@@ -179,8 +179,8 @@ SELECT c_custkey, count(*) AS n_runs, min(run) AS first_run FROM customer JOIN m
 def run_prune(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").withColumn("run", R.entry_segment(F.col("o_orderkey"), 500))
     runs = R.manifest(rows, ["run"], "o_custkey", F.lit(1)).select("run", "key_min", "key_max")
-    found = S.range_lookup(table(spark, d, "customer").select("c_custkey"), "c_custkey", runs, "key_min", "key_max")
-    return found.groupBy("c_custkey").agg(F.count("*").alias("n_runs"), F.min("run").alias("first_run"))
+    found = S.range_totals(table(spark, d, "customer").select("c_custkey"), "c_custkey", runs, "key_min", "key_max", "run")
+    return found.select("c_custkey", F.col("n").alias("n_runs"), F.col("least").alias("first_run"))
 
 
 @query("""WITH c AS (SELECT user_id, CAST(3 - least(event_id // 2500, 2) AS INT) AS level, event_id // 500 AS file_ord, event_id, event_type, value FROM events),

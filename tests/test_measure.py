@@ -8,6 +8,7 @@ import pytest
 from sedimenta.operators import measure as M
 from sedimenta.operators import scan as S
 from sedimenta.operators import snapshot as N
+from sedimenta.plans.catalog import QUERIES
 from sedimenta.sources import text as X
 from sedimenta.sources.entrylog import EntryLog
 
@@ -51,6 +52,43 @@ def test_ranges_of_any_width_meet_their_probes(spark):
     assert S.range_lookup(a.limit(0), "p", b, "low", "high").count() == 0
 
 
+@pytest.mark.parametrize("bits, depth", [(1, 2), (2, 1), (4, 4)])
+def test_totals_of_ranges_are_those_of_all_pairs(spark, bits, depth):
+    r = random.Random(bits)
+    number = lambda: r.choice([r.randint(0, 300), r.randint(0, 10**6), None])
+    probes, ranges = [number() for _ in range(600)], [(r.randint(-50, 50), number(), number()) for _ in range(300)] + [(99, 0, 10**6), (0, None, 5), (0, 9, 3)]
+    a, b = spark.createDataFrame([(x,) for x in probes], "p long"), spark.createDataFrame(ranges, "v int, low long, high long")
+    want = {}
+    for p, v in ((p, v) for p in probes for v, lo, hi in ranges if None not in (p, lo, hi) and lo <= p <= hi):
+        n, least = want.get(p, (0, v))
+        want[p] = n + 1, min(least, v)
+    assert {x.p: (x.n, x.least) for x in S.range_totals(a, "p", b, "low", "high", "v", bits, depth).collect()} == want
+    assert S.range_totals(a.limit(0), "p", b, "low", "high", "v").count() == S.range_totals(a, "p", b.limit(0), "low", "high", "v").count() == 0
+
+
+def _most_rows(plan) -> int:
+    """The rows that the largest node of a plan that has run made."""
+    name, rows = plan.getClass().getSimpleName(), plan.metrics().get("numOutputRows")
+    inner = plan.executedPlan() if name == "AdaptiveSparkPlanExec" else plan.plan() if name.endswith("QueryStageExec") else None
+    below = [inner] if inner else [plan.children().apply(i) for i in range(plan.children().size())]
+    return max([rows.get().value() if rows.isDefined() else 0, *map(_most_rows, below)])
+
+
+def test_wide_runs_cost_no_pairs(spark, tmp_path):
+    """40 million pairs of a customer and a run, none of which is made."""
+    spark.range(20_000).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    i, last = S.F.col("id"), S.F.col("id") % 2
+    run = (i - last) / 2
+    orders = spark.range(4_000).select((run * 500 + last).cast("long").alias("o_orderkey"), (run % 100 + last * 19_800).cast("long").alias("o_custkey"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    df = QUERIES["run_prune"](spark, str(tmp_path))
+    df._jdf.collectAsList()
+    assert _most_rows(df._jdf.queryExecution().executedPlan()) < 500_000
+    got = {r.c_custkey: (r.n_runs, r.first_run) for r in df.collect()}
+    assert len(got) == 19_900 and got[0] == (20, 0) and got[19_899] == (20, 99) and got[50] == (1_020, 0) and got[19_850] == (1_000, 50)
+    assert {got[c] for c in range(100, 19_800)} == {(2_000, 0)}
+
+
 def test_maps_are_values_of_a_log(spark):
     log = spark.createDataFrame([(1, 1, {"a": 1}), (1, 2, {"b": 2}), (2, 1, {})], "k int, seq int, m map<string,int>")
     assert {x.k: x.m for x in N.last_records(log, ["k"], ["seq"]).collect()} == {1: {"b": 2}, 2: {}}
