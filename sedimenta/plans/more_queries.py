@@ -265,11 +265,15 @@ def jdbc_shards(spark: SparkSession, d: str) -> DataFrame:
     """Rows to two databases by the hash of their key, and read again from both."""
     run = uuid.uuid4().hex
     urls = [f"jdbc:derby:memory:{run}{i};create=true" for i in range(2)]
-    properties = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver", "createTableColumnTypes": "YCSB_KEY VARCHAR(64), FIELD0 VARCHAR(64), FIELD1 VARCHAR(64)"}
+    properties = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver", "createTableColumnTypes": "YCSB_KEY VARCHAR(64)"}
     c = table(spark, d, "customer")
     rows = c.select(F.col("c_custkey").cast("string").alias("YCSB_KEY"), F.col("c_name").alias("FIELD0"), F.col("c_nationkey").cast("string").alias("FIELD1"))
     jdbc.save(rows, urls, "usertable", properties)
-    parts = [jdbc.load(spark, [u], "usertable", {"driver": properties["driver"]}).withColumn("shard", F.lit(i)) for i, u in enumerate(urls)]
+    folder = _folder(spark)
+    parts = [jdbc.load(spark, [u], "usertable", {"driver": properties["driver"]}, folder=folder).withColumn("shard", F.lit(i)) for i, u in enumerate(urls)]
+    for u in urls:
+        if jdbc.driver_only(spark, u):  # its rows are in the folder
+            jdbc.drop_memory(spark, u)
     out = parts[0].unionByName(parts[1])
     return out.select(F.col("YCSB_KEY").cast("long").alias("YCSB_KEY"), "FIELD0", "FIELD1", "shard")
 
